@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import leaks, looks, pieces
+from quillspark.llm import defects, langs, leaks, looks, pieces
 from quillspark.session import saved, table
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = langs.fit_on(table(spark, sf, "lang_samples"))
+    sides = (("visitor_queries", "id", "question", "answer"), ("eval_items", "eval_id", "question", "reference_answer"))
+    parts = [defects.defective_pairs(table(spark, sf, name), model, key, prompt, response).select(F.lit(name).alias("tbl"), F.col("key").alias("row_id"), "defect") for name, key, prompt, response in sides]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_canonical_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Every chunk text in its one form."""
     return looks.canonical_text(table(spark, sf, "chunks").select("ord", "id", "text"), "text").drop("text")
@@ -36,6 +43,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).select("id", F.col("scene_start").alias("cut_at")).distinct()
 
 
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of whole sentences in one language."""
+    return langs.language_segments(table(spark, sf, "documents"), langs.fit_on(table(spark, sf, "lang_samples")), "doc_id", "text")
+
+
+def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The main language of every document."""
+    return langs.document_languages(p8_segments(spark, sf), "doc_id")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = langs.language_segments(docs, langs.fit_on(table(spark, sf, "lang_samples")), "doc_id", "text", keep="lang")
+    stated = F.coalesce(langs.named_language(F.col("lang")), F.lit(""))
+    return found.where((F.col("end") - F.col("start") >= langs.LEAST_CHARS) & (F.col("detected") != stated)).select("doc_id", F.col("detected").alias("lang")).distinct()
+
+
 def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the held-out items it holds and where."""
     return leaks.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items"), "doc_id", "text", "item_id", "text")
@@ -45,5 +69,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p6_found, p6_leaks)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p6_found, p6_leaks, p8_found, p8_segments, p8_documents)}
 ORACLE: dict[str, str] = {}
