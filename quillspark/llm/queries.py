@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import defects, langs, leaks, looks, pieces
+from quillspark.llm import defects, langs, leaks, looks, mix, pieces, vectors
 from quillspark.session import saved, table
 
 
+def p1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar chunks of every chunk with a usable vector."""
+    return vectors.most_similar(table(spark, sf, "chunks"))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = p1_neighbours(spark, sf)
+    return pairs.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     model = langs.fit_on(table(spark, sf, "lang_samples"))
     sides = (("visitor_queries", "id", "question", "answer"), ("eval_items", "eval_id", "question", "reference_answer"))
@@ -43,6 +53,20 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_pieces(spark, sf).select("id", F.col("scene_start").alias("cut_at")).distinct()
 
 
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Per target source its tokens, blocks drawn and placed, and the share reached."""
+    return mix.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).report
+
+
+def p7_chosen(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mixture with the times each is used."""
+    return mix.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets")).chosen
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_shares(spark, sf).where("short").select("source")
+
+
 def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Every stretch of whole sentences in one language."""
     return langs.language_segments(table(spark, sf, "documents"), langs.fit_on(table(spark, sf, "lang_samples")), "doc_id", "text")
@@ -69,5 +93,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p6_found, p6_leaks, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_shares, p7_chosen, p8_found, p8_segments, p8_documents)}
 ORACLE: dict[str, str] = {}
