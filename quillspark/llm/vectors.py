@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-SAMPLE = 16_384  # vectors the index is fitted on at most: those whose keys have the smallest hashes
-LIST_ROWS, MOST_LISTS, PROBES, RERANK, GROUP_ROWS = 250, 4096, 8, 32, 2500
-PARTS, CODES = 8, 256
+SAMPLE = 32_768  # vectors the index is fitted on at most: those whose keys have the smallest hashes
+LIST_ROWS, MOST_LISTS, PROBES, RERANK, GROUP_ROWS = 60, 4096, 12, 64, 4000
+PARTS, CODES = 32, 256
 
 
 @dataclass
