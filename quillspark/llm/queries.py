@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import defects, langs, leaks, looks, mix, pieces, vectors
+from quillspark.llm import defects, langs, leaks, looks, mix, neardup, pieces, vectors
 from quillspark.session import saved, table
 
 
@@ -84,6 +84,27 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.where((F.col("end") - F.col("start") >= langs.LEAST_CHARS) & (F.col("detected") != stated)).select("doc_id", F.col("detected").alias("lang")).distinct()
 
 
+def _alike(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, sf, "chunks").select("ord", "id", "text")
+    return neardup.near_duplicates(chunks, "ord", "text", run=5, similarity=0.6)
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk with its class of equal texts, its group, and its number of links to other classes."""
+    links, groups = _alike(spark, sf)
+    ends = links.select(F.col("row_a").alias("class")).unionByName(links.select(F.col("row_b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    ids = table(spark, sf, "chunks").select(F.col("ord").alias("row"), "id")
+    return groups.join(ends, "class", "left").join(ids, "row").select("id", F.col("row").alias("ord"), "class", "group", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, groups = _alike(spark, sf)
+    ids = table(spark, sf, "chunks").select(F.col("ord").alias("row"), "id")
+    own = groups.join(ids, "row").select("group", "id").distinct()
+    own = saved(own.join(own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group", "left_semi"), "p5-members")
+    return own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), "group").where("id_a < id_b").select("id_a", "id_b").distinct()
+
+
 def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Each document with the held-out items it holds and where."""
     return leaks.leaked_passages(table(spark, sf, "documents"), table(spark, sf, "heldout_items"), "doc_id", "text", "item_id", "text")
@@ -93,5 +114,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p6_found, p6_leaks, p7_found, p7_shares, p7_chosen, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_leaks, p7_found, p7_shares, p7_chosen, p8_found, p8_segments, p8_documents)}
 ORACLE: dict[str, str] = {}
