@@ -30,6 +30,12 @@ RADICAL_AS_IDEOGRAPH = "⺁厂 ⺇几 ⺌小 ⺎兀 ⺏尣 ⺐尢 ⺒巳 ⺓幺
 INVISIBLE_EXTRA = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u3164\uffa0"  # joiners and fillers outside the format category
 
 
+def _points() -> Iterator[str]:
+    """All characters but those of the large blocks of ideographs and syllables, which have no rule, and surrogates."""
+    for low, high in ((0, 0x3400), (0x4DC0, 0x4E00), (0xA000, 0xAC00), (0xD7A4, 0xD800), (0xF900, 0x20000), (0x2F800, 0x2FA20), (0xE0000, 0xE0200)):
+        yield from map(chr, range(low, high))
+
+
 def _rule(c: str) -> str | None:
     """The canonical form of one character by Unicode property, or None where it stays as it is."""
     cat = ud.category(c)
@@ -59,10 +65,7 @@ def mapping() -> dict[str, str]:
         for c in row[1:]:
             listed[c] = row[0]
     table = {}
-    for point in range(sys.maxunicode + 1):
-        if 0xD800 <= point < 0xE000:
-            continue
-        c = chr(point)
+    for c in _points():
         to = _rule(c)
         if to is not None:
             to = "".join(listed.get(x, x) for x in to)
@@ -119,8 +122,9 @@ def _plain() -> np.ndarray:
     return out
 
 
+@functools.cache
 def _marks() -> list[str]:
-    return [chr(p) for p in range(0x300, 0x110000) if ud.combining(chr(p)) and not 0xD800 <= p < 0xE000] + ["ﾞ", "ﾟ"]
+    return [c for c in _points() if ud.combining(c)] + ["ﾞ", "ﾟ"]
 
 
 def canonical(text: str) -> str:
@@ -169,6 +173,30 @@ def letters(text: str) -> str:
     return _NOT_WORD.sub("", canonical(text).lower())
 
 
+@functools.cache
+def _letter_table() -> np.ndarray:
+    """For each code point the letter or digit it counts as, -1 where it counts as none, -2 where its text is looked at."""
+    plain, out = _plain(), np.full(sys.maxunicode + 1, -1, np.int32)
+    every = "".join(chr(p) if not 0xD800 <= p < 0xE000 else " " for p in range(sys.maxunicode + 1))
+    for m in re.finditer(r"[^\W_]+", every):
+        out[m.start() : m.end()] = range(m.start(), m.end())
+    changed = [ord(c) for c in _points() if c.lower() != c]
+    for p in {*changed, *np.flatnonzero(plain != np.arange(len(plain))).tolist()}:
+        to = int(plain[p])
+        form = chr(to).lower() if to >= 0 else ""
+        kept = [c for c in form if c.isalnum()]
+        out[p] = -2 if to == -2 or kept and len(form) > 1 else ord(kept[0]) if kept else -1
+    return out
+
+
+def letter_codes(text: str) -> np.ndarray:
+    """The code points of ``letters(text)``."""
+    to = _letter_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(to) and to.min() == -2:
+        return np.frombuffer(letters(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return to[to >= 0].view(np.uint32)
+
+
 def letters_spans(text: str) -> tuple[str, list[int]]:
     """``letters(text)`` and the offset in ``text`` of each of its characters."""
     form, at = canonical_spans(text)
