@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fixed
 from quillspark.functions.exprs import normalized, terms
 from quillspark.operators.sparse import postings
+from quillspark.session import saved
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, rows: DataFrame, query: str, key: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N) -> DataFrame:
@@ -148,6 +149,7 @@ def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: D
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scored = scored.withColumn("bm25_norm", F.round(normalized(zero("bm25"), F.col("max_bm25")), 9)).withColumn("vector_norm", F.round(normalized(zero("cos"), F.col("max_cos")), 9)).withColumn("rare", zero("rare_coverage"))
     scored = scored.withColumn("evidence", evidence_score(F.col("bm25_norm"), F.col("rare"), F.col("vector_norm"))).join(slot, scope)
+    scored = saved(scored.select(*scope, key, "slot_key", "bm25_norm", "rare", "evidence"), "evidence")
     base = scored.where(F.col(key) == F.col("slot_key")).select(*scope, F.col("evidence").alias("slot_evidence"))
     by = Window.partitionBy(*scope).orderBy(F.desc("evidence"), F.desc("bm25_norm"), F.desc("rare"), F.asc(key))
     best = scored.withColumn("n", F.row_number().over(by)).where("n = 1").join(base, scope)

@@ -171,8 +171,9 @@ def context_format(spark: SparkSession, sf: str) -> DataFrame:
 
 def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of the log whose key no evaluation question has: those a cache of these would leave to compute."""
-    log = table(spark, sf, "visitor_queries").where("question is not null").select(F.trim("question").alias("question")).distinct().withColumn("key", cache_key("question"))
-    cache = table(spark, sf, "eval_items").where("question is not null").select(F.trim("question").alias("question")).distinct().select(cache_key("question").alias("key"))
+    asked = F.regexp_replace("question", r"(?U)^\s+|\s+$", "").alias("question")
+    log = table(spark, sf, "visitor_queries").where("question is not null").select(asked).distinct().withColumn("key", cache_key("question"))
+    cache = table(spark, sf, "eval_items").where("question is not null").select(asked).distinct().select(cache_key("question").alias("key"))
     return split_by_cache(log, cache)[1].select("key", "question")
 
 
@@ -316,7 +317,7 @@ ORACLE = {
     "answer_insufficient": f"SELECT id, coalesce(regexp_replace(answer, '{WS}+', '', 'g') = '' OR " + " OR ".join(f"contains(answer, '{m}')" for m in fixed.INSUFFICIENT_MARKS) + f", true) AS insufficient FROM ({LOG})",
     "answerability_parse": "SELECT eval_id, CASE WHEN eval_id % 4 < 3 THEN eval_id % 3 = 0 END AS answerable, CASE WHEN eval_id % 4 < 3 THEN 1 END AS n_missing, CASE WHEN eval_id % 4 < 3 THEN (trim(coalesce(substring(reference_answer, 1, 5), '')) <> '')::INT END AS n_questions FROM eval_items",
     "context_format": with_parts("SELECT eval_id, length(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10)))::INTEGER AS n_chars, count(*)::INTEGER AS n_passages FROM fused JOIN ck USING (ord) WHERE fused_rank <= 5 GROUP BY 1", *FUSED),
-    "cache_misses": "SELECT sha256(q) AS key, q AS question FROM (SELECT DISTINCT trim(question) AS q FROM visitor_queries WHERE question IS NOT NULL) WHERE q NOT IN (SELECT trim(question) FROM eval_items WHERE question IS NOT NULL)",
+    "cache_misses": f"SELECT sha256(q) AS key, q AS question FROM (SELECT DISTINCT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') AS q FROM visitor_queries WHERE question IS NOT NULL) WHERE q NOT IN (SELECT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') FROM eval_items WHERE question IS NOT NULL)",
     "gold_rank": with_parts("SELECT eval_id, gold_rank, candidate_rank, hit_at_1, hit_at_3, hit_at_5, round(reciprocal_rank, 6) AS reciprocal_rank, failure_reason FROM ev", *FUSED, *EVALUATED, more=EVALUATED),
     "eval_metrics": with_parts(f"SELECT {METRICS} FROM ev", *FUSED, *EVALUATED, more=EVALUATED),
     "eval_metrics_by_book": with_parts(f"SELECT book, {METRICS} FROM ev GROUP BY ROLLUP (book)", *FUSED, *EVALUATED, more=EVALUATED),

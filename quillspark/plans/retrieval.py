@@ -61,7 +61,7 @@ def stages(spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N,
     scores = sparse.bm25(queries, chunks, "eval_id", "question", "ord", "text")
     ranked = scores.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")))
     ranked = saved(ranked, "bm25")
-    fused = fusion.fuse(top, ranked, rows, "eval_id", "ord", vector_top_n, bm25_top_n)
+    fused = saved(fusion.fuse(top, ranked, rows, "eval_id", "ord", vector_top_n, bm25_top_n), "fused")
     return Stages(chunks, queries, rows, top, ranked, fused)
 
 
@@ -72,7 +72,7 @@ def _places(s: Stages) -> DataFrame:
 def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
     """``eval_id, ord, out_rank`` without routing: scenes of the best candidates in document order, then the rescue slot."""
     fused = s.fused.withColumnRenamed("fused_rank", "rank")
-    base = fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k).select("eval_id", "ord", "out_rank")
+    base = saved(fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k).select("eval_id", "ord", "out_rank"), "expanded")
     vectored = s.sparse.join(s.rows.select("ord"), "ord", "left_semi")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", "text")
     return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k)
@@ -97,7 +97,7 @@ def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, route
     books = saved(fusion.route_books(s.fused, s.sparse, s.rows, "eval_id", "ord", routes, max(fixed.VECTOR_TOP_N, fixed.BM25_TOP_N, 8 * routes)), "routes")
     scope = ["eval_id", "route_book"]
     d, b, f = (saved(x, "in-books") for x in in_books(s, books))
-    base = fusion.expand_scenes(f, _places(s), scope, "ord", top_k).select(*scope, "ord", "out_rank")
+    base = saved(fusion.expand_scenes(f, _places(s), scope, "ord", top_k).select(*scope, "ord", "out_rank"), "expanded")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", "text", books.select("eval_id", F.col("book").alias("route_book")))
     found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k)
     merged = found.join(f.select(*scope, "ord", "score"), [*scope, "ord"]).join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
