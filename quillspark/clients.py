@@ -8,6 +8,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 class Embedder(Protocol):
@@ -32,7 +33,7 @@ class HashEmbedder:
 
 def embed_column(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
     """``df`` with a vector for each text, computed in the tasks in batches of the model's size; null stays null."""
-    schema = df.drop(out).schema.add(out, "array<double>")
+    schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

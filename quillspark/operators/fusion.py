@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
 from quillspark.functions.exprs import normalized, terms
-from quillspark.operators.sparse import postings
 from quillspark.session import saved
 
 
@@ -94,15 +93,15 @@ def expand_scenes(ranked: DataFrame, rows: DataFrame, scope: list[str], key: str
     return placed.withColumn("out_rank", F.row_number().over(by)).select(*scope, key, "book", "chunk_index", "out_rank")
 
 
-def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: str, key: str, text: str, routes: DataFrame | None = None) -> DataFrame:
+def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: str, key: str, found: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """``query, key, rare_coverage``: the weight of a query's rare terms that a row holds, as a share of all of them.
 
     Rare is a term in at least one and at most max(3, a tenth) of the rows; if a query has none such, all its terms are
     taken. With ``routes`` (query, route_book) this is done book by book and ``route_book`` is a column of the result;
-    else over all ``rows`` (key, book, text).
+    else over all ``rows`` (key, book). ``found`` has the postings (key, term) of the query terms.
     """
     asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).where(~F.col("term").isin(*fixed.RESCUE_STOP_TERMS))
-    held = postings(rows, key, text, only=asked).select(key, "term")
+    held = found.join(rows.select(key), key, "left_semi").select(key, "term")
     if routes is None:
         cols, on = [query], ["term"]
         df = held.groupBy("term").agg(F.count("*").alias("df"))

@@ -17,10 +17,13 @@ QUERY_STEP = 20  # the stated query set: evaluation items whose id is divisible
 
 
 def chunks_once(spark: SparkSession, sf: str) -> DataFrame:
-    """The chunk relation with one row per id (the first loaded), defaults filled in, and ``has_vec``."""
+    """The chunk relation with one row per id (the first loaded), defaults filled in, and ``has_vec``.
+
+    Only ids and load order are shuffled to find the later rows, which are then left out by an anti-join.
+    """
     chunks = table(spark, sf, "chunks")
-    first = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_n = 1")
-    return first.select(
+    later = chunks.select("id", "ord").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_n > 1").select("ord")
+    return chunks.join(later, "ord", "left_anti").select(
         "id",
         "ord",
         F.coalesce("book_name", book_from_id(F.col("id"))).alias("book"),
@@ -49,6 +52,7 @@ class Stages:
     dense: DataFrame
     sparse: DataFrame
     fused: DataFrame
+    postings: DataFrame  # of the queries' terms
 
 
 def stages(spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, depth: int = 100) -> Stages:
@@ -58,11 +62,13 @@ def stages(spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N,
     queries = saved(queries, "queries")
     rows = chunks.where("has_vec").select("ord", "id", "book", "chunk_index", "scene_id", "text", "embedding")
     top = saved(dense.top_dense(queries, rows, "eval_id", "qvec", "ord", "embedding", depth), "dense")
-    scores = sparse.bm25(queries, chunks, "eval_id", "question", "ord", "text")
+    asked = sparse.query_terms(queries, "eval_id", "question")
+    found = saved(sparse.postings(chunks, "ord", "text", only=asked), "postings")
+    scores = sparse.bm25(queries, chunks, "eval_id", "question", "ord", "text", found)
     ranked = scores.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")))
     ranked = saved(ranked, "bm25")
     fused = saved(fusion.fuse(top, ranked, rows, "eval_id", "ord", vector_top_n, bm25_top_n), "fused")
-    return Stages(chunks, queries, rows, top, ranked, fused)
+    return Stages(chunks, queries, rows, top, ranked, fused, found)
 
 
 def _places(s: Stages) -> DataFrame:
@@ -74,7 +80,7 @@ def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
     fused = s.fused.withColumnRenamed("fused_rank", "rank")
     base = saved(fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k).select("eval_id", "ord", "out_rank"), "expanded")
     vectored = s.sparse.join(s.rows.select("ord"), "ord", "left_semi")
-    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", "text")
+    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings)
     return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k)
 
 
@@ -98,7 +104,7 @@ def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, route
     scope = ["eval_id", "route_book"]
     d, b, f = (saved(x, "in-books") for x in in_books(s, books))
     base = saved(fusion.expand_scenes(f, _places(s), scope, "ord", top_k).select(*scope, "ord", "out_rank"), "expanded")
-    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", "text", books.select("eval_id", F.col("book").alias("route_book")))
+    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, books.select("eval_id", F.col("book").alias("route_book")))
     found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k)
     merged = found.join(f.select(*scope, "ord", "score"), [*scope, "ord"]).join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("score"), "route_rank", "out_rank"))).drop("out_rank")

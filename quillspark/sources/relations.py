@@ -95,7 +95,7 @@ def split_by_cache(rows: DataFrame, cache: DataFrame, key: str = "key") -> tuple
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``book_name, text`` of UTF-8 files, whole; the name is that of the file without its ending. Empty files raise."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("f"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("f"))
     name = F.regexp_replace(F.regexp_replace("f", r"%20", " "), r"\.[^.]*$", "")
     text = F.when(F.trim("text") == "", F.raise_error(F.concat(F.lit("empty text: "), "f")).cast("string")).otherwise(F.col("text"))
     return rows.select(name.alias("book_name"), text.alias("text"))
