@@ -117,6 +117,9 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
             i = bisect_left(paragraphs, stop)
             back = [p for p in paragraphs[max(0, i - overlap) : i] if p > start and stop - p <= limit // 2]
             start = back[0] if back and overlap else stop
+            while start < end and text[start].isspace():
+                start += 1
+            done = max(done, start)
         if start < end or not out:
             out.append((number, scene, start, end))
     return out

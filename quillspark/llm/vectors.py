@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 5
-SAMPLE = 32_768  # vectors the index is fitted on at most: those whose keys have the smallest hashes
+SAMPLE = 32_768  # vectors the index is fitted on at most, chosen by the hashes of their keys
 LIST_ROWS, MOST_LISTS, PROBES, RERANK, GROUP_ROWS = 200, 4096, 5, 64, 4000
 PARTS, CODES, BOOK_SAMPLE = 32, 256, 8192
 
@@ -180,10 +180,12 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             yield pa.RecordBatch.from_arrays([keys, names, pa.array([r.tobytes() for r in u], pa.binary())], ["vkey", "id", "vec"])
 
     flat = rows.mapInArrow(plain, f"vkey binary, id {kind}, vec binary")
-    few = flat.select("vec").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    n_rows = rows.count()
+    part = int(min(1.0, 0.9 * sample / max(1, n_rows)) * 2**30)  # of all hashes; the limit only guards the bound
+    few = flat.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < part).select("vec").limit(sample).collect()
     if not few:
         return spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour {kind}, similarity double")
-    index = fit(np.stack([np.frombuffer(r["vec"], np.float32) for r in few]), rows.count(), probes)
+    index = fit(np.stack([np.frombuffer(r["vec"], np.float32) for r in few]), n_rows, probes)
     shared = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
 
     by_vector = Window.partitionBy("vkey").orderBy("id")

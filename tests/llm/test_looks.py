@@ -1,5 +1,4 @@
 import random
-import unicodedata as ud
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,7 +38,7 @@ def test_pairs_equal_brute_force(spark):
     want = set()
     for a, x in rows:
         for b, y in rows:
-            if a < b and x and y and x != y and looks.canonical(x) == looks.canonical(y) and any(map(str.isalpha, ud.normalize("NFC", x))):
+            if a < b and x and y and x != y and looks.canonical(x) == looks.canonical(y) and any(map(str.isalpha, looks.canonical(x))):
                 want.add((a, b))
     got = looks.look_alikes(spark.createDataFrame(rows, "id string, text string"), F.col("id"), F.col("text")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
