@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import fixed
 from quillspark.functions.exprs import book_from_id, cosine, terms, usable_vector
 from quillspark.operators import dense, fusion, sparse
-from quillspark.session import saved, table
+from quillspark.session import saved, spread, table
 
 DIMS = 64
 QUERY_STEP = 20  # the stated query set: evaluation items whose id is divisible by this
@@ -23,7 +23,7 @@ def chunks_once(spark: SparkSession, sf: str) -> DataFrame:
     """
     chunks = table(spark, sf, "chunks")
     later = chunks.select("id", "ord").withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_n > 1").select("ord")
-    return chunks.join(later, "ord", "left_anti").select(
+    return spread(chunks).join(later, "ord", "left_anti").select(
         "id",
         "ord",
         F.coalesce("book_name", book_from_id(F.col("id"))).alias("book"),
