@@ -11,7 +11,7 @@ from quillspark.functions import exprs, fixed
 from quillspark.operators import answers, evaluate, fusion, rewrite, text, usage
 from quillspark.plans import retrieval
 from quillspark.plans.retrieval_queries import FUSED, RERANK, with_parts
-from quillspark.session import table
+from quillspark.session import spread, table
 from quillspark.sources.relations import cache_key, split_by_cache
 from quillspark.streaming import usage as stream
 
@@ -42,7 +42,7 @@ def natural_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_units(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return text.text_units(docs, "doc_id", "text").select("doc_id", "line_no", "start", F.length("line").alias("n_chars"), "chapter_index", "scene_index", "scene_id")
 
 
@@ -59,7 +59,7 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_pack_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as books: chunks with overlap, scene by scene."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
     return text.build_chunks(docs, "doc_id", "text")
 
 
@@ -107,7 +107,7 @@ def contents_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 def html_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as pages of HTML, and the paragraphs read from them."""
-    docs = table(spark, sf, "documents").where("text is not null")
+    docs = spread(table(spark, sf, "documents")).where("text is not null")
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
     page = F.concat(F.lit("<html><head><title>x</title><style>p{}</style></head><body><h1>"), F.coalesce("chapter_title", F.lit("")), F.lit("</h1><p>"), F.regexp_replace(safe, r"\n+", "</p><p>"), F.lit("</p><script>var a;</script></body></html>"))
     return text.html_paragraphs(docs.select("doc_id", page.alias("html")), "doc_id", "html")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,33 +42,39 @@ def stated_queries(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame
     return items.join(vectors, "gold_chunk_id", "left").select("eval_id", "question", "gold_chunk_id", "qvec")
 
 
-@dataclass
 class Stages:
-    """The tables of one retrieval, all keyed by ``eval_id`` and ``ord``."""
-
-    chunks: DataFrame
-    queries: DataFrame
-    rows: DataFrame  # those with a vector
-    dense: DataFrame
-    sparse: DataFrame
-    fused: DataFrame
-    postings: DataFrame  # of the queries' terms
-
-
-def stages(spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, depth: int = 100) -> Stages:
-    """Dense, sparse and fused ranks of the stated queries; the scores are written once and read by every later stage."""
-    chunks = chunks_once(spark, sf)
-    queries = stated_queries(spark, sf, chunks)
-    queries = saved(queries, "queries")
-    rows = chunks.where("has_vec").select("ord", "id", "book", "chunk_index", "scene_id", "text", "embedding")
-    top = saved(dense.top_dense(queries, rows, "eval_id", "qvec", "ord", "embedding", depth), "dense")
-    asked = sparse.query_terms(queries, "eval_id", "question")
-    found = saved(sparse.postings(chunks, "ord", "text", only=asked), "postings")
-    scores = sparse.bm25(queries, chunks, "eval_id", "question", "ord", "text", found)
-    ranked = scores.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")))
-    ranked = saved(ranked, "bm25")
-    fused = saved(fusion.fuse(top, ranked, rows, "eval_id", "ord", vector_top_n, bm25_top_n), "fused")
-    return Stages(chunks, queries, rows, top, ranked, fused, found)
+    """The tables of one retrieval, keyed by ``eval_id`` and ``ord``; each is made and written once, when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, depth: int = 100) -> None:
+        self.chunks = chunks_once(spark, sf)
+        self.queries = saved(stated_queries(spark, sf, self.chunks), "queries")
+        self.rows = self.chunks.where("has_vec").select("ord", "id", "book", "chunk_index", "scene_id", "text", "embedding")
+        self.tops, self.depth = (vector_top_n, bm25_top_n), depth
+
+    @cached_property
+    def dense(self) -> DataFrame:
+        """The rows of highest cosine: ``cos, vec_rank``."""
+        return saved(dense.top_dense(self.queries, self.rows, "eval_id", "qvec", "ord", "embedding", self.depth), "dense")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """Of the queries' terms: ``ord, term, tf``."""
+        return saved(sparse.postings(self.chunks, "ord", "text", only=sparse.query_terms(self.queries, "eval_id", "question")), "postings")
+
+    @cached_property
+    def sparse(self) -> DataFrame:
+        """All rows with a BM25 score: ``bm25, bm25_rank``."""
+        scores = sparse.bm25(self.queries, self.chunks, "eval_id", "question", "ord", "text", self.postings)
+        return saved(scores.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord"))), "bm25")
+
+    @cached_property
+    def fused(self) -> DataFrame:
+        """``score, fused_rank`` of the rows with a vector."""
+        return saved(fusion.fuse(self.dense, self.sparse, self.rows, "eval_id", "ord", *self.tops), "fused")
+
+
+def stages(spark: SparkSession, sf: str) -> Stages:
+    return Stages(spark, sf)
 
 
 def _places(s: Stages) -> DataFrame:

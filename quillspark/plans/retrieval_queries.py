@@ -9,13 +9,13 @@ from quillspark.functions import fixed
 from quillspark.functions.exprs import CJK_CLASS, book_from_id, cosine, normalized, term_count, terms
 from quillspark.operators import fusion, sparse
 from quillspark.plans import retrieval
-from quillspark.session import table
+from quillspark.session import spread, table
 
 
 def tokenize_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Terms of every chunk: how many, how many different ones, and the largest."""
     t = terms(F.col("text"))
-    return table(spark, sf, "chunks").select("ord", term_count(F.col("text")).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"), F.array_max(t).alias("last_term")).where("n_terms is not null")
+    return spread(table(spark, sf, "chunks")).select("ord", term_count(F.col("text")).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"), F.array_max(t).alias("last_term")).where("n_terms is not null")
 
 
 def bm25_term_stats(spark: SparkSession, sf: str) -> DataFrame:
