@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import fixed
-from quillspark.functions.exprs import inline_blanks, is_chapter_title, is_toc_heading, paragraph_form, sentences
+from quillspark.functions.exprs import is_chapter_title, is_toc_heading, paragraph_form
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -192,6 +192,3 @@ def joined(paragraphs: DataFrame, key: str, order: str, para: str) -> DataFrame:
     """``key, text``: the paragraphs of each text with empty lines between and a line end after."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(para).alias("p"))))
     return paragraphs.groupBy(key).agg(F.concat(F.array_join(parts["p"], "\n\n"), F.lit("\n")).alias("text"))
-
-
-__all__ = ["build_chunks", "drop_contents", "drop_repeats", "fit_sentences", "html_blocks", "html_paragraphs", "inline_blanks", "joined", "lines", "pack", "sentences", "text_units", "trim_front"]

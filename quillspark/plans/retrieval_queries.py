@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
-from quillspark.functions.exprs import CJK_CLASS, book_from_id, cosine, normalized, term_count, terms
+from quillspark.functions.exprs import CJK_CLASS, cosine, normalized, term_count, terms
 from quillspark.operators import fusion, sparse
 from quillspark.plans import retrieval
 from quillspark.session import spread, table

@@ -11,9 +11,13 @@ LATE = "7 days"  # how long a day stays open for rows that arrive late
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The query log as a stream; ``path`` is a folder of files, or one file."""
     schema = spark.read.parquet(path).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return spark.readStream.schema(schema).parquet(path)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name if "." in name else "*").parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
 def daily_counts(log: DataFrame, late: str = LATE) -> DataFrame:

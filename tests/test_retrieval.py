@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from quillspark.operators import dense, fusion, sparse
 
 ROWS = "ord long, book string, chunk_index int, scene_id string"
