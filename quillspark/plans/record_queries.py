@@ -187,7 +187,7 @@ def sample_stratified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    s = retrieval.stages(spark, sf)
+    s = retrieval.wide_stages(spark, sf)
     every = retrieval.reranked(s)
     final = fusion.capped(every, "eval_id", "book", "rerank_rank", fixed.TOP_K, fixed.BOOK_CAP)
     ids = s.rows.select("ord", "id")

@@ -77,6 +77,11 @@ def stages(spark: SparkSession, sf: str) -> Stages:
     return Stages(spark, sf)
 
 
+def wide_stages(spark: SparkSession, sf: str) -> Stages:
+    """With the longer dense and BM25 tops that candidates for reranking are made of."""
+    return Stages(spark, sf, fixed.WIDE_TOP_N, fixed.WIDE_TOP_N)
+
+
 def _places(s: Stages) -> DataFrame:
     return s.rows.select("ord", "book", "chunk_index", "scene_id")
 
@@ -84,10 +89,10 @@ def _places(s: Stages) -> DataFrame:
 def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
     """``eval_id, ord, out_rank`` without routing: scenes of the best candidates in document order, then the rescue slot."""
     fused = s.fused.withColumnRenamed("fused_rank", "rank")
-    base = saved(fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k).select("eval_id", "ord", "out_rank"), "expanded")
+    base = saved(fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k, s.tops[0]).select("eval_id", "ord", "out_rank"), "expanded")
     vectored = s.sparse.join(s.rows.select("ord"), "ord", "left_semi")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings)
-    return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k)
+    return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k, *s.tops)
 
 
 def in_books(s: Stages, routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,12 +111,12 @@ def in_books(s: Stages, routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 
 def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, routes: int = fixed.ROUTE_BOOKS) -> DataFrame:
     """``eval_id, ord, book, score, out_rank``: each routed book expanded and rescued by itself, then merged under the cap."""
-    books = saved(fusion.route_books(s.fused, s.sparse, s.rows, "eval_id", "ord", routes, max(fixed.VECTOR_TOP_N, fixed.BM25_TOP_N, 8 * routes)), "routes")
+    books = saved(fusion.route_books(s.fused, s.sparse, s.rows, "eval_id", "ord", routes, max(*s.tops, 8 * routes)), "routes")
     scope = ["eval_id", "route_book"]
     d, b, f = (saved(x, "in-books") for x in in_books(s, books))
-    base = saved(fusion.expand_scenes(f, _places(s), scope, "ord", top_k).select(*scope, "ord", "out_rank"), "expanded")
+    base = saved(fusion.expand_scenes(f, _places(s), scope, "ord", top_k, s.tops[0]).select(*scope, "ord", "out_rank"), "expanded")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, books.select("eval_id", F.col("book").alias("route_book")))
-    found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k)
+    found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k, *s.tops)
     merged = found.join(f.select(*scope, "ord", "score"), [*scope, "ord"]).join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("score"), "route_rank", "out_rank"))).drop("out_rank")
     return fusion.capped(ranked, "eval_id", "route_book", "rank", top_k, cap).select("eval_id", "ord", F.col("route_book").alias("book"), "score", "out_rank")
@@ -124,10 +129,23 @@ def lexical_overlap(pairs: DataFrame, query_text: str, text: str) -> DataFrame:
     return pairs.withColumn("rerank_score", F.round(share, 9))
 
 
-def reranked(s: Stages, candidates: int = fixed.RERANK_CANDIDATES) -> DataFrame:
-    """``eval_id, ord, book, base_score, cand_rank, rerank_score, rerank_rank`` of the first candidates of each query."""
-    cand = s.fused.where(F.col("fused_rank") <= candidates).select("eval_id", "ord", F.col("score").alias("base_score"), F.col("fused_rank").alias("cand_rank"))
-    pairs = cand.join(s.rows.select("ord", "book", "text"), "ord").join(s.queries.select("eval_id", "question"), "eval_id")
+def candidates(s: Stages, count: int = fixed.RERANK_CANDIDATES) -> DataFrame:
+    """``eval_id, ord, base_score, cand_rank``: what the whole retrieval finds for each query, with ``count`` as size and cap.
+
+    A corpus of one book is not routed; a query for which no book yields a row takes the first fused rows.
+    """
+    fused = s.fused.select("eval_id", "ord", F.col("score").alias("base_score"), F.col("fused_rank").alias("cand_rank"))
+    if s.chunks.select("book").distinct().limit(2).count() > 1:
+        found = routed(s, count, count).select("eval_id", "ord", F.col("score").alias("base_score"), F.col("out_rank").alias("cand_rank"))
+    else:
+        found = unrouted(s, count).join(fused.drop("cand_rank"), ["eval_id", "ord"], "left").select("eval_id", "ord", F.coalesce("base_score", F.lit(0.0)).alias("base_score"), F.col("out_rank").alias("cand_rank"))
+    found = saved(found, "candidates")
+    return found.unionByName(fused.where(F.col("cand_rank") <= count).join(found.select("eval_id"), "eval_id", "left_anti"))
+
+
+def reranked(s: Stages, count: int = fixed.RERANK_CANDIDATES) -> DataFrame:
+    """``eval_id, ord, book, base_score, cand_rank, rerank_score, rerank_rank`` of the candidates of each query."""
+    pairs = candidates(s, count).join(s.rows.select("ord", "book", "text"), "ord").join(s.queries.select("eval_id", "question"), "eval_id")
     scored = lexical_overlap(pairs, "question", "text").drop("text", "question")
     by = Window.partitionBy("eval_id").orderBy(F.desc("rerank_score"), "cand_rank")
     return scored.withColumn("rerank_rank", F.row_number().over(by))

@@ -93,7 +93,7 @@ def book_cap_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rerank_select(spark: SparkSession, sf: str) -> DataFrame:
-    s = retrieval.stages(spark, sf)
+    s = retrieval.wide_stages(spark, sf)
     return retrieval.rerank_select(s).select("eval_id", "ord", "book", "cand_rank", F.round("rerank_score", 6).alias("rerank_score"), "out_rank")
 
 

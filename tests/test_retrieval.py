@@ -1,4 +1,5 @@
 from quillspark.operators import dense, fusion, sparse
+from quillspark.plans import retrieval
 
 ROWS = "ord long, book string, chunk_index int, scene_id string"
 
@@ -87,3 +88,19 @@ def test_bm25_hits_without_a_vector_are_not_returned(spark):
     b = spark.createDataFrame([(1, 6, 3.0, 1)], "q int, ord long, bm25 double, bm25_rank int")
     got = fusion.fuse(d, b, spark.createDataFrame([(5,)], "ord long"), "q", "ord").collect()
     assert [(r["ord"], r["score"]) for r in got] == [(5, 0.8)]
+
+
+def corpus(spark, folder, books):
+    """Tables of one question whose vector is that of the first row: per book a name and its rows' scenes and cosines."""
+    rows = [(f"{name}-{i}", name, i, scene, f"{name} 的灯塔", [cos, (1 - cos * cos) ** 0.5] + [0.0] * 62) for name, own in books for i, (scene, cos) in enumerate(own)]
+    rows = [(*r, n) for n, r in enumerate(rows)]
+    spark.createDataFrame(rows, "id string, book_name string, chunk_index int, scene_id string, text string, embedding array<double>, ord long").write.parquet(f"{folder}/chunks.parquet")
+    spark.createDataFrame([(20, "海边", rows[0][0])], "eval_id long, question string, gold_chunk_id string").write.parquet(f"{folder}/eval_items.parquet")
+    return str(folder)
+
+
+def test_reranked_candidates_come_from_the_whole_retrieval(spark, tmp_path):
+    long = [("s1", 1.0), ("s1", 0.5)] + [(f"s{i // 20 + 2}", 0.9 - i / 200) for i in range(38)]  # row 1 is the 40th, next to the first
+    sf = corpus(spark, tmp_path, [("A", long), ("B", [("s1", 0.1 - i / 1000) for i in range(10)])])
+    got = {r["ord"]: r["cand_rank"] for r in retrieval.candidates(retrieval.wide_stages(spark, sf)).collect()}
+    assert len(got) == 30 and got[0] == 1 and got[1] == 30
