@@ -86,10 +86,31 @@ def _places(s: Stages) -> DataFrame:
     return s.rows.select("ord", "book", "chunk_index", "scene_id")
 
 
-def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
-    """``eval_id, ord, out_rank`` without routing: scenes of the best candidates in document order, then the rescue slot."""
+def _scened(rows: DataFrame) -> DataFrame:
+    """Per book of ``rows`` whether any of them has a scene: ``route_book, scened``."""
+    return rows.groupBy(F.col("book").alias("route_book")).agg(F.bool_or(F.col("scene_id") != fixed.NO_SCENE).alias("scened"))
+
+
+def has_scenes(s: Stages) -> bool:
+    return not _scened(s.rows).where("scened").isEmpty()
+
+
+def expanded(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
+    """``eval_id, ord, out_rank``: scenes of the best candidates in document order, or the best rows where no row has a scene."""
     fused = s.fused.withColumnRenamed("fused_rank", "rank")
-    base = saved(fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k, s.tops[0]).select("eval_id", "ord", "out_rank"), "expanded")
+    if not has_scenes(s):
+        return fused.where(F.col("rank") <= top_k).select("eval_id", "ord", F.col("rank").alias("out_rank"))
+    return fusion.expand_scenes(fused, _places(s), ["eval_id"], "ord", top_k, s.tops[0]).select("eval_id", "ord", "out_rank")
+
+
+def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
+    """``eval_id, ord, out_rank`` without routing: scenes of the best candidates in document order, then the rescue slot.
+
+    Where no row has a scene there is neither, and the best rows stay.
+    """
+    if not has_scenes(s):
+        return expanded(s, top_k)
+    base = saved(expanded(s, top_k), "expanded")
     vectored = s.sparse.join(s.rows.select("ord"), "ord", "left_semi")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings)
     return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k, *s.tops)
@@ -110,13 +131,18 @@ def in_books(s: Stages, routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, routes: int = fixed.ROUTE_BOOKS) -> DataFrame:
-    """``eval_id, ord, book, score, out_rank``: each routed book expanded and rescued by itself, then merged under the cap."""
+    """``eval_id, ord, book, score, out_rank``: each routed book expanded and rescued by itself, then merged under the cap.
+
+    A book none of whose rows has a scene gives its best rows as they are.
+    """
     books = saved(fusion.route_books(s.fused, s.sparse, s.rows, "eval_id", "ord", routes, max(*s.tops, 8 * routes)), "routes")
     scope = ["eval_id", "route_book"]
     d, b, f = (saved(x, "in-books") for x in in_books(s, books))
-    base = saved(fusion.expand_scenes(f, _places(s), scope, "ord", top_k, s.tops[0]).select(*scope, "ord", "out_rank"), "expanded")
+    f = f.join(_scened(s.rows), "route_book")
+    base = saved(fusion.expand_scenes(f.where("scened"), _places(s), scope, "ord", top_k, s.tops[0]).select(*scope, "ord", "out_rank"), "expanded")
     coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, books.select("eval_id", F.col("book").alias("route_book")))
     found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k, *s.tops)
+    found = found.unionByName(f.where(~F.col("scened") & (F.col("rank") <= top_k)).select(*scope, "ord", F.col("rank").alias("out_rank")))
     merged = found.join(f.select(*scope, "ord", "score"), [*scope, "ord"]).join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("score"), "route_rank", "out_rank"))).drop("out_rank")
     return fusion.capped(ranked, "eval_id", "route_book", "rank", top_k, cap).select("eval_id", "ord", F.col("route_book").alias("book"), "score", "out_rank")

@@ -68,8 +68,7 @@ def neighbor_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scene_expand(spark: SparkSession, sf: str) -> DataFrame:
-    s = retrieval.stages(spark, sf)
-    return fusion.expand_scenes(s.fused.withColumnRenamed("fused_rank", "rank"), s.rows, ["eval_id"], "ord").select("eval_id", "ord", "out_rank")
+    return retrieval.expanded(retrieval.stages(spark, sf))
 
 
 def rescue_evidence(spark: SparkSession, sf: str) -> DataFrame:

@@ -104,3 +104,14 @@ def test_reranked_candidates_come_from_the_whole_retrieval(spark, tmp_path):
     sf = corpus(spark, tmp_path, [("A", long), ("B", [("s1", 0.1 - i / 1000) for i in range(10)])])
     got = {r["ord"]: r["cand_rank"] for r in retrieval.candidates(retrieval.wide_stages(spark, sf)).collect()}
     assert len(got) == 30 and got[0] == 1 and got[1] == 30
+
+
+def test_books_without_scenes_are_not_expanded(spark, tmp_path):
+    best = {0: 1.0, 5: 0.9, 10: 0.8, 15: 0.7, 19: 0.6}
+    legacy = ("L", [(None if i % 2 else "scene-000", best.get(i, 0.3)) for i in range(20)])
+    sf = corpus(spark, tmp_path / "two", [legacy, ("B", [("s1", 0.1), ("s1", 0.05)])])
+    got = {r["ord"] for r in retrieval.routed(retrieval.stages(spark, sf)).collect()}
+    assert got == {0, 5, 10, 20, 21}  # the best three of the legacy book, then the other book
+    s = retrieval.stages(spark, corpus(spark, tmp_path / "one", [legacy]))
+    for found in (retrieval.expanded(s), retrieval.unrouted(s)):
+        assert [r["ord"] for r in found.orderBy("out_rank").collect()] == [0, 5, 10, 15, 19]
