@@ -51,8 +51,10 @@ ASKED = {
 TERMINAL = "。.!?…！？｡؟"
 CLOSERS = "”’」』»）)》】]\"'*_`〉"
 OPEN_CLOSE = ("“”", "「」", "『』", "《》", "（）", "()", "【】", "«»", "[]")
+SPEECH = ("“”", "「」", "『』", "«»")
 SHORT_PHRASE = 12  # letters; counts of words for scripts with blanks are below
 SHORT_WORDS = 6
+REFUSED = 1 / 6  # share of a response's letters from which a refusal that does not open it makes it one
 _NOT_WORD = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _SENTENCE = re.compile(r"[^。.!?\n]+[。.!?\n]*")
@@ -83,8 +85,16 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def _quoted(text: str, at: int) -> bool:
+    """Whether the first letter of ``text`` from ``at`` stands inside a quotation."""
+    while at < len(text) and not text[at].isalnum():
+        at += 1
+    head = text[:at]
+    return head.count('"') % 2 == 1 or any(head.count(open_) > head.count(close) for open_, close in SPEECH)
+
+
 class Refusals:
-    """Aligns the first sentences of a response with the templates."""
+    """Aligns the sentences of a response, and pairs of neighbouring ones, with the templates."""
 
     def __init__(self) -> None:
         self.templates = [[_letters(canonical(part)) for part in t.split("*")] for line in REFUSALS.strip().split("\n") for t in line.split("|")]
@@ -97,11 +107,18 @@ class Refusals:
                 self.by_shingle.setdefault(g, set()).add(k)
 
     def found(self, response: str, prompt_letters: str) -> bool:
-        sentences = [s for m in _SENTENCE.finditer(response) if (s := _letters(m.group()))]
-        for s in sentences[:2]:
-            if self.sentence(s[:200], prompt_letters) or len(sentences) > 1 and self.sentence("".join(sentences[:2])[:200], prompt_letters):
-                return True
-        return False
+        """Whether the response opens with a refusal, or its sentences that refuse, but for speech in quotes, are enough of it."""
+        found = [(m.start(), s) for m in _SENTENCE.finditer(response) if (s := _letters(m.group()))]
+        sentences = [s for _, s in found]
+        alone = [self.sentence(s, prompt_letters) for s in sentences]
+        paired = [not (alone[i] or alone[i + 1]) and self.sentence(sentences[i] + sentences[i + 1], prompt_letters) for i in range(len(found) - 1)]
+        if any(alone[:2]) or any(paired[:1]):
+            return True
+        refused = 0
+        for i, (start, s) in enumerate(found):
+            if (alone[i] or any(paired[max(0, i - 1) : i + 1])) and not _quoted(response, start):
+                refused += len(s)
+        return refused > 0 and refused >= REFUSED * sum(map(len, sentences))
 
     def sentence(self, s: str, prompt: str) -> bool:
         """Whether a template is covered to nine tenths, in order, and little else is said but a greeting or the matter asked for."""
@@ -114,13 +131,16 @@ class Refusals:
                 continue
             parts = self.templates[k]
             whole = "".join(parts)
+            most = max(6, len(whole) // 4)
+            if len(s) - len(whole) - (max(len(prompt), 12) if len(parts) > 1 else 0) > most:  # too long however well it aligns
+                continue
             covered = common(whole, s)
             if covered < 0.9 * len(whole):
                 continue
             extra = len(s) - covered
             if len(parts) > 1:  # the stretch named by * may be long, but it comes from the prompt or is a short name
                 extra = max(0, extra - max(common(s, prompt) if prompt else 0, 12))
-            if extra <= max(6, len(whole) // 4):
+            if extra <= most:
                 return True
         return False
 

@@ -85,3 +85,13 @@ def test_longest_common_subsequence():
 def test_no_pairs(spark, model):
     df = spark.createDataFrame([], "id long, q string, a string")
     assert defects.defective_pairs(df, model, "id", "q", "a").count() == 0
+
+
+def test_refusals_anywhere_and_of_any_length():
+    refusals, judged = defects.Refusals(), lambda q, a: refusals.found(defects.canonical(a), defects._letters(defects.canonical(q)))
+    assert judged("Who came?", "Hello. Thanks for asking. I checked the passages. Sorry, I can't help with that.")
+    assert judged("夏在盐仓找到了什么？", "你好。谢谢你的提问。我看过了给出的段落。根据现有片段，信息不足，无法判断。")
+    question = "the keeper of the northern harbour who gave the captain of the third ship an old map of the salt stores, a sealed letter from the late miller, two lanterns without oil, a silver key for the hidden gate below the bridge and the promise of his brother"
+    assert len(defects._letters(question)) > 180 and judged(f"What is said of {question}?", f"There is no mention of {question} in the provided excerpts, so I won't guess.")
+    story = "夏在盐仓找到了旧地图和一只信匣，把它们带回了灯塔。梅追问地图的来历，两人沿着海岸走了整整一夜。天亮时守门人才开口。"
+    assert not judged("夏在盐仓找到了什么？", story + "“我不知道。”他说。") and not judged("夏在盐仓找到了什么？", story + "梅也不清楚。")
