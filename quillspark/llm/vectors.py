@@ -1,8 +1,8 @@
 """Problem 1: for every vector the most similar vectors of the collection.
 
-An inverted file of coarse centroids with product-quantised residuals: vectors lie in the list of their nearest centroid,
-each vector asks the lists of its nearest centroids, candidates are found with asymmetric distance tables and reranked
-by their exact cosine.
+An inverted file of coarse centroids: vectors lie in the list of their nearest centroid, each vector asks the lists of its
+nearest centroids and is compared with every entry of these, by a product of matrices first and by the exact cosine where
+that decides.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 K = 5
 SAMPLE = 32_768  # vectors the index is fitted on at most, chosen by the hashes of their keys
-LIST_ROWS, MOST_LISTS, PROBES, RERANK, GROUP_ROWS = 200, 4096, 5, 64, 4000
-PARTS, CODES, BOOK_SAMPLE = 32, 256, 8192
+LIST_ROWS, MOST_LISTS, PROBES, GROUP_ROWS = 200, 4096, 5, 4000
+SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding to 6 digits can be off
 
 
 @dataclass
 class Index:
     centroids: np.ndarray  # lists x dimensions, unit length
-    books: np.ndarray  # parts x codes x dimensions of a part
-    group: np.ndarray  # group of lists that one task holds together
+    group: np.ndarray  # group of lists that one task holds together; the first one of a list that several share
+    shares: np.ndarray  # groups over which the entries of a list are spread
     probes: int
 
 
@@ -44,51 +44,27 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, un
 
 
 def fit(sample: np.ndarray, n_rows: int, probes: int = PROBES, seed: int = 7) -> Index:
-    """Centroids, code books and groups of lists from a sample of unit vectors of a collection of ``n_rows``."""
+    """Centroids and groups of lists from a sample of unit vectors of a collection of ``n_rows``."""
     rng = np.random.default_rng(seed)
-    dims = sample.shape[1]
     lists = int(np.clip(n_rows // LIST_ROWS, 1, min(MOST_LISTS, max(1, len(sample) // 4))))
     centroids = _kmeans(sample, lists, rng, unit=True)
     near = (sample @ centroids.T).argmax(1)
-    rest = sample - centroids[near]
-    parts = np.array_split(np.arange(dims), min(PARTS, dims))
-    width = max(map(len, parts))
-    rest = rest[:BOOK_SAMPLE]
-    books = np.zeros((len(parts), CODES, width), np.float32)
-    for i, own in enumerate(parts):
-        books[i, :, : len(own)] = _kmeans(np.ascontiguousarray(rest[:, own]), CODES, rng)
     rows = np.bincount(near, minlength=lists) * (n_rows / max(1, len(sample)))
-    group, todo = np.zeros(lists, np.int32), [np.arange(lists)]
+    group, shares, todo = np.zeros(lists, np.int32), np.ones(lists, np.int32), [np.arange(lists)]
     n = 0
     while todo:  # neighbouring lists stay together: halves along the widest direction until a half is small
         own = todo.pop()
         if len(own) == 1 or rows[own].sum() <= GROUP_ROWS:
             group[own] = n
-            n += 1
+            if len(own) == 1:
+                shares[own] = max(1, int(np.ceil(rows[own[0]] / GROUP_ROWS)))
+            n += int(shares[own].max())
             continue
         x = centroids[own] - centroids[own].mean(0)
         order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0])
         cut = int(np.clip(np.searchsorted(np.cumsum(rows[own][order]), rows[own].sum() / 2), 1, len(own) - 1))
         todo += [own[order[:cut]], own[order[cut:]]]
-    return Index(centroids, books, group, min(probes, lists))
-
-
-def _parts(index: Index, x: np.ndarray) -> list[np.ndarray]:
-    return [np.ascontiguousarray(p) for p in np.array_split(x, len(index.books), axis=1)]
-
-
-def encode(index: Index, rest: np.ndarray) -> np.ndarray:
-    """Product codes of residuals."""
-    out = np.empty((len(rest), len(index.books)), np.uint8)
-    for i, x in enumerate(_parts(index, rest)):
-        book = index.books[i][:, : x.shape[1]]
-        out[:, i] = (x @ book.T - 0.5 * (book * book).sum(1)).argmax(1)
-    return out
-
-
-def tables(index: Index, queries: np.ndarray) -> np.ndarray:
-    """Asymmetric tables: the product of each part of a query with each code (parts, queries, codes)."""
-    return np.stack([x @ index.books[i][:, : x.shape[1]].T for i, x in enumerate(_parts(index, queries))])
+    return Index(centroids, group, shares, min(probes, lists))
 
 
 def usable(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,71 +76,74 @@ def usable(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # first, lest squares overflow or vanish
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int, rerank: int) -> Iterator[tuple[bytes, list[tuple[float, str]]]]:
-    """For each asking vector its best ``k`` keys among the lists of this group: (-cosine rounded to 6 digits, key)."""
+def _firsts(k: int, owner: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Positions of the first ``k`` of each owner in the order of the keys, the last being the most important."""
+    by = np.lexsort((*order, owner))
+    own = owner[by]
+    return by[np.arange(len(by)) - np.searchsorted(own, own) < k]
+
+
+def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int) -> Iterator[tuple[bytes, list[tuple[float, str]]]]:
+    """For each asking vector its best ``k`` keys among the lists of this group: (-cosine rounded to 6 digits, key).
+
+    Of entries with their keys in order, those of the best ``k`` by cosine, then first key, hold the best ``k`` keys.
+    """
     if not len(base) or not len(asking):
         return
     base = base.sort_values("cell", kind="stable")
     vec = np.frombuffer(b"".join(base["vec"]), np.float32).reshape(len(base), -1)
-    codes = np.frombuffer(b"".join(base["code"]), np.uint8).reshape(len(base), -1)
     cells, first = np.unique(base["cell"].to_numpy(), return_index=True)
     bounds = {int(c): (int(a), int(b)) for c, a, b in zip(cells, first, [*first[1:], len(base)])}
-    ids = base["ids"].to_list()
+    ids = [sorted(names) for names in base["ids"]]
+    place = np.empty(len(ids), np.int64)  # of an entry by its first key
+    place[sorted(range(len(ids)), key=lambda i: ids[i][0])] = np.arange(len(ids))
     for low in range(0, len(asking), 2000):
         block = asking.iloc[low : low + 2000]
         q = np.frombuffer(b"".join(block["vec"]), np.float32).reshape(len(block), -1)
         probes = [np.frombuffer(p, np.int32) for p in block["probes"]]
         flat, owner = np.concatenate(probes), np.repeat(np.arange(len(block)), list(map(len, probes)))
-        table = tables(index, q)
         found_q, found_b, found_s = [], [], []
         for cell in np.unique(flat):
             if int(cell) not in bounds:
                 continue
             a, b = bounds[int(cell)]
             who = owner[flat == cell]
-            for start in range(a, b, 20_000):
-                stop = min(b, start + 20_000)
-                score = np.repeat((q[who] @ index.centroids[cell])[:, None], stop - start, axis=1)
-                for i in range(codes.shape[1]):
-                    score += table[i][who].take(codes[start:stop, i], axis=1)
-                if stop - start > rerank:
-                    best = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
+            for start in range(a, b, 1000):
+                stop = min(b, start + 1000)
+                score = q[who] @ vec[start:stop].T
+                if stop - start > k:
+                    row, at = np.nonzero(score >= np.partition(score, stop - start - k, axis=1)[:, [stop - start - k]] - SLACK)
                 else:
-                    best = np.broadcast_to(np.arange(stop - start), score.shape)
-                found_q.append(np.repeat(who, best.shape[1]))
-                found_b.append((best + start).ravel())
-                found_s.append(np.take_along_axis(score, best, 1).ravel())
+                    row, at = (x.ravel() for x in np.indices(score.shape))
+                fq, fb = who[row], at + start
+                exact = np.concatenate([np.round(np.einsum("ij,ij->i", q[fq[i : i + 50_000]].astype(np.float64), vec[fb[i : i + 50_000]].astype(np.float64)), 6) for i in range(0, len(fq), 50_000)])
+                kept = _firsts(k, fq, place[fb], -exact)
+                found_q.append(fq[kept])
+                found_b.append(fb[kept])
+                found_s.append(exact[kept])
         if not found_q:
             continue
-        fq, fb, fs = np.concatenate(found_q), np.concatenate(found_b), np.concatenate(found_s)
-        order = np.lexsort((-fs, fq))
-        fq, fb = fq[order], fb[order]
-        start = np.searchsorted(fq, np.arange(len(block)))
-        near = np.arange(len(fq)) - start[fq] < rerank
-        fq, fb = fq[near], fb[near]
-        exact = np.round(np.einsum("ij,ij->i", q[fq].astype(np.float64), vec[fb].astype(np.float64)), 6)
-        order = np.lexsort((-exact, fq))
-        fq, fb, exact = fq[order], fb[order], exact[order]
+        fq, fb, exact = np.concatenate(found_q), np.concatenate(found_b), np.concatenate(found_s)
+        kept = _firsts(k, fq, place[fb], -exact)
+        fq, fb, exact = fq[kept], fb[kept], exact[kept]
         start = np.searchsorted(fq, np.arange(len(block) + 1))
         for i, key in enumerate(block["vkey"]):
             s, e = start[i], start[i + 1]
-            if s == e:
-                continue
-            last = exact[min(s + k, e) - 1]  # the k-th, with all its ties
-            stop = s + int((exact[s:e] >= last).sum())
-            yield key, sorted((-float(x), name) for x, j in zip(exact[s:stop], fb[s:stop]) for name in ids[j])[:k]
+            if s < e:
+                yield key, sorted((-float(x), name) for x, j in zip(exact[s:e], fb[s:e]) for name in ids[j])[:k]
 
 
-def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims: int = 64, k: int = K, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims: int = 64, k: int = K, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` most similar rows of every row by cosine: key, rank, neighbour, similarity (6 digits).
 
     Ties go to the smaller key. Rows with a null key, a null vector or one that is not ``dims`` finite numbers, or all
-    zero, take no part; a repeated key counts once. Equal vectors are one entry of the index with its ``k + 1`` smallest
+    zero, take no part; a repeated key counts once. Vectors of one direction are one entry of the index with its ``k + 1`` smallest
     keys, which is all that any row can need of them, and are asked for once; so any number of copies costs no more.
-    The index is fitted on at most ``sample`` vectors and holds every row; with ``probes`` lists asked the loss measured
+    Within the lists asked nothing is cut: every entry is compared. A list of more than ``GROUP_ROWS`` rows is spread over
+    several tasks. The index is fitted on at most ``sample`` vectors and holds every row; with ``probes`` lists asked the loss measured
     on the test tables is under two in a hundred neighbours. An empty collection gives no rows.
     """
     spark = df.sparkSession
@@ -176,8 +155,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             ok, x = usable(batch.column("v"), dims)
             u = unit(x)
             names = batch.column("id").filter(pa.array(ok))
-            keys = pa.array([xxhash.xxh3_128_digest(np.ascontiguousarray(r).tobytes()) for r in x + 0.0], pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, names, pa.array([r.tobytes() for r in u], pa.binary())], ["vkey", "id", "vec"])
+            keys = pa.array([xxhash.xxh3_128_digest(np.ascontiguousarray(r).tobytes()) for r in np.round(u, 8) + 0.0], pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, names, pa.array([r.tobytes() for r in u.astype(np.float32)], pa.binary())], ["vkey", "id", "vec"])
 
     flat = rows.mapInArrow(plain, f"vkey binary, id {kind}, vec binary")
     n_rows = rows.count()
@@ -189,7 +168,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     shared = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
 
     by_vector = Window.partitionBy("vkey").orderBy("id")
-    entries = flat.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).groupBy("vkey").agg(F.collect_set("id").alias("ids"), F.first("vec").alias("vec"))
+    entries = flat.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).groupBy("vkey").agg(F.collect_set("id").alias("ids"), F.min("vec").alias("vec"))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
@@ -199,8 +178,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             x = np.frombuffer(b"".join(batch["vec"]), np.float32).reshape(len(batch), -1)
             near = x @ index.centroids.T
             cell = near.argmax(1)
-            code = encode(index, x - index.centroids[cell])
-            yield pd.DataFrame({"grp": index.group[cell], "vkey": batch["vkey"], "ids": batch["ids"], "vec": batch["vec"], "cell": cell.astype(np.int32), "code": [r.tobytes() for r in code], "probes": None})
+            share = np.array([int.from_bytes(v[:4], "little") for v in batch["vkey"]]) % index.shares[cell]
+            yield pd.DataFrame({"grp": (index.group[cell] + share).astype(np.int32), "vkey": batch["vkey"], "ids": batch["ids"], "vec": batch["vec"], "cell": cell.astype(np.int32), "probes": None})
             asked = np.argpartition(-near, index.probes - 1, axis=1)[:, : index.probes].astype(np.int32)
             group = index.group[asked]
             order = np.argsort(group, axis=1, kind="stable")
@@ -209,13 +188,16 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             who, at = np.nonzero(first)
             end = np.append(at[1:], 0)
             end[np.append(who[1:] != who[:-1], True)] = index.probes
-            yield pd.DataFrame({"grp": group[who, at], "vkey": batch["vkey"].to_numpy()[who], "ids": None, "vec": batch["vec"].to_numpy()[who], "cell": np.int32(-1), "code": None, "probes": [asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)]})
+            times = index.shares[asked[who, at]]  # a list with shares is alone in its groups, all of which are asked
+            grp = np.repeat(group[who, at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            who, at, end = (np.repeat(x, times) for x in (who, at, end))
+            yield pd.DataFrame({"grp": grp.astype(np.int32), "vkey": batch["vkey"].to_numpy()[who], "ids": None, "vec": batch["vec"].to_numpy()[who], "cell": np.int32(-1), "probes": [asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)]})
 
-    lists = entries.mapInPandas(listed, f"grp int, vkey binary, ids array<{kind}>, vec binary, cell int, code binary, probes binary")
+    lists = entries.mapInPandas(listed, f"grp int, vkey binary, ids array<{kind}>, vec binary, cell int, probes binary")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         held = group["cell"].to_numpy() >= 0
-        hits = search_group(shared.value, group[held], group[~held], k + 1, rerank)
+        hits = search_group(shared.value, group[held], group[~held], k + 1)
         return pd.DataFrame([(name, [(s, n) for s, n in best]) for name, best in hits], columns=["vkey", "best"])
 
     part = lists.groupBy("grp").applyInPandas(search, f"vkey binary, best array<struct<far: double, near: {kind}>>")

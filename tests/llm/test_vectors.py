@@ -46,3 +46,26 @@ def test_small_and_empty_collections(spark):
     assert vectors.most_similar(table(spark, [("a", one)])).count() == 0
     got = vectors.most_similar(table(spark, [("a", one), ("b", [2.0] * 64), ("c", [-1.0] * 64)])).orderBy("id", "rank").collect()
     assert [(r["id"], r["neighbour"], r["similarity"]) for r in got][:2] == [("a", "b", 1.0), ("a", "c", -1.0)]
+
+
+def test_many_rows_of_one_direction_or_nearly_so(spark):
+    rng = np.random.default_rng(3)
+    one, other = rng.normal(size=64), rng.normal(size=64)
+    rows = [(f"l{i:03d}", (one * rng.uniform(0.1, 9)).tolist()) for i in range(300)]
+    rows += [(f"n{i:03d}", (other + 1e-6 * rng.normal(size=64)).tolist()) for i in range(300)]
+    rows = [rows[i] for i in rng.permutation(600)]
+    got = {}
+    for r in vectors.most_similar(table(spark, rows)).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    for kind in "ln":
+        names = [f"{kind}{i:03d}" for i in range(300)]
+        assert all(got[x] == [y for y in names[:6] if y != x][:5] for x in names)
+
+
+def test_a_large_list_is_shared_by_groups():
+    x = np.eye(64, dtype=np.float32)[[0] * 900 + [1] * 100]
+    index = vectors.fit(x, 20_000)
+    near = (x @ index.centroids.T).argmax(1)
+    assert index.shares[near[0]] >= 4
+    taken = [g for c in np.unique(near) for g in range(index.group[c], index.group[c] + index.shares[c])]
+    assert len(set(taken)) >= 4 and sum(index.group == index.group[near[0]]) == 1
