@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,10 @@ ASKED = {
     "es": r"[用以]西班牙[语語文]|スペイン語で|스페인어로|\bin spanish\b|\bauf spanisch\b|\ben espagnol\b|\ben español\b|\bem espanhol\b",
     "pt": r"[用以]葡萄牙[语語文]|ポルトガル語で|포르투갈어로|\bin portuguese\b|\bauf portugiesisch\b|\ben portugais\b|\ben portugués\b|\bem português\b",
 }
+# Scripts of the languages; those not named are written in Latin letters.
+SCRIPTS = {"zh": {"CJK"}, "ja": {"CJK", "HIRAGANA", "KATAKANA"}, "ko": {"HANGUL"}}
+SURE, A_LETTER = 12, 2  # nats by which another language must lead: for the whole text, and for each letter of a short one
+LEAST = 6
 TERMINAL = "。.!?…！？｡؟"
 CLOSERS = "”’」』»）)》】]\"'*_`〉"
 OPEN_CLOSE = ("“”", "「」", "『』", "《》", "（）", "()", "【】", "«»", "[]")
@@ -183,6 +188,18 @@ def breaks_off(form: str) -> bool:
     return spaced > SHORT_WORDS if core.isascii() or spaced > 3 else len(_letters(core)) > SHORT_PHRASE
 
 
+def scripts(text: str) -> set[str]:
+    """The scripts of the letters of a text, by the first words of their names."""
+    names = {unicodedata.name(c, "").split("-")[0].split(" ")[0] for c in set(text) if c.isalpha()}
+    return {"CJK" if x == "IDEOGRAPHIC" else x for x in names if x}
+
+
+def is_sign(text: str) -> bool:
+    """Whether a text has no word that belongs to a language: numbers with units, abbreviations."""
+    words = re.findall(r"[^\W_]+", text)
+    return not any(w.isalpha() and not (w.isascii() and (len(w) < 2 or w.isupper())) for w in words) or text.isascii() and any(c.isdigit() for c in text)
+
+
 class Judge:
     """The one defect of a pair, or None; in this order: empty, refusal, echo, language, truncated."""
 
@@ -193,6 +210,30 @@ class Judge:
     def language(self, text: str) -> pd.Series:
         return self.scorer.sums(text)[-1]
 
+    def other_language(self, asked: str, said: str, prompt_letters: str, letters: str) -> bool:
+        """Whether the answer is in a language that the question neither has nor asks for.
+
+        Another language must lead by a margin that grows with a short answer's letters; an answer without a letter
+        of a script that the question's language has is in another one. Names from the question and signs are no language.
+        """
+        if not any(map(str.isalpha, letters)) or not any(map(str.isalpha, prompt_letters)):
+            return False
+        names = self.scorer.model.languages
+        p, r = self.language(asked), self.language(said)
+        own, best = int(p.argmax()), int(r.argmax())
+        wanted = lambda x: x in self.asked and bool(self.asked[x].search(asked))
+        if len(letters) >= 6 and len(prompt_letters) >= 4 and own != best and r[best] - r[own] > SURE:
+            return not wanted(names[best])
+        if letters in prompt_letters or is_sign(said):
+            return False
+        held, asking = scripts(letters), scripts(prompt_letters)
+        for x, at in zip(names, p):
+            if p[own] - at <= SURE and SCRIPTS.get(x, {"LATIN"}) & asking:
+                asking = asking | SCRIPTS.get(x, {"LATIN"})
+        need = max(LEAST, min(SURE, A_LETTER * len(letters)))
+        other = not held & asking or own != best and r[best] - r[own] > need and p[own] - p[best] > LEAST
+        return bool(other) and not any(wanted(x) for x in names if held <= SCRIPTS.get(x, {"LATIN"}))
+
     def defect(self, prompt: str | None, response: str | None) -> str | None:
         if response is None:
             return "empty"
@@ -206,12 +247,8 @@ class Judge:
             return "refusal"
         if gives_back(prompt_letters, letters):
             return "echo"
-        if len(letters) >= 6 and len(prompt_letters) >= 4:
-            names = self.scorer.model.languages
-            p, r = self.language(asked), self.language(said)
-            own, best = int(p.argmax()), int(r.argmax())
-            if own != best and r[best] - r[own] > 12 and not (names[best] in self.asked and self.asked[names[best]].search(asked)):
-                return "language"
+        if self.other_language(asked, said, prompt_letters, letters):
+            return "language"
         return "truncated" if breaks_off(said) else None
 
 

@@ -95,3 +95,11 @@ def test_refusals_anywhere_and_of_any_length():
     assert len(defects._letters(question)) > 180 and judged(f"What is said of {question}?", f"There is no mention of {question} in the provided excerpts, so I won't guess.")
     story = "夏在盐仓找到了旧地图和一只信匣，把它们带回了灯塔。梅追问地图的来历，两人沿着海岸走了整整一夜。天亮时守门人才开口。"
     assert not judged("夏在盐仓找到了什么？", story + "“我不知道。”他说。") and not judged("夏在盐仓找到了什么？", story + "梅也不清楚。")
+
+
+def test_short_answers_in_another_language(model):
+    judge = defects.Judge(model)
+    for q, a in (("What did the keeper hand to the captain?", "一张旧地图"), ("夏在盐仓找到了什么？", "지도"), ("夏在盐仓找到了什么？", "map"), ("지도는 어디에 있었습니까?", "港口"), ("谁来了？", "선장"), ("Who?", "守门人")):
+        assert judge.defect(q, a) == "language", (q, a)
+    for q, a in (("夏在盐仓找到了什么？", "旧地图"), ("夏见到了 Mei 还是 Bob？", "Bob"), ("地图有多长？", "5 km"), ("信匣上写着什么？", "NASA"), ("请用英语回答：夏在盐仓找到了什么？", "map"), ("船長は何を受け取りましたか。", "地図"), ("Who came?", "Corva"), ("Wie viele?", "drei"), ("谁来了？", "船长"), ("How many?", "12")):
+        assert judge.defect(q, a) is None, (q, a)
