@@ -3,70 +3,91 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import saved_parts
+
 BLOCK = 4096  # queries that go to the tasks at once; more are taken in several passes
 
 
-def top_dense(queries: DataFrame, rows: DataFrame, query: str, query_vector: str, key: str, vector: str, n: int) -> DataFrame:
+def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[list[Row]]:
+    """The queries in lists of at most ``size``, one list on the driver at a time; at least one list."""
+    rows = queries.toLocalIterator()
+    block = list(islice(rows, size))
+    yield block
+    while block := list(islice(rows, size)):
+        yield block
+
+
+def top_dense(queries: DataFrame, rows: DataFrame, query: str, query_vector: str, key: str, vector: str, n: int, within: DataFrame | None = None, group: str | None = None) -> DataFrame:
     """``query, key, cos, vec_rank``: the ``n`` rows of highest cosine (9 digits), ties by the smaller key.
 
     Vectors must be usable and of one length (see ``usable_vector``); one that is all zero has cosine 0 with any. Each
     task keeps the ``n`` best of its own rows per query, so only these are shuffled. Queries come in blocks of bounded
-    size, rows are never collected.
+    size, each of which is searched and written before the next is fetched; rows are never collected. With ``within``
+    (query, group) a query is compared with the rows of its groups only, ranks are those in each, and ``group`` is a
+    column of the result.
     """
-    kinds = dict(queries.dtypes)[query], dict(rows.dtypes)[key]
-    found = None
+    scope = [query] + [group] * bool(group)
+    kinds = dict(queries.dtypes) | dict(rows.dtypes)
     asked = queries.select(query, query_vector).where(F.col(query_vector).isNotNull())
-    block: list = []
-    blocks = []
-    for r in asked.toLocalIterator():
-        block.append((r[0], np.asarray(r[1], np.float64)))
-        if len(block) == BLOCK:
-            blocks.append(block)
-            block = []
-    if block or not blocks:
-        blocks.append(block)
-    for block in blocks:
-        shared = rows.sparkSession.sparkContext.broadcast(block)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    if group:
+        asked = asked.join(within.groupBy(query).agg(F.collect_set(group).alias("_groups")), query)  # as many as a query's routes
+    source = rows.select(*[group] * bool(group), key, vector)
+
+    def found(block: list[Row]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in block])
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = shared.value
             if not own:
                 return
-            names = np.array([q for q, _ in own])
-            q = np.stack([v for _, v in own])
+            names = np.array([r[0] for r in own])
+            q = np.array([r[1] for r in own], np.float64)
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            asks: dict = {}
+            for i, r in enumerate(own):
+                for g in r[2] if group else [None]:
+                    asks.setdefault(g, []).append(i)
+            pairs = sum(map(len, asks.values()))
             best: list[pd.DataFrame] = []
+            held = 0
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch[vector].to_list()).astype(np.float64)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                keys = batch[key].to_numpy()
-                order = np.argsort(keys, kind="stable")
-                cos = np.round(q @ x[order].T, 9)
-                if len(keys) > n:  # all rows at the n-th value stay, lest a tie is lost
-                    least = np.partition(cos, len(keys) - n, axis=1)[:, [len(keys) - n]]
-                    i, j = np.nonzero(cos >= least)
-                else:
-                    i, j = (a.ravel() for a in np.indices(cos.shape))
-                best.append(pd.DataFrame({query: names[i], key: keys[order][j], "cos": cos[i, j]}))
-                if sum(map(len, best)) > 4 * n * len(own):
-                    best = [_best(pd.concat(best), query, key, n)]
+                parts = batch.groupby(group, sort=False) if group else [(None, batch)]
+                for g, part in parts:
+                    who = np.array(asks.get(g, ()), np.int64)
+                    if not len(who) or not len(part):
+                        continue
+                    x = np.stack(part[vector].to_list()).astype(np.float64)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    keys = part[key].to_numpy()
+                    order = np.argsort(keys, kind="stable")
+                    cos = np.round(q[who] @ x[order].T, 9)
+                    if len(keys) > n:  # all rows at the n-th value stay, lest a tie is lost
+                        least = np.partition(cos, len(keys) - n, axis=1)[:, [len(keys) - n]]
+                        i, j = np.nonzero(cos >= least)
+                    else:
+                        i, j = (a.ravel() for a in np.indices(cos.shape))
+                    best.append(pd.DataFrame({query: names[who[i]], **({group: g} if group else {}), key: keys[order][j], "cos": cos[i, j]}))
+                    held += len(i)
+                if held > 4 * n * pairs:
+                    best = [_best(pd.concat(best), scope, key, n)]
+                    held = len(best[0])
             if best:
-                yield _best(pd.concat(best), query, key, n)
+                yield _best(pd.concat(best), scope, key, n)
+
+        return source.mapInPandas(search, ", ".join(f"`{c}` {kinds[c]}" for c in [*scope, key]) + ", cos double")
 
-        part = rows.select(key, vector).mapInPandas(search, f"`{query}` {kinds[0]}, `{key}` {kinds[1]}, cos double")
-        found = part if found is None else found.unionByName(part)
-    by = Window.partitionBy(query).orderBy(F.desc("cos"), F.asc(key))
-    return found.withColumn("cos", F.col("cos") + 0.0).withColumn("vec_rank", F.row_number().over(by)).where(F.col("vec_rank") <= n)
+    every = saved_parts((found(block) for block in blocks(asked)), "dense")
+    by = Window.partitionBy(*scope).orderBy(F.desc("cos"), F.asc(key))
+    return every.withColumn("cos", F.col("cos") + 0.0).withColumn("vec_rank", F.row_number().over(by)).where(F.col("vec_rank") <= n)
 
 
-def _best(x: pd.DataFrame, query: str, key: str, n: int) -> pd.DataFrame:
-    x = x.sort_values([query, "cos", key], ascending=[True, False, True])
-    return x[x.groupby(query).cumcount() < n]
+def _best(x: pd.DataFrame, scope: list[str], key: str, n: int) -> pd.DataFrame:
+    x = x.sort_values([*scope, "cos", key], ascending=[True] * len(scope) + [False, True])
+    return x[x.groupby(scope).cumcount() < n]

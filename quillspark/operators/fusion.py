@@ -14,7 +14,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, rows: DataFrame, query: str, key:
     """``query, key, score, fused_rank`` of the rows with a vector that stand in ``dense`` or in the BM25 top.
 
     ``dense`` (query, key, cos, vec_rank) has the rows of highest cosine, at least the top ``vector_top_n`` and as many
-    as shall be ranked; ``sparse`` (query, key, bm25, bm25_rank) all BM25 ranks; ``rows`` the keys that have a vector.
+    as shall be ranked; ``sparse`` (query, key, bm25, bm25_rank) the BM25 top at least; ``rows`` the keys that have a vector.
     The score is 0.8 of the cosine normalised by the best, for the vector top, plus 0.2 of the normalised BM25, for the
     BM25 top; ties go to the better vector rank, then to the smaller key. A BM25 hit without a vector takes its place in
     the BM25 top but is not returned.
@@ -39,7 +39,7 @@ def route_books(fused: DataFrame, sparse: DataFrame, rows: DataFrame, query: str
     """
     own = rows.select(key, "book")
     best = lambda df, rank, score, source: df.where(F.col(rank) <= candidates).join(own, key).groupBy(query, "book").agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(rank)).alias("r"))).alias("x")).select(query, "book", F.col("x.s").alias(f"s_{source}"), (-F.col("x.r")).alias(f"r_{source}"))
-    most = sparse.groupBy(query).agg(F.max("bm25").alias("most"))
+    most = sparse.groupBy(query).agg(F.max("bm25").alias("most"))  # rank 1 is always there
     f = best(fused, "fused_rank", "score", "f")
     b = best(sparse.join(most, query).withColumn("norm", F.round(normalized(F.col("bm25"), F.col("most")), 9)), "bm25_rank", "norm", "b")
     both = f.join(b, [query, "book"], "full")
@@ -93,12 +93,13 @@ def expand_scenes(ranked: DataFrame, rows: DataFrame, scope: list[str], key: str
     return placed.withColumn("out_rank", F.row_number().over(by)).select(*scope, key, "book", "chunk_index", "out_rank")
 
 
-def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: str, key: str, found: DataFrame, routes: DataFrame | None = None) -> DataFrame:
+def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: str, key: str, found: DataFrame, routes: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """``query, key, rare_coverage``: the weight of a query's rare terms that a row holds, as a share of all of them.
 
     Rare is a term in at least one and at most max(3, a tenth) of the rows; if a query has none such, all its terms are
-    taken. With ``routes`` (query, route_book) this is done book by book and ``route_book`` is a column of the result;
-    else over all ``rows`` (key, book). ``found`` has the postings (key, term) of the query terms.
+    taken. ``among`` (query, key) are the rows it is wanted of, else all that hold a term. With ``routes`` (query,
+    route_book) this is done book by book and ``route_book`` is a column of ``among`` and of the result; else over all
+    ``rows`` (key, book). ``found`` has the postings (key, term) of the query terms.
     """
     asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).where(~F.col("term").isin(*fixed.RESCUE_STOP_TERMS))
     held = found.join(rows.select(key), key, "left_semi").select(key, "term")
@@ -117,6 +118,8 @@ def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: s
     weight = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     chosen = every.where("rare or not some").select(*cols, "term", weight.alias("weight"))
     total = chosen.groupBy(*cols).agg(F.sum("weight").alias("total"))
+    if among is not None:
+        held, on = held.join(among.select(*cols, key), [key, *cols[1:]]), [*on, query]
     matched = held.join(chosen, on).groupBy(*cols, key).agg(F.sum("weight").alias("w")).join(total, cols)
     return matched.select(*cols, key, F.round(F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(0.0), 9).alias("rare_coverage"))
 
@@ -125,35 +128,43 @@ def evidence_score(bm25_norm: Column, rare: Column, vector_norm: Column) -> Colu
     return F.round(fixed.RESCUE_BM25 * bm25_norm + fixed.RESCUE_RARE * rare + fixed.RESCUE_VECTOR * vector_norm, 9)
 
 
-def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: DataFrame, rows: DataFrame, scope: list[str], key: str, top_k: int = fixed.TOP_K, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, before: int = fixed.BEFORE, after: int = fixed.AFTER) -> DataFrame:
+def rescue_candidates(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, rows: DataFrame, scope: list[str], key: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, before: int = fixed.BEFORE, after: int = fixed.AFTER) -> DataFrame:
+    """``scope, key, slot_key``: the fifth row of each baseline and the rows that may take its place.
+
+    These are the neighbourhoods of the BM25 and vector tops, without the first four rows.
+    """
+    slot = baseline.where(F.col("out_rank") == fixed.RESCUE_RANK).select(*scope, F.col(key).alias("slot_key"))
+    locked = baseline.where(F.col("out_rank") < fixed.RESCUE_RANK).select(*scope, key)
+    tops = dense.where(F.col("rank") <= vector_top_n).select(*scope, key).unionByName(sparse.where(F.col("rank") <= bm25_top_n).select(*scope, key)).distinct()
+    place = rows.select(key, "book", "chunk_index")
+    seeds = tops.join(slot, scope).join(place, key).drop(key)
+    near = neighbours(seeds, place, before, after).select(*scope, key, "slot_key")
+    return near.unionByName(slot.select(*scope, F.col("slot_key").alias(key), "slot_key")).distinct().join(locked, [*scope, key], "left_anti")
+
+
+def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: DataFrame, rows: DataFrame, scope: list[str], key: str, top_k: int = fixed.TOP_K, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, before: int = fixed.BEFORE, after: int = fixed.AFTER, candidates: DataFrame | None = None) -> DataFrame:
     """``scope, key, out_rank``: the baseline with its fifth row replaced by one of much stronger evidence, if there is one.
 
     ``dense`` (scope, key, cos, rank) and ``sparse`` (scope, key, bm25, rank) are ranked within the scope, ``coverage``
-    (scope, key, rare_coverage) likewise; ``baseline`` (scope, key, out_rank). Candidates are the neighbourhoods of the
-    BM25 and vector tops, without the first four rows. The best by score, then BM25, then coverage, then key decides;
-    queries with fewer than five rows stay as they are.
+    (scope, key, rare_coverage) likewise; ``baseline`` (scope, key, out_rank). Ranks behind the tops may be null.
+    ``candidates`` are those of ``rescue_candidates``, where they are there already. The best by score, then BM25, then
+    coverage, then key decides; queries with fewer than five rows stay as they are.
     """
     slot_rank = fixed.RESCUE_RANK
     if top_k < slot_rank:
         return baseline.select(*scope, key, "out_rank")
-    slot = baseline.where(F.col("out_rank") == slot_rank).select(*scope, F.col(key).alias("slot_key"))
-    locked = baseline.where(F.col("out_rank") < slot_rank).select(*scope, key)
-    top_v, top_b = dense.where(F.col("rank") <= vector_top_n), sparse.where(F.col("rank") <= bm25_top_n)
-    place = rows.select(key, "book", "chunk_index")
-    seeds = top_v.select(*scope, key).unionByName(top_b.select(*scope, key)).distinct().join(slot.select(*scope), scope, "left_semi")
-    near = neighbours(seeds.join(place, key).drop(key), place, before, after).select(*scope, key)
-    cand = near.unionByName(slot.select(*scope, F.col("slot_key").alias(key))).distinct().join(locked, [*scope, key], "left_anti")
-    most = slot.select(*scope).join(top_v.groupBy(*scope).agg(F.max("cos").alias("max_cos")), scope, "left").join(sparse.groupBy(*scope).agg(F.max("bm25").alias("max_bm25")), scope, "left")
-    scored = cand.join(top_v.select(*scope, key, "cos"), [*scope, key], "left").join(sparse.select(*scope, key, "bm25"), [*scope, key], "left").join(coverage, [*scope, key], "left").join(most, scope)
+    cand = rescue_candidates(baseline, dense, sparse, rows, scope, key, vector_top_n, bm25_top_n, before, after) if candidates is None else candidates
+    top_v = dense.where(F.col("rank") <= vector_top_n)
+    most = top_v.groupBy(*scope).agg(F.max("cos").alias("max_cos")).join(sparse.groupBy(*scope).agg(F.max("bm25").alias("max_bm25")), scope, "full")
+    scored = cand.join(top_v.select(*scope, key, "cos"), [*scope, key], "left").join(sparse.select(*scope, key, "bm25"), [*scope, key], "left").join(coverage, [*scope, key], "left").join(most, scope, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scored = scored.withColumn("bm25_norm", F.round(normalized(zero("bm25"), F.col("max_bm25")), 9)).withColumn("vector_norm", F.round(normalized(zero("cos"), F.col("max_cos")), 9)).withColumn("rare", zero("rare_coverage"))
-    scored = scored.withColumn("evidence", evidence_score(F.col("bm25_norm"), F.col("rare"), F.col("vector_norm"))).join(slot, scope)
-    scored = saved(scored.select(*scope, key, "slot_key", "bm25_norm", "rare", "evidence"), "evidence")
-    base = scored.where(F.col(key) == F.col("slot_key")).select(*scope, F.col("evidence").alias("slot_evidence"))
-    by = Window.partitionBy(*scope).orderBy(F.desc("evidence"), F.desc("bm25_norm"), F.desc("rare"), F.asc(key))
-    best = scored.withColumn("n", F.row_number().over(by)).where("n = 1").join(base, scope)
+    scored = scored.withColumn("evidence", evidence_score(F.col("bm25_norm"), F.col("rare"), F.col("vector_norm"))).select(*scope, key, "slot_key", "bm25_norm", "rare", "evidence")
+    own = Window.partitionBy(*scope)
+    scored = scored.withColumn("slot_evidence", F.max(F.when(F.col(key) == F.col("slot_key"), F.col("evidence"))).over(own))
+    best = scored.withColumn("n", F.row_number().over(own.orderBy(F.desc("evidence"), F.desc("bm25_norm"), F.desc("rare"), F.asc(key)))).where("n = 1")
     strong = (F.col(key) != F.col("slot_key")) & (F.col("bm25_norm") >= fixed.RESCUE_MIN_BM25) & (F.col("rare") >= fixed.RESCUE_MIN_RARE) & (F.col("evidence") >= fixed.RESCUE_MIN_SCORE) & (F.col("evidence") >= F.col("slot_evidence") + fixed.RESCUE_MARGIN)
-    rescued = best.where(strong).select(*scope, F.col(key).alias("new_key"))
+    rescued = saved(best.where(strong).select(*scope, F.col(key).alias("new_key")), "rescued")
     moved = baseline.join(rescued, scope, "left")
     moved = moved.where(F.col("new_key").isNull() | (F.col("out_rank") < slot_rank) | (F.col(key) != F.col("new_key")))
     later = F.when(F.col("new_key").isNotNull() & (F.col("out_rank") >= slot_rank), F.col("out_rank") + 0.5).otherwise(F.col("out_rank"))

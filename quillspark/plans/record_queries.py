@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import exprs, fixed
 from quillspark.operators import answers, evaluate, fusion, rewrite, text, usage
 from quillspark.plans import retrieval
-from quillspark.plans.retrieval_queries import FUSED, RERANK, with_parts
+from quillspark.plans.retrieval_queries import FUSED, RERANK, ROUTED, ROUTES, with_parts
 from quillspark.session import spread, table
 from quillspark.sources.relations import cache_key, split_by_cache
 from quillspark.streaming import usage as stream
@@ -165,7 +165,7 @@ def answerability_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def context_format(spark: SparkSession, sf: str) -> DataFrame:
     s = retrieval.stages(spark, sf)
-    top = s.fused.where("fused_rank <= 5").join(s.rows.select("ord", "id", "book", "text"), "ord")
+    top = s.fused.where("fused_rank <= 5").join(s.rows.select("ord", "id", "book"), "ord").join(s.texts, "ord")
     return answers.context_block(top, "eval_id", "fused_rank", "book", "id", "score", "text").select("eval_id", F.length("context").alias("n_chars"), F.regexp_count("context", F.lit(r"\[片段 ")).alias("n_passages"))
 
 
@@ -191,7 +191,7 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     every = retrieval.reranked(s)
     final = fusion.capped(every, "eval_id", "book", "rerank_rank", fixed.TOP_K, fixed.BOOK_CAP)
     ids = s.rows.select("ord", "id")
-    items = s.queries.select("eval_id", "gold_chunk_id").join(table(spark, sf, "eval_items").select("eval_id", "gold_book_name").distinct(), "eval_id")
+    items = _items(spark, sf, s)
     for results, rank, name in ((final, "out_rank", "gold_rank"), (every, "cand_rank", "candidate_rank"), (every, "rerank_rank", "unbounded_rank")):
         items = evaluate.gold_ranks(items, results.select("eval_id", "ord", rank).join(ids, "ord"), "eval_id", "gold_chunk_id", "id", rank, name)
     out = evaluate.scored(items)
@@ -199,6 +199,20 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("failure_reason", reason).withColumn("book", evaluate.gold_book(F.col("gold_book_name"), F.col("gold_chunk_id")))
 
 
+def _items(spark: SparkSession, sf: str, s: retrieval.Stages) -> DataFrame:
+    return s.queries.select("eval_id", "gold_chunk_id").join(table(spark, sf, "eval_items").select("eval_id", "gold_book_name").distinct(), "eval_id")
+
+
+def evaluate_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation without reranking: the routed retrieval is the result, and there are no candidates beside it."""
+    s = retrieval.stages(spark, sf)
+    found = retrieval.retrieve(s, fixed.TOP_K, fixed.BOOK_CAP).join(s.rows.select("ord", "id"), "ord")
+    items = evaluate.gold_ranks(_items(spark, sf, s), found, "eval_id", "gold_chunk_id", "id", "out_rank")
+    out = evaluate.scored(items.withColumn("candidate_rank", F.lit(None).cast("int")))
+    reason = evaluate.failure_reason(F.col("gold_rank"), F.col("candidate_rank"), F.lit(None).cast("int"))
+    return out.select("eval_id", "gold_rank", "hit_at_1", "hit_at_3", "hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), reason.alias("failure_reason"))
+
+
 def gold_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf).select("eval_id", "gold_rank", "candidate_rank", "hit_at_1", "hit_at_3", "hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "failure_reason")
 
@@ -243,7 +257,7 @@ QUERIES = {
     for f in (
         scan_chunks, book_stats, book_from_id, natural_order, line_units, chunk_lines, sentence_split, chunk_pack_overlap, chunk_ids, chapter_titles, paragraph_forms, consecutive_dedup, front_matter_trim,
         contents_drop, html_paragraphs, text_preview, paragraph_counts, entity_aliases, entity_match, entity_full_names, entity_rewrites, merge_contexts, answer_insufficient, answerability_parse, context_format,
-        cache_misses, sample_exact, sample_stratified, gold_rank, eval_metrics, eval_metrics_by_book, representative_failures, daily_usage, usage_order, usage_recount, usage_stream_daily, event_usage,
+        cache_misses, sample_exact, sample_stratified, evaluate_plain, gold_rank, eval_metrics, eval_metrics_by_book, representative_failures, daily_usage, usage_order, usage_recount, usage_stream_daily, event_usage,
     )
 }
 # SQL -----------------------------------------------------------------------------------------------------------------
@@ -288,6 +302,9 @@ EVALUATED = RERANK | {
     "ev0": "SELECT q.eval_id, q.gold_chunk_id, coalesce(e.gold_book_name, " + _put(BOOK_OF, "q.gold_chunk_id") + ") AS book, f.out_rank AS gold_rank, c.cand_rank AS candidate_rank, c.rerank_rank AS unbounded FROM q JOIN (SELECT DISTINCT eval_id, gold_book_name FROM eval_items) e ON e.eval_id = q.eval_id LEFT JOIN ck ON ck.id = q.gold_chunk_id LEFT JOIN rs f ON f.eval_id = q.eval_id AND f.ord = ck.ord LEFT JOIN rr c ON c.eval_id = q.eval_id AND c.ord = ck.ord",
     "ev": "SELECT *, coalesce(gold_rank <= 1, false) AS hit_at_1, coalesce(gold_rank <= 3, false) AS hit_at_3, coalesce(gold_rank <= 5, false) AS hit_at_5, coalesce(1.0 / gold_rank, 0)::DOUBLE AS reciprocal_rank, CASE WHEN gold_rank IS NOT NULL THEN NULL WHEN candidate_rank IS NULL THEN 'candidate_miss' WHEN unbounded <= 5 THEN 'book_cap_filtered' ELSE 'rerank_lost' END AS failure_reason FROM ev0",
 }
+PLAIN = ROUTED | {
+    "pl": "SELECT q.eval_id, f.out_rank AS gold_rank FROM q JOIN (SELECT DISTINCT eval_id, gold_book_name FROM eval_items) e ON e.eval_id = q.eval_id LEFT JOIN ck ON ck.id = q.gold_chunk_id LEFT JOIN retrieved f ON f.eval_id = q.eval_id AND f.ord = ck.ord",
+}
 METRICS = "count(*) AS n, round(coalesce(avg(hit_at_1::INT), 0), 6) AS recall_at_1, round(coalesce(avg(hit_at_3::INT), 0), 6) AS recall_at_3, round(coalesce(avg(hit_at_5::INT), 0), 6) AS recall_at_5, round(coalesce(avg(reciprocal_rank), 0), 6) AS mrr, round(avg(gold_rank), 6) AS avg_gold_rank, count(*) FILTER (gold_rank IS NULL) AS missed, round(coalesce(avg((candidate_rank IS NOT NULL)::INT), 0), 6) AS candidate_hit_rate, count(*) FILTER (candidate_rank IS NULL) AS candidate_miss, count(*) FILTER (candidate_rank IS NOT NULL AND gold_rank IS NULL) AS rerank_lost"
 CK_TITLES = "SELECT k.id, k.book, k.chunk_index, t.title FROM ck k JOIN (SELECT id, min(chapter_title) AS title FROM chunks GROUP BY 1) t ON t.id = k.id"
 TITLED = "SELECT id, min(ord) AS n, min(chapter_title) AS para, min(coalesce(book_name, " + _put(BOOK_OF, "id") + ")) AS book FROM chunks WHERE chapter_title IS NOT NULL GROUP BY id"
@@ -318,10 +335,11 @@ ORACLE = {
     "answerability_parse": "SELECT eval_id, CASE WHEN eval_id % 4 < 3 THEN eval_id % 3 = 0 END AS answerable, CASE WHEN eval_id % 4 < 3 THEN 1 END AS n_missing, CASE WHEN eval_id % 4 < 3 THEN (trim(coalesce(substring(reference_answer, 1, 5), '')) <> '')::INT END AS n_questions FROM eval_items",
     "context_format": with_parts("SELECT eval_id, length(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10)))::INTEGER AS n_chars, count(*)::INTEGER AS n_passages FROM fused JOIN ck USING (ord) WHERE fused_rank <= 5 GROUP BY 1", *FUSED),
     "cache_misses": f"SELECT sha256(q) AS key, q AS question FROM (SELECT DISTINCT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') AS q FROM visitor_queries WHERE question IS NOT NULL) WHERE q NOT IN (SELECT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') FROM eval_items WHERE question IS NOT NULL)",
-    "gold_rank": with_parts("SELECT eval_id, gold_rank, candidate_rank, hit_at_1, hit_at_3, hit_at_5, round(reciprocal_rank, 6) AS reciprocal_rank, failure_reason FROM ev", *FUSED, *EVALUATED, more=EVALUATED),
-    "eval_metrics": with_parts(f"SELECT {METRICS} FROM ev", *FUSED, *EVALUATED, more=EVALUATED),
-    "eval_metrics_by_book": with_parts(f"SELECT book, {METRICS} FROM ev GROUP BY ROLLUP (book)", *FUSED, *EVALUATED, more=EVALUATED),
-    "representative_failures": with_parts("SELECT eval_id, gold_chunk_id, failure_reason FROM (SELECT *, row_number() OVER (ORDER BY p, eval_id) AS z FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY failure_reason ORDER BY eval_id) = 1 THEN CASE failure_reason WHEN 'candidate_miss' THEN 0 WHEN 'rerank_lost' THEN 1 ELSE 2 END ELSE 3 END AS p FROM (SELECT *, row_number() OVER (PARTITION BY gold_chunk_id ORDER BY eval_id) AS k FROM ev WHERE gold_rank IS NULL) WHERE k = 1)) WHERE z <= 5 AND (SELECT count(*) FROM ev WHERE gold_rank IS NULL) > 5 UNION ALL SELECT eval_id, gold_chunk_id, failure_reason FROM ev WHERE gold_rank IS NULL AND (SELECT count(*) FROM ev WHERE gold_rank IS NULL) <= 5", *FUSED, *EVALUATED, more=EVALUATED),
+    "evaluate_plain": with_parts("SELECT eval_id, gold_rank, coalesce(gold_rank <= 1, false) AS hit_at_1, coalesce(gold_rank <= 3, false) AS hit_at_3, coalesce(gold_rank <= 5, false) AS hit_at_5, round(coalesce(1.0 / gold_rank, 0), 6)::DOUBLE AS reciprocal_rank, CASE WHEN gold_rank IS NULL THEN 'candidate_miss' END AS failure_reason FROM pl", *ROUTES, *PLAIN, more=PLAIN),
+    "gold_rank": with_parts("SELECT eval_id, gold_rank, candidate_rank, hit_at_1, hit_at_3, hit_at_5, round(reciprocal_rank, 6) AS reciprocal_rank, failure_reason FROM ev", *EVALUATED, more=EVALUATED),
+    "eval_metrics": with_parts(f"SELECT {METRICS} FROM ev", *EVALUATED, more=EVALUATED),
+    "eval_metrics_by_book": with_parts(f"SELECT book, {METRICS} FROM ev GROUP BY ROLLUP (book)", *EVALUATED, more=EVALUATED),
+    "representative_failures": with_parts("SELECT eval_id, gold_chunk_id, failure_reason FROM (SELECT *, row_number() OVER (ORDER BY p, eval_id) AS z FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY failure_reason ORDER BY eval_id) = 1 THEN CASE failure_reason WHEN 'candidate_miss' THEN 0 WHEN 'rerank_lost' THEN 1 ELSE 2 END ELSE 3 END AS p FROM (SELECT *, row_number() OVER (PARTITION BY gold_chunk_id ORDER BY eval_id) AS k FROM ev WHERE gold_rank IS NULL) WHERE k = 1)) WHERE z <= 5 AND (SELECT count(*) FROM ev WHERE gold_rank IS NULL) > 5 UNION ALL SELECT eval_id, gold_chunk_id, failure_reason FROM ev WHERE gold_rank IS NULL AND (SELECT count(*) FROM ev WHERE gold_rank IS NULL) <= 5", *EVALUATED, more=EVALUATED),
     "daily_usage": f"SELECT visitor_id, usage_date, asked, least(asked, 5) AS used_count, greatest(5 - asked, 0) AS remaining FROM ({USED})",
     "usage_order": f"SELECT id, row_number() OVER (PARTITION BY visitor_id, {DAY} ORDER BY created_at, id) AS day_rank FROM ({LOG}) WHERE coalesce(used_custom_api_key, 0) = 0",
     "usage_recount": f"SELECT coalesce(s.visitor_id, c.visitor_id) AS visitor_id, coalesce(s.usage_date, c.usage_date) AS usage_date, coalesce(s.used_count, 0)::BIGINT AS stored, coalesce(least(asked, 5), 0) AS counted FROM visitor_daily_usage s FULL JOIN ({USED}) c ON c.visitor_id = s.visitor_id AND c.usage_date = s.usage_date WHERE coalesce(s.used_count, 0) <> coalesce(least(asked, 5), 0)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
-from quillspark.functions.exprs import book_from_id, cosine, terms, usable_vector
+from quillspark.functions.exprs import book_from_id, cosine, term_count, terms, usable_vector
 from quillspark.operators import dense, fusion, sparse
 from quillspark.session import saved, spread, table
 
@@ -43,29 +43,59 @@ def stated_queries(spark: SparkSession, sf: str, chunks: DataFrame) -> DataFrame
 
 
 class Stages:
-    """The tables of one retrieval, keyed by ``eval_id`` and ``ord``; each is made and written once, when it is asked for."""
+    """The tables of one retrieval, keyed by ``eval_id`` and ``ord``; each is made and written once, when it is asked for.
 
-    def __init__(self, spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, depth: int = 100) -> None:
+    Dense and BM25 lists are as long as the longest use of them: the tops, the candidates of routing, ``results``.
+    """
+
+    def __init__(self, spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, results: int = 100) -> None:
+        if vector_top_n <= 0 or bm25_top_n <= 0:
+            raise ValueError("vector_top_n and bm25_top_n must be positive")
         self.chunks = chunks_once(spark, sf)
         self.queries = saved(stated_queries(spark, sf, self.chunks), "queries")
-        self.rows = self.chunks.where("has_vec").select("ord", "id", "book", "chunk_index", "scene_id", "text", "embedding")
-        self.tops, self.depth = (vector_top_n, bm25_top_n), depth
+        self.tops, self.depth = (vector_top_n, bm25_top_n), max(results, vector_top_n, bm25_top_n, 8 * fixed.ROUTE_BOOKS)
+
+    @cached_property
+    def places(self) -> DataFrame:
+        """Every chunk but for text and vector: ``ord, id, book, chunk_index, scene_id, has_vec, n_terms``."""
+        length = F.coalesce(term_count(F.col("text")), F.lit(0)).cast("double").alias("n_terms")
+        return saved(self.chunks.select("ord", "id", "book", "chunk_index", "scene_id", "has_vec", length), "places")
+
+    @property
+    def rows(self) -> DataFrame:
+        """The places of the chunks with a vector, which alone are returned."""
+        return self.places.where("has_vec")
+
+    @property
+    def texts(self) -> DataFrame:
+        return self.chunks.where("has_vec").select("ord", "text")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.chunks.where("has_vec").select("ord", "book", "embedding")
 
     @cached_property
     def dense(self) -> DataFrame:
         """The rows of highest cosine: ``cos, vec_rank``."""
-        return saved(dense.top_dense(self.queries, self.rows, "eval_id", "qvec", "ord", "embedding", self.depth), "dense")
+        return saved(dense.top_dense(self.queries, self.vectors, "eval_id", "qvec", "ord", "embedding", self.depth), "dense")
 
     @cached_property
     def postings(self) -> DataFrame:
-        """Of the queries' terms: ``ord, term, tf``."""
+        """Of the queries' terms: ``ord, term, tf, len``."""
         return saved(sparse.postings(self.chunks, "ord", "text", only=sparse.query_terms(self.queries, "eval_id", "question")), "postings")
 
+    @cached_property
+    def scores(self) -> DataFrame:
+        """All rows with a BM25 score, in no order: ``bm25, book, has_vec``."""
+        stats = self.places.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("avg_len"))
+        scores = sparse.bm25(self.queries, self.chunks, "eval_id", "question", "ord", "text", self.postings, stats)
+        return saved(scores.join(self.places.select("ord", "book", "has_vec"), "ord"), "bm25")
+
     @cached_property
     def sparse(self) -> DataFrame:
-        """All rows with a BM25 score: ``bm25, bm25_rank``."""
-        scores = sparse.bm25(self.queries, self.chunks, "eval_id", "question", "ord", "text", self.postings)
-        return saved(scores.withColumn("bm25_rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord"))), "bm25")
+        """The rows of highest BM25 score: ``bm25, bm25_rank``. Each task keeps its own best before they are sorted."""
+        by = Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")
+        return saved(self.scores.select("eval_id", "ord", "bm25").withColumn("bm25_rank", F.row_number().over(by)).where(F.col("bm25_rank") <= self.depth), "bm25-top")
 
     @cached_property
     def fused(self) -> DataFrame:
@@ -92,7 +122,11 @@ def _scened(rows: DataFrame) -> DataFrame:
 
 
 def has_scenes(s: Stages) -> bool:
-    return not _scened(s.rows).where("scened").isEmpty()
+    return not s.rows.where(F.col("scene_id") != fixed.NO_SCENE).isEmpty()
+
+
+def has_many_books(s: Stages) -> bool:
+    return s.places.select("book").distinct().limit(2).count() > 1
 
 
 def expanded(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
@@ -111,23 +145,41 @@ def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
     if not has_scenes(s):
         return expanded(s, top_k)
     base = saved(expanded(s, top_k), "expanded")
-    vectored = s.sparse.join(s.rows.select("ord"), "ord", "left_semi")
-    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings)
-    return fusion.rescue(base, s.dense.withColumnRenamed("vec_rank", "rank"), vectored.select("eval_id", "ord", "bm25", F.col("bm25_rank").alias("rank")), coverage, _places(s), ["eval_id"], "ord", top_k, *s.tops)
+    held = s.scores.where("has_vec")
+    by = Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")
+    top_b = held.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= s.tops[1]).select("eval_id", "ord", "rank")
+    return _rescued(s, base, s.dense.withColumnRenamed("vec_rank", "rank"), held.select("eval_id", "ord", "bm25"), top_b, ["eval_id"], top_k)
+
 
+def _rescued(s: Stages, base: DataFrame, d: DataFrame, scores: DataFrame, top_b: DataFrame, scope: list[str], top_k: int, routes: DataFrame | None = None) -> DataFrame:
+    """The rescue slot with evidence looked up for its candidates only; ``scores`` are all BM25 scores, ``top_b`` the top's ranks."""
+    cand = saved(fusion.rescue_candidates(base, d, top_b, _places(s), scope, "ord", *s.tops), "rescue")
+    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, routes, cand)
+    best = scores.groupBy(*scope).agg(F.max_by(F.struct("ord", "bm25"), F.struct("bm25", -F.col("ord"))).alias("b")).select(*scope, "b.*")  # the maximum, which normalises
+    own = scores.join(cand.select(*scope, "ord"), [*scope, "ord"], "left_semi").select(*scope, "ord", "bm25").unionByName(best).distinct()
+    return fusion.rescue(base, d, own.withColumn("rank", F.lit(None).cast("int")), coverage, _places(s), scope, "ord", top_k, *s.tops, candidates=cand)
 
-def in_books(s: Stages, routes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dense, sparse and fused ranks within each routed book: ``eval_id, route_book, ord, ..., rank``."""
+
+def in_books(s: Stages, routes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of each routed book (``eval_id, route_book``): dense ranks, BM25 scores, ranks of their top, and fused ranks up to ``most``.
+
+    A fused rank is by score, then cosine. Only rows of the vector or BM25 top have a score that is not 0, which are so
+    many at most; so the best rows by cosine, as many more than are wanted, hold all others that can have a rank.
+    """
     scope = ["eval_id", "route_book"]
     own = routes.select("eval_id", F.col("book").alias("route_book"))
-    vectors = s.rows.select("ord", F.col("book").alias("route_book"), "embedding")
-    cos = own.join(s.queries.select("eval_id", "qvec"), "eval_id").where("qvec is not null").join(vectors, "route_book").select(*scope, "ord", (F.round(cosine(F.col("qvec"), F.col("embedding")), 9) + 0.0).alias("cos"))
+    vectors = s.vectors.withColumnRenamed("book", "route_book")
+    d = saved(dense.top_dense(s.queries, vectors, "eval_id", "qvec", "ord", "embedding", most + sum(s.tops), own, "route_book").withColumnRenamed("vec_rank", "rank"), "in-books")
+    asking = s.queries.where("qvec is not null").select("eval_id", "qvec")
+    scored = s.fused.where("score <> 0").join(s.rows.select("ord", F.col("book").alias("route_book")), "ord").join(own, scope).select(*scope, "ord", "score")
+    far = scored.join(d, [*scope, "ord"], "left_anti").join(asking, "eval_id").join(s.vectors.select("ord", "embedding"), "ord")
+    far = far.select(*scope, "ord", (F.round(cosine(F.col("qvec"), F.col("embedding")), 9) + 0.0).alias("cos"), "score")
+    near = d.join(scored, [*scope, "ord"], "left").select(*scope, "ord", "cos", F.coalesce("score", F.lit(0.0)).alias("score"))
     by = lambda *order: F.row_number().over(Window.partitionBy(*scope).orderBy(*order))
-    d = cos.withColumn("rank", by(F.desc("cos"), "ord"))
-    f = d.join(s.fused.select("eval_id", "ord", "score"), ["eval_id", "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    f = f.withColumn("rank", by(F.desc("score"), F.desc("cos"), "ord"))
-    b = own.join(s.sparse, "eval_id").join(s.rows.select("ord", F.col("book").alias("route_book")), ["ord", "route_book"]).withColumn("rank", by(F.desc("bm25"), "ord"))
-    return d.select(*scope, "ord", "cos", "rank"), b.select(*scope, "ord", "bm25", "rank"), f.select(*scope, "ord", "score", "rank")
+    f = near.unionByName(far).withColumn("rank", by(F.desc("score"), F.desc("cos"), "ord")).where(F.col("rank") <= most)
+    scores = s.scores.where("has_vec").withColumnRenamed("book", "route_book").join(own, scope).select(*scope, "ord", "bm25")
+    top_b = scores.withColumn("rank", by(F.desc("bm25"), "ord")).where(F.col("rank") <= s.tops[1])
+    return d, scores, top_b.select(*scope, "ord", "rank"), f.select(*scope, "ord", "rank")
 
 
 def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, routes: int = fixed.ROUTE_BOOKS) -> DataFrame:
@@ -137,17 +189,35 @@ def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, route
     """
     books = saved(fusion.route_books(s.fused, s.sparse, s.rows, "eval_id", "ord", routes, max(*s.tops, 8 * routes)), "routes")
     scope = ["eval_id", "route_book"]
-    d, b, f = (saved(x, "in-books") for x in in_books(s, books))
-    f = f.join(_scened(s.rows), "route_book")
+    d, scores, top_b, f = in_books(s, books, max(s.tops[0], top_k))
+    f = saved(f.join(_scened(s.rows), "route_book"), "in-books")
     base = saved(fusion.expand_scenes(f.where("scened"), _places(s), scope, "ord", top_k, s.tops[0]).select(*scope, "ord", "out_rank"), "expanded")
-    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, books.select("eval_id", F.col("book").alias("route_book")))
-    found = fusion.rescue(base, d, b, coverage, _places(s), scope, "ord", top_k, *s.tops)
+    found = _rescued(s, base, d, scores, top_b, scope, top_k, books.select("eval_id", F.col("book").alias("route_book")))
     found = found.unionByName(f.where(~F.col("scened") & (F.col("rank") <= top_k)).select(*scope, "ord", F.col("rank").alias("out_rank")))
-    merged = found.join(f.select(*scope, "ord", "score"), [*scope, "ord"]).join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
+    merged = found.join(s.fused.select("eval_id", "ord", "score"), ["eval_id", "ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    merged = merged.join(books.select("eval_id", F.col("book").alias("route_book"), "route_rank"), scope)
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("eval_id").orderBy(F.desc("score"), "route_rank", "out_rank"))).drop("out_rank")
     return fusion.capped(ranked, "eval_id", "route_book", "rank", top_k, cap).select("eval_id", "ord", F.col("route_book").alias("book"), "score", "out_rank")
 
 
+def retrieve(s: Stages, top_k: int = fixed.TOP_K, cap: int | None = None, routes: int = fixed.ROUTE_BOOKS) -> DataFrame:
+    """``eval_id, ord, base_score, out_rank``: the whole retrieval, routed if there is more than one book and ``routes`` is not 0.
+
+    No ``top_k`` gives no rows. A query for which no book yields a row takes the first fused rows. Wrong parameters raise.
+    """
+    if routes < 0 or cap is not None and cap <= 0:
+        raise ValueError("routes must not be negative, a cap must be positive")
+    fused = s.fused.select("eval_id", "ord", F.col("score").alias("base_score"), F.col("fused_rank").alias("out_rank"))
+    if top_k <= 0:
+        return fused.limit(0)
+    if routes and has_many_books(s):
+        found = routed(s, top_k, cap or fixed.BOOK_CAP, routes).select("eval_id", "ord", F.col("score").alias("base_score"), "out_rank")
+    else:
+        found = unrouted(s, top_k).join(fused.drop("out_rank"), ["eval_id", "ord"], "left").select("eval_id", "ord", F.coalesce("base_score", F.lit(0.0)).alias("base_score"), "out_rank")
+    found = saved(found, "retrieved")
+    return found.unionByName(fused.where(F.col("out_rank") <= top_k).join(found.select("eval_id"), "eval_id", "left_anti"))
+
+
 def lexical_overlap(pairs: DataFrame, query_text: str, text: str) -> DataFrame:
     """The offline stand-in for an external scorer: the share of a query's distinct terms that a text holds."""
     asked = F.array_distinct(terms(F.col(query_text)))
@@ -156,22 +226,13 @@ def lexical_overlap(pairs: DataFrame, query_text: str, text: str) -> DataFrame:
 
 
 def candidates(s: Stages, count: int = fixed.RERANK_CANDIDATES) -> DataFrame:
-    """``eval_id, ord, base_score, cand_rank``: what the whole retrieval finds for each query, with ``count`` as size and cap.
-
-    A corpus of one book is not routed; a query for which no book yields a row takes the first fused rows.
-    """
-    fused = s.fused.select("eval_id", "ord", F.col("score").alias("base_score"), F.col("fused_rank").alias("cand_rank"))
-    if s.chunks.select("book").distinct().limit(2).count() > 1:
-        found = routed(s, count, count).select("eval_id", "ord", F.col("score").alias("base_score"), F.col("out_rank").alias("cand_rank"))
-    else:
-        found = unrouted(s, count).join(fused.drop("cand_rank"), ["eval_id", "ord"], "left").select("eval_id", "ord", F.coalesce("base_score", F.lit(0.0)).alias("base_score"), F.col("out_rank").alias("cand_rank"))
-    found = saved(found, "candidates")
-    return found.unionByName(fused.where(F.col("cand_rank") <= count).join(found.select("eval_id"), "eval_id", "left_anti"))
+    """``eval_id, ord, base_score, cand_rank``: what the whole retrieval finds for each query, with ``count`` as size and cap."""
+    return retrieve(s, count, count).withColumnRenamed("out_rank", "cand_rank")
 
 
 def reranked(s: Stages, count: int = fixed.RERANK_CANDIDATES) -> DataFrame:
     """``eval_id, ord, book, base_score, cand_rank, rerank_score, rerank_rank`` of the candidates of each query."""
-    pairs = candidates(s, count).join(s.rows.select("ord", "book", "text"), "ord").join(s.queries.select("eval_id", "question"), "eval_id")
+    pairs = candidates(s, count).join(s.rows.select("ord", "book"), "ord").join(s.texts, "ord").join(s.queries.select("eval_id", "question"), "eval_id")
     scored = lexical_overlap(pairs, "question", "text").drop("text", "question")
     by = Window.partitionBy("eval_id").orderBy(F.desc("rerank_score"), "cand_rank")
     return scored.withColumn("rerank_rank", F.row_number().over(by))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +40,52 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; set here only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of its own only where Spark runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
     return sc.getCheckpointDir()
 
 
+def _kept(spark: SparkSession) -> list[str]:
+    """Paths this application has written to the shared folder; they are deleted when it ends."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_quillspark_kept"):
+        sc._quillspark_kept = []
+        atexit.register(release, spark)
+    return sc._quillspark_kept
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table that ``saved`` has written so far; results that still read one must be stored before."""
+    paths = _kept(spark)
+    while paths and spark.sparkContext._jsc is not None:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(paths[-1])
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session's end must not fail over a folder that is gone, or a gateway that is
+            return
+        paths.pop()
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as parquet under the shared folder and read back; cuts lineage and survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return saved_parts([df], name)
+
+
+def saved_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of one schema, at least one, made and written one after the other, read back as one."""
+    path = schema = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        if path is None:
+            path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+            _kept(spark).append(path)
+        df.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
