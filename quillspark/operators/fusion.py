@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
-from quillspark.functions.exprs import normalized, terms
+from quillspark.functions.exprs import normalized
 from quillspark.session import saved
 
 
@@ -93,34 +93,37 @@ def expand_scenes(ranked: DataFrame, rows: DataFrame, scope: list[str], key: str
     return placed.withColumn("out_rank", F.row_number().over(by)).select(*scope, key, "book", "chunk_index", "out_rank")
 
 
-def rare_coverage(queries: DataFrame, rows: DataFrame, query: str, query_text: str, key: str, found: DataFrame, routes: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
+def rare_coverage(asked: DataFrame, rows: DataFrame, query: str, key: str, found: DataFrame, routes: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """``query, key, rare_coverage``: the weight of a query's rare terms that a row holds, as a share of all of them.
 
-    Rare is a term in at least one and at most max(3, a tenth) of the rows; if a query has none such, all its terms are
-    taken. ``among`` (query, key) are the rows it is wanted of, else all that hold a term. With ``routes`` (query,
-    route_book) this is done book by book and ``route_book`` is a column of ``among`` and of the result; else over all
-    ``rows`` (key, book). ``found`` has the postings (key, term) of the query terms.
+    ``asked`` (query, term) has the terms of each query, ``found`` (key, term, book) the rows of ``rows`` (key, book) that
+    hold them. Rare is a term in at least one and at most max(3, a tenth) of the rows; if a query has none such, all its
+    terms are taken. ``among`` (query, key) are the rows it is wanted of, else all that hold a term. With ``routes``
+    (query, route_book) this is done book by book and ``route_book`` is a column of ``among`` and of the result; else
+    over all rows.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(query_text)))).alias("term")).where(~F.col("term").isin(*fixed.RESCUE_STOP_TERMS))
-    held = found.join(rows.select(key), key, "left_semi").select(key, "term")
+    asked = asked.where(~F.col("term").isin(*fixed.RESCUE_STOP_TERMS)).select(query, "term")
+    book = [F.col("book").alias("route_book")] * (routes is not None)
+    cols, on = ([query], ["term"]) if routes is None else ([query, "route_book"], ["term", "route_book"])
+    held = found.select(key, "term", *book)
+    sizes = rows.groupBy(*book).agg(F.count("*").alias("n"))
     if routes is None:
-        cols, on = [query], ["term"]
-        df = held.groupBy("term").agg(F.count("*").alias("df"))
-        every = asked.crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))  # one row
+        every = asked.crossJoin(F.broadcast(sizes))  # one row
     else:
-        cols, on = [query, "route_book"], ["term", "route_book"]
-        held = held.join(rows.select(key, F.col("book").alias("route_book")), key)
-        df = held.groupBy(*on).agg(F.count("*").alias("df"))
-        every = asked.join(routes.select(*cols), query).join(rows.groupBy(F.col("book").alias("route_book")).agg(F.count("*").alias("n")), "route_book")
+        every = asked.join(routes.select(*cols), query).join(sizes, "route_book")
+    df = held.groupBy(*on).agg(F.count("*").alias("df"))
     every = every.join(df, on, "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = (F.col("df") > 0) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.1)))
-    every = every.withColumn("rare", rare).withColumn("some", F.max("rare").over(Window.partitionBy(*cols)))
+    by = Window.partitionBy(*cols)
+    every = every.withColumn("rare", rare).withColumn("some", F.max("rare").over(by))
     weight = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    chosen = every.where("rare or not some").select(*cols, "term", weight.alias("weight"))
-    total = chosen.groupBy(*cols).agg(F.sum("weight").alias("total"))
+    chosen = every.where("rare or not some").select(*cols, "term", weight.alias("weight")).withColumn("total", F.sum("weight").over(by))
+    if among is not None:  # rows that no query wants leave before the join on terms, a query's own rows are kept after it
+        held = held.join(among.select(key, *cols[1:]).distinct(), [key, *cols[1:]], "left_semi")
+    hits = held.join(chosen, on)
     if among is not None:
-        held, on = held.join(among.select(*cols, key), [key, *cols[1:]]), [*on, query]
-    matched = held.join(chosen, on).groupBy(*cols, key).agg(F.sum("weight").alias("w")).join(total, cols)
+        hits = hits.join(among.select(*cols, key), [*cols, key], "left_semi")
+    matched = hits.groupBy(*cols, key).agg(F.sum("weight").alias("w"), F.first("total").alias("total"))
     return matched.select(*cols, key, F.round(F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(0.0), 9).alias("rare_coverage"))
 
 
@@ -142,12 +145,13 @@ def rescue_candidates(baseline: DataFrame, dense: DataFrame, sparse: DataFrame,
     return near.unionByName(slot.select(*scope, F.col("slot_key").alias(key), "slot_key")).distinct().join(locked, [*scope, key], "left_anti")
 
 
-def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: DataFrame, rows: DataFrame, scope: list[str], key: str, top_k: int = fixed.TOP_K, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, before: int = fixed.BEFORE, after: int = fixed.AFTER, candidates: DataFrame | None = None) -> DataFrame:
+def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: DataFrame, rows: DataFrame, scope: list[str], key: str, top_k: int = fixed.TOP_K, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, before: int = fixed.BEFORE, after: int = fixed.AFTER, candidates: DataFrame | None = None, max_bm25: DataFrame | None = None) -> DataFrame:
     """``scope, key, out_rank``: the baseline with its fifth row replaced by one of much stronger evidence, if there is one.
 
     ``dense`` (scope, key, cos, rank) and ``sparse`` (scope, key, bm25, rank) are ranked within the scope, ``coverage``
     (scope, key, rare_coverage) likewise; ``baseline`` (scope, key, out_rank). Ranks behind the tops may be null.
-    ``candidates`` are those of ``rescue_candidates``, where they are there already. The best by score, then BM25, then
+    ``candidates`` are those of ``rescue_candidates`` and ``max_bm25`` (scope, max_bm25) the highest scores, where they are
+    there already; ``sparse`` need then only have the candidates. The best by score, then BM25, then
     coverage, then key decides; queries with fewer than five rows stay as they are.
     """
     slot_rank = fixed.RESCUE_RANK
@@ -155,7 +159,8 @@ def rescue(baseline: DataFrame, dense: DataFrame, sparse: DataFrame, coverage: D
         return baseline.select(*scope, key, "out_rank")
     cand = rescue_candidates(baseline, dense, sparse, rows, scope, key, vector_top_n, bm25_top_n, before, after) if candidates is None else candidates
     top_v = dense.where(F.col("rank") <= vector_top_n)
-    most = top_v.groupBy(*scope).agg(F.max("cos").alias("max_cos")).join(sparse.groupBy(*scope).agg(F.max("bm25").alias("max_bm25")), scope, "full")
+    most_b = sparse.groupBy(*scope).agg(F.max("bm25").alias("max_bm25")) if max_bm25 is None else max_bm25
+    most = top_v.groupBy(*scope).agg(F.max("cos").alias("max_cos")).join(most_b, scope, "full")
     scored = cand.join(top_v.select(*scope, key, "cos"), [*scope, key], "left").join(sparse.select(*scope, key, "bm25"), [*scope, key], "left").join(coverage, [*scope, key], "left").join(most, scope, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     scored = scored.withColumn("bm25_norm", F.round(normalized(zero("bm25"), F.col("max_bm25")), 9)).withColumn("vector_norm", F.round(normalized(zero("cos"), F.col("max_cos")), 9)).withColumn("rare", zero("rare_coverage"))

@@ -79,17 +79,21 @@ class Stages:
         """The rows of highest cosine: ``cos, vec_rank``."""
         return saved(dense.top_dense(self.queries, self.vectors, "eval_id", "qvec", "ord", "embedding", self.depth), "dense")
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """The queries' terms: ``eval_id, term, qc``."""
+        return saved(sparse.query_terms(self.queries, "eval_id", "question"), "asked")
+
     @cached_property
     def postings(self) -> DataFrame:
-        """Of the queries' terms: ``ord, term, tf, len``."""
-        return saved(sparse.postings(self.chunks, "ord", "text", only=sparse.query_terms(self.queries, "eval_id", "question")), "postings")
+        """Of the queries' terms: ``ord, term, tf, len, book, has_vec``."""
+        return saved(sparse.postings(self.chunks, "ord", "text", only=self.asked, carry=("book", "has_vec")), "postings")
 
     @cached_property
     def scores(self) -> DataFrame:
         """All rows with a BM25 score, in no order: ``bm25, book, has_vec``."""
         stats = self.places.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("avg_len"))
-        scores = sparse.bm25(self.queries, self.chunks, "eval_id", "question", "ord", "text", self.postings, stats)
-        return saved(scores.join(self.places.select("ord", "book", "has_vec"), "ord"), "bm25")
+        return saved(sparse.bm25(self.queries, self.chunks, "eval_id", "question", "ord", "text", self.postings, stats, self.asked, ("book", "has_vec")), "bm25")
 
     @cached_property
     def sparse(self) -> DataFrame:
@@ -147,17 +151,17 @@ def unrouted(s: Stages, top_k: int = fixed.TOP_K) -> DataFrame:
     base = saved(expanded(s, top_k), "expanded")
     held = s.scores.where("has_vec")
     by = Window.partitionBy("eval_id").orderBy(F.desc("bm25"), "ord")
-    top_b = held.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= s.tops[1]).select("eval_id", "ord", "rank")
+    top_b = held.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= s.tops[1]).select("eval_id", "ord", "bm25", "rank")
     return _rescued(s, base, s.dense.withColumnRenamed("vec_rank", "rank"), held.select("eval_id", "ord", "bm25"), top_b, ["eval_id"], top_k)
 
 
 def _rescued(s: Stages, base: DataFrame, d: DataFrame, scores: DataFrame, top_b: DataFrame, scope: list[str], top_k: int, routes: DataFrame | None = None) -> DataFrame:
     """The rescue slot with evidence looked up for its candidates only; ``scores`` are all BM25 scores, ``top_b`` the top's ranks."""
     cand = saved(fusion.rescue_candidates(base, d, top_b, _places(s), scope, "ord", *s.tops), "rescue")
-    coverage = fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings, routes, cand)
-    best = scores.groupBy(*scope).agg(F.max_by(F.struct("ord", "bm25"), F.struct("bm25", -F.col("ord"))).alias("b")).select(*scope, "b.*")  # the maximum, which normalises
-    own = scores.join(cand.select(*scope, "ord"), [*scope, "ord"], "left_semi").select(*scope, "ord", "bm25").unionByName(best).distinct()
-    return fusion.rescue(base, d, own.withColumn("rank", F.lit(None).cast("int")), coverage, _places(s), scope, "ord", top_k, *s.tops, candidates=cand)
+    coverage = saved(fusion.rare_coverage(s.asked, s.rows, "eval_id", "ord", s.postings.where("has_vec"), routes, cand), "coverage")
+    own = scores.join(cand.select(*scope, "ord"), [*scope, "ord"]).select(*scope, "ord", "bm25").withColumn("rank", F.lit(None).cast("int"))
+    most = top_b.where("rank = 1").select(*scope, F.col("bm25").alias("max_bm25"))
+    return fusion.rescue(base, d, own, coverage, _places(s), scope, "ord", top_k, *s.tops, candidates=cand, max_bm25=most)
 
 
 def in_books(s: Stages, routes: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -179,7 +183,7 @@ def in_books(s: Stages, routes: DataFrame, most: int) -> tuple[DataFrame, DataFr
     f = near.unionByName(far).withColumn("rank", by(F.desc("score"), F.desc("cos"), "ord")).where(F.col("rank") <= most)
     scores = s.scores.where("has_vec").withColumnRenamed("book", "route_book").join(own, scope).select(*scope, "ord", "bm25")
     top_b = scores.withColumn("rank", by(F.desc("bm25"), "ord")).where(F.col("rank") <= s.tops[1])
-    return d, scores, top_b.select(*scope, "ord", "rank"), f.select(*scope, "ord", "rank")
+    return d, scores, saved(top_b, "in-books"), f.select(*scope, "ord", "rank")
 
 
 def routed(s: Stages, top_k: int = fixed.TOP_K, cap: int = fixed.BOOK_CAP, routes: int = fixed.ROUTE_BOOKS) -> DataFrame:

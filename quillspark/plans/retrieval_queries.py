@@ -74,7 +74,7 @@ def scene_expand(spark: SparkSession, sf: str) -> DataFrame:
 def rescue_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Rare-term coverage of every row for every stated query."""
     s = retrieval.stages(spark, sf)
-    return fusion.rare_coverage(s.queries, s.rows, "eval_id", "question", "ord", s.postings).select("eval_id", "ord", F.round("rare_coverage", 6).alias("rare_coverage"))
+    return fusion.rare_coverage(s.asked, s.rows, "eval_id", "ord", s.postings.where("has_vec")).select("eval_id", "ord", F.round("rare_coverage", 6).alias("rare_coverage"))
 
 
 def retrieve_single_corpus(spark: SparkSession, sf: str) -> DataFrame:
