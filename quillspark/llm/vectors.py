@@ -1,8 +1,9 @@
 """Problem 1: for every vector the most similar vectors of the collection.
 
-An inverted file of coarse centroids: vectors lie in the list of their nearest centroid, each vector asks the lists of its
-nearest centroids and is compared with every entry of these, by a product of matrices first and by the exact cosine where
-that decides.
+An inverted file of coarse centroids with product-quantised residuals. A vector lies in the list of its nearest centroid
+as centroid plus a code of its residual; each vector asks the lists of its nearest centroids, entries are scored by
+tables of the asking vector's products with all code words, and those that may still be among the best are compared
+exactly.
 """
 
 from __future__ import annotations
@@ -17,24 +18,47 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import saved
+
 K = 5
-SAMPLE = 32_768  # vectors the index is fitted on at most, chosen by the hashes of their keys
-LIST_ROWS, MOST_LISTS, PROBES, GROUP_ROWS = 200, 4096, 5, 4000
+SAMPLE = 262_144  # vectors the index is fitted on at most, chosen by the hashes of their keys
+LEAST_SAMPLE, A_LIST = 32_768, 8  # sampled as long as so many rows are there, and sampled rows for each list
+BOOK_SAMPLE = 32_768  # of the sample, in random order, for the code words
+LISTS = 4  # lists for each root of the number of rows
+PARTS, WORDS = 32, 64  # a residual is cut into parts, each of which is one of so many code words
+MEASURED, TARGET = 512, 0.995  # vectors searched by brute force to choose the number of lists asked, and the share of their neighbours that must lie in these
+DEVIATIONS = 3.0  # of the error of a code by which an entry may be better than its score
+GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 4000, 65_536, 32_768
 SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding to 6 digits can be off
 
 
 @dataclass
 class Index:
     centroids: np.ndarray  # lists x dimensions, unit length
-    group: np.ndarray  # group of lists that one task holds together; the first one of a list that several share
-    shares: np.ndarray  # groups over which the entries of a list are spread
+    books: np.ndarray  # parts x code words x dimensions of a part
     probes: int
+    margin: float  # cosine by which an entry may be off for each unit of its residual's error
+    group: np.ndarray = None  # of a list, the first of the tasks that hold it together with its neighbours
+    shares: np.ndarray = None  # of a list, parts into which its entries are dealt, each in tasks of its own
+    blocks: np.ndarray = None  # of a list, parts into which those that ask its group are dealt
+
+    def coded(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code words of the residuals and how far cosines by them may be off."""
+        residual = x - self.centroids[cell]
+        codes = np.empty((len(x), len(self.books)), np.uint8)
+        left = np.zeros(len(x))
+        width = self.books.shape[2]
+        for m, words in enumerate(self.books):
+            part = residual[:, m * width : (m + 1) * width]
+            codes[:, m] = (part @ words.T - 0.5 * (words * words).sum(1)).argmax(1)
+            left += ((part - words[codes[:, m]]) ** 2).sum(1)
+        return codes, (self.margin * np.sqrt(left) + SLACK).astype(np.float32)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, unit: bool = False) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
+        near = _nearest(x, c)
         n = np.bincount(near, minlength=k)
         sums = np.stack([np.bincount(near, weights=column, minlength=k) for column in x.T], axis=1)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(len(x), size=k)]).astype(np.float32)
@@ -43,28 +67,88 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, un
     return c
 
 
-def fit(sample: np.ndarray, n_rows: int, probes: int = PROBES, seed: int = 7) -> Index:
-    """Centroids and groups of lists from a sample of unit vectors of a collection of ``n_rows``."""
+def _nearest(x: np.ndarray, c: np.ndarray, block: int = 4096) -> np.ndarray:
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([(x[i : i + block] @ c.T - half).argmax(1) for i in range(0, len(x), block)])
+
+
+def list_count(n_rows: int, n_sample: int) -> int:
+    """Lists near the root of the rows, as far as the sample has ``A_LIST`` vectors for each."""
+    return int(np.clip(LISTS * np.sqrt(n_rows), 1, max(1, n_sample // A_LIST)))
+
+
+def fit(sample: np.ndarray, n_rows: int, probes: int | None = None, exact: bool = False, group_rows: int = GROUP_ROWS, seed: int = 7) -> Index:
+    """Centroids and code words from a sample of unit vectors of a collection of ``n_rows``, laid out if ``probes`` are given.
+
+    Centroids are fitted in two levels, each cell of the first having as many of the second as its share of the sample.
+    """
     rng = np.random.default_rng(seed)
-    lists = int(np.clip(n_rows // LIST_ROWS, 1, min(MOST_LISTS, max(1, len(sample) // 4))))
-    centroids = _kmeans(sample, lists, rng, unit=True)
-    near = (sample @ centroids.T).argmax(1)
-    rows = np.bincount(near, minlength=lists) * (n_rows / max(1, len(sample)))
-    group, shares, todo = np.zeros(lists, np.int32), np.ones(lists, np.int32), [np.arange(lists)]
-    n = 0
-    while todo:  # neighbouring lists stay together: halves along the widest direction until a half is small
+    lists = list_count(n_rows, len(sample))
+    top = _kmeans(sample, max(1, int(np.sqrt(lists))), rng, unit=True)
+    cell = _nearest(sample, top)
+    centroids = []
+    for c in np.unique(cell):
+        own = sample[cell == c]
+        centroids.append(_kmeans(own, max(1, round(lists * len(own) / len(sample))), rng, unit=True))
+    centroids = np.concatenate(centroids)
+    some = sample[rng.permutation(len(sample))[:BOOK_SAMPLE]]
+    residual = some - centroids[_nearest(some, centroids)]
+    width = sample.shape[1] // PARTS
+    books = np.stack([_kmeans(np.ascontiguousarray(residual[:, m * width : (m + 1) * width]), WORDS, rng, 6) for m in range(PARTS)])
+    # the error of a cosine is the product of a unit vector and the residual's error: at most its length, as a rule a root of the dimensions less
+    index = Index(centroids, books, len(centroids), 1.0 if exact else DEVIATIONS / np.sqrt(sample.shape[1]))
+    return index if probes is None and not exact else laid_out(index, sample, n_rows, len(centroids) if exact else probes, group_rows)
+
+
+def probes_for(index: Index, asking: np.ndarray, near: np.ndarray, target: float = TARGET) -> int:
+    """How many lists vectors must ask so that ``target`` of their neighbours ``near``, row by row, lie in these."""
+    if not len(asking):
+        return 1
+    own = _nearest(near, index.centroids)
+    score = asking @ index.centroids.T
+    rank = (score > score[np.arange(len(own)), own][:, None]).sum(1)
+    return int(np.sort(rank)[int(np.ceil(target * len(rank))) - 1]) + 1
+
+
+def laid_out(index: Index, sample: np.ndarray, n_rows: int, probes: int, group_rows: int = GROUP_ROWS) -> Index:
+    """``index`` with tasks: neighbouring lists of few rows share one, a list of many rows and those that ask it are dealt to several.
+
+    How many rows a list has and how many will ask it is read from the sample.
+    """
+    lists = len(index.centroids)
+    index.probes = min(probes, lists)
+    scale = n_rows / max(1, len(sample))
+    rows = np.bincount(_nearest(sample, index.centroids), minlength=lists) * scale
+    some = sample[:: max(1, len(sample) // 4096)]
+    index.group, index.shares, index.blocks = np.zeros(lists, np.int64), np.ones(lists, np.int64), np.ones(lists, np.int64)
+    bins, todo = [], [np.arange(lists)]
+    while todo:  # halves along the widest direction until a half is small
         own = todo.pop()
-        if len(own) == 1 or rows[own].sum() <= GROUP_ROWS:
-            group[own] = n
-            if len(own) == 1:
-                shares[own] = max(1, int(np.ceil(rows[own[0]] / GROUP_ROWS)))
-            n += int(shares[own].max())
+        if len(own) == 1 or rows[own].sum() <= group_rows:
+            bins.append(own)
             continue
-        x = centroids[own] - centroids[own].mean(0)
+        x = index.centroids[own] - index.centroids[own].mean(0)
         order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0])
         cut = int(np.clip(np.searchsorted(np.cumsum(rows[own][order]), rows[own].sum() / 2), 1, len(own) - 1))
         todo += [own[order[:cut]], own[order[cut:]]]
-    return Index(centroids, group, shares, min(probes, lists))
+    which = np.empty(lists, np.int64)
+    for b, own in enumerate(bins):
+        which[own] = b
+    asks = np.zeros(len(bins))
+    for i in range(0, len(some), 512):
+        asked = np.argpartition(-(some[i : i + 512] @ index.centroids.T), index.probes - 1, axis=1)[:, : index.probes]
+        hit = np.zeros((len(asked), len(bins)), bool)
+        np.put_along_axis(hit, which[asked], True, axis=1)
+        asks += hit.sum(0)
+    asks *= n_rows / max(1, len(some))
+    n = 0
+    for b, own in enumerate(bins):
+        index.group[own] = n
+        if len(own) == 1:
+            index.shares[own] = max(1, int(np.ceil(rows[own[0]] / group_rows)))
+        index.blocks[own] = max(1, int(np.ceil(asks[b] / ASK_ROWS)))
+        n += int(index.shares[own].max() * index.blocks[own].max())
+    return index
 
 
 def usable(vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +163,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pd.Series, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
 def _firsts(k: int, owner: np.ndarray, *order: np.ndarray) -> np.ndarray:
     """Positions of the first ``k`` of each owner in the order of the keys, the last being the most important."""
     by = np.lexsort((*order, owner))
@@ -89,44 +177,60 @@ def _firsts(k: int, owner: np.ndarray, *order: np.ndarray) -> np.ndarray:
 def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int) -> Iterator[tuple[bytes, list[tuple[float, str]]]]:
     """For each asking vector its best ``k`` keys among the lists of this group: (-cosine rounded to 6 digits, key).
 
-    Of entries with their keys in order, those of the best ``k`` by cosine, then first key, hold the best ``k`` keys.
+    Of entries with their keys in order, those of the best ``k`` by cosine, then first key, hold the best ``k`` keys. An
+    entry is compared exactly if by its code's error it may be as good as the ``k``-th best; there is no other bound.
     """
     if not len(base) or not len(asking):
         return
     base = base.sort_values("cell", kind="stable")
-    vec = np.frombuffer(b"".join(base["vec"]), np.float32).reshape(len(base), -1)
+    vec, codes, off = _matrix(base["vec"], np.float32), _matrix(base["code"], np.uint8).T.copy(), base["off"].to_numpy(np.float32)
     cells, first = np.unique(base["cell"].to_numpy(), return_index=True)
     bounds = {int(c): (int(a), int(b)) for c, a, b in zip(cells, first, [*first[1:], len(base)])}
     ids = [sorted(names) for names in base["ids"]]
     place = np.empty(len(ids), np.int64)  # of an entry by its first key
     place[sorted(range(len(ids)), key=lambda i: ids[i][0])] = np.arange(len(ids))
+    width = index.books.shape[2]
     for low in range(0, len(asking), 2000):
         block = asking.iloc[low : low + 2000]
-        q = np.frombuffer(b"".join(block["vec"]), np.float32).reshape(len(block), -1)
+        q = _matrix(block["vec"], np.float32)
+        tables = np.stack([q[:, m * width : (m + 1) * width] @ words.T for m, words in enumerate(index.books)], axis=1)  # asking x parts x words
         probes = [np.frombuffer(p, np.int32) for p in block["probes"]]
         flat, owner = np.concatenate(probes), np.repeat(np.arange(len(block)), list(map(len, probes)))
-        found_q, found_b, found_s = [], [], []
-        for cell in np.unique(flat):
-            if int(cell) not in bounds:
-                continue
-            a, b = bounds[int(cell)]
-            who = owner[flat == cell]
-            for start in range(a, b, 1000):
-                stop = min(b, start + 1000)
-                score = q[who] @ vec[start:stop].T
-                if stop - start > k:
-                    row, at = np.nonzero(score >= np.partition(score, stop - start - k, axis=1)[:, [stop - start - k]] - SLACK)
-                else:
-                    row, at = (x.ravel() for x in np.indices(score.shape))
-                fq, fb = who[row], at + start
-                exact = np.concatenate([np.round(np.einsum("ij,ij->i", q[fq[i : i + 50_000]].astype(np.float64), vec[fb[i : i + 50_000]].astype(np.float64)), 6) for i in range(0, len(fq), 50_000)])
-                kept = _firsts(k, fq, place[fb], -exact)
-                found_q.append(fq[kept])
-                found_b.append(fb[kept])
-                found_s.append(exact[kept])
-        if not found_q:
+        by = np.argsort(flat, kind="stable")
+        flat, owner = flat[by], owner[by]
+        near = np.einsum("ij,ij->i", q[owner], index.centroids[flat])
+        lead = np.zeros(len(flat), bool)  # the nearest list of each, which tells how good its k-th best is at least
+        lead[_firsts(1, owner, -near)] = True
+        lows = np.full((len(block), k), -np.inf, np.float32)
+        found = []
+        for leading in (True, False):
+            todo = np.flatnonzero(lead) if leading else np.arange(len(flat))
+            todo = todo[np.isin(flat[todo], cells)]
+            starts = np.flatnonzero(np.diff(flat[todo], prepend=-1))
+            for some in np.split(todo, starts[1:]) if len(todo) else ():
+                who, cell = owner[some], int(flat[some[0]])
+                own = tables[who]
+                for start in range(*bounds[cell], 2000):
+                    stop = min(bounds[cell][1], start + 2000)
+                    score = np.repeat(near[some][:, None], stop - start, axis=1)
+                    for m in range(len(codes)):
+                        score += np.take(own[:, m], codes[m, start:stop], axis=1)
+                    if leading:
+                        lows[who] = np.partition(np.concatenate([lows[who], score - off[start:stop]], axis=1), -k, axis=1)[:, -k:]
+                        continue
+                    at_most = score + off[start:stop]
+                    row, at = np.nonzero(at_most >= lows[who, 0][:, None])
+                    found.append((who[row], at + start, score[row, at] - off[at + start], at_most[row, at]))
+        if not found:
             continue
-        fq, fb, exact = np.concatenate(found_q), np.concatenate(found_b), np.concatenate(found_s)
+        fq, fb, at_least, at_most = map(np.concatenate, zip(*found))
+        order = np.lexsort((-at_least, fq))
+        start = np.searchsorted(fq[order], np.arange(len(block) + 1))
+        last = np.minimum(start[:-1] + k, start[1:]) - 1
+        least = np.where(start[1:] - start[:-1] >= k, at_least[order][np.maximum(last, 0)], -np.inf)  # the k-th best is this good at least
+        kept = np.flatnonzero(at_most >= least[fq])
+        fq, fb = fq[kept], fb[kept]
+        exact = np.concatenate([np.round(np.einsum("ij,ij->i", q[fq[i : i + 50_000]].astype(np.float64), vec[fb[i : i + 50_000]].astype(np.float64)), 6) for i in range(0, len(fq), 50_000)])
         kept = _firsts(k, fq, place[fb], -exact)
         fq, fb, exact = fq[kept], fb[kept], exact[kept]
         start = np.searchsorted(fq, np.arange(len(block) + 1))
@@ -136,15 +240,45 @@ def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int)
                 yield key, sorted((-float(x), name) for x, j in zip(exact[s:e], fb[s:e]) for name in ids[j])[:k]
 
 
-def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims: int = 64, k: int = K, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def _neighbours(flat: DataFrame, asking: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of few ``asking`` vectors the best ``k`` others by brute force, row by row: asking vectors and neighbours."""
+    shared = flat.sparkSession.sparkContext.broadcast(asking)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = shared.value
+        held = np.empty((len(q), 0), np.float32), np.empty((len(q), 0, q.shape[1]), np.float32)
+        for batch in batches:
+            x = _matrix(batch["vec"], np.float32) if len(batch) else np.empty((0, q.shape[1]), np.float32)
+            score = q @ x.T
+            score[score > 1 - 1e-6] = -np.inf  # itself and its copies
+            n = min(k, len(x))
+            at = np.argpartition(-score, n - 1, axis=1)[:, :n] if n else np.empty((len(q), 0), np.int64)
+            score, near = np.concatenate([held[0], np.take_along_axis(score, at, 1)], axis=1), np.concatenate([held[1], x[at]], axis=1)
+            at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            held = np.take_along_axis(score, at, 1), np.take_along_axis(near, at[:, :, None], 1)
+        i, j = np.nonzero(np.isfinite(held[0]))
+        yield pd.DataFrame({"q": i.astype(np.int32), "score": held[0][i, j].astype(np.float64), "vec": [held[1][a, b].tobytes() for a, b in zip(i, j)]})
+
+    best = flat.select("vec").mapInPandas(search, "q int, score double, vec binary")
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec"))).where(F.col("n") <= k)
+    rows = best.select("q", "vec").collect()  # k for each of the measured vectors
+    return asking[[r["q"] for r in rows]], _matrix([r["vec"] for r in rows], np.float32) if rows else asking[:0]
+
+
+def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims: int = 64, k: int = K, probes: int | None = None, sample: int = SAMPLE, exact: bool = False) -> DataFrame:
     """The ``k`` most similar rows of every row by cosine: key, rank, neighbour, similarity (6 digits).
 
     Ties go to the smaller key. Rows with a null key, a null vector or one that is not ``dims`` finite numbers, or all
-    zero, take no part; a repeated key counts once. Vectors of one direction are one entry of the index with its ``k + 1`` smallest
-    keys, which is all that any row can need of them, and are asked for once; so any number of copies costs no more.
-    Within the lists asked nothing is cut: every entry is compared. A list of more than ``GROUP_ROWS`` rows is spread over
-    several tasks. The index is fitted on at most ``sample`` vectors and holds every row; with ``probes`` lists asked the loss measured
-    on the test tables is under two in a hundred neighbours. An empty collection gives no rows.
+    zero, take no part; a repeated key counts once. Vectors of one direction are one entry of the index with its ``k + 1``
+    smallest keys, which is all that any row can need of them, and are asked for once; so any number of copies costs no
+    more. An empty collection gives no rows. ``dims`` must be a multiple of ``PARTS``.
+
+    The index is fitted on at most ``sample`` vectors and holds every row. Lists grow with the root of the rows; how many
+    each vector asks is measured, unless ``probes`` says it: as many as hold ``TARGET`` of the true neighbours of
+    ``MEASURED`` vectors, found by brute force. Within the lists asked entries are left out only if their code's error
+    would have to be ``DEVIATIONS`` times as large as it is as a rule. ``exact`` asks all lists and leaves out only what
+    cannot be better: no loss, and work that grows with the square of the rows. A list of many rows, and those that ask
+    it, are dealt to several tasks.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dims) & F.col("id").isNotNull())
@@ -158,28 +292,39 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             keys = pa.array([xxhash.xxh3_128_digest(np.ascontiguousarray(r).tobytes()) for r in np.round(u, 8) + 0.0], pa.binary())
             yield pa.RecordBatch.from_arrays([keys, names, pa.array([r.tobytes() for r in u.astype(np.float32)], pa.binary())], ["vkey", "id", "vec"])
 
-    flat = rows.mapInArrow(plain, f"vkey binary, id {kind}, vec binary")
-    n_rows = rows.count()
-    part = int(min(1.0, 0.9 * sample / max(1, n_rows)) * 2**30)  # of all hashes; the limit only guards the bound
-    few = flat.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < part).select("vec").limit(sample).collect()
+    flat = saved(rows.mapInArrow(plain, f"vkey binary, id {kind}, vec binary"), "vectors")
+    n_rows = flat.count()
+    wanted = min(sample, max(LEAST_SAMPLE, A_LIST * list_count(n_rows, sample)))
+    part = int(min(1.0, 0.95 * wanted / max(1, n_rows)) * 2**30)  # of all hashes; the limit only guards the bound
+    few = flat.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < part).orderBy(F.xxhash64("id", F.lit(1)), "id").select("vec").limit(wanted).toArrow()["vec"].to_pylist()
     if not few:
         return spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour {kind}, similarity double")
-    index = fit(np.stack([np.frombuffer(r["vec"], np.float32) for r in few]), n_rows, probes)
-    shared = spark.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
+    few = _matrix(few, np.float32)
+    index = fit(few, n_rows, exact=False)
+    if exact:
+        index.margin = 1.0
+    asked = len(index.centroids) if exact else probes or probes_for(index, *_neighbours(flat, few[:MEASURED], k))
+    group_rows = int(np.clip(n_rows // (4 * spark.sparkContext.defaultParallelism), GROUP_ROWS, MOST_GROUP_ROWS))
+    shared = spark.sparkContext.broadcast(laid_out(index, few, n_rows, asked, group_rows))  # at most SAMPLE / A_LIST centroids
 
     by_vector = Window.partitionBy("vkey").orderBy("id")
     entries = flat.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).groupBy("vkey").agg(F.collect_set("id").alias("ids"), F.min("vec").alias("vec"))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch["vec"]), np.float32).reshape(len(batch), -1)
+        for batch in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
+            x = _matrix(batch["vec"], np.float32)
+            vkey, vec, ids = (batch[c].to_numpy() for c in ("vkey", "vec", "ids"))
+            deal = np.array([int.from_bytes(v[:8], "little") for v in vkey], np.uint64) >> np.uint64(1)
             near = x @ index.centroids.T
             cell = near.argmax(1)
-            share = np.array([int.from_bytes(v[:4], "little") for v in batch["vkey"]]) % index.shares[cell]
-            yield pd.DataFrame({"grp": (index.group[cell] + share).astype(np.int32), "vkey": batch["vkey"], "ids": batch["ids"], "vec": batch["vec"], "cell": cell.astype(np.int32), "probes": None})
+            codes, off = index.coded(x, cell)
+            # an entry lies in one share of its list, once for each block of those that ask
+            who, block = _times(index.blocks[cell])
+            share = (deal[who] % index.shares[cell[who]].astype(np.uint64)).astype(np.int64)
+            code = np.array([c.tobytes() for c in codes], object)
+            yield pd.DataFrame({"grp": index.group[cell[who]] + share * index.blocks[cell[who]] + block, "vkey": None, "ids": ids[who], "vec": vec[who], "cell": cell[who].astype(np.int32), "code": code[who], "off": off[who], "probes": None})
+            # one that asks goes to every share of a list, in its own block
             asked = np.argpartition(-near, index.probes - 1, axis=1)[:, : index.probes].astype(np.int32)
             group = index.group[asked]
             order = np.argsort(group, axis=1, kind="stable")
@@ -188,12 +333,13 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             who, at = np.nonzero(first)
             end = np.append(at[1:], 0)
             end[np.append(who[1:] != who[:-1], True)] = index.probes
-            times = index.shares[asked[who, at]]  # a list with shares is alone in its groups, all of which are asked
-            grp = np.repeat(group[who, at], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            who, at, end = (np.repeat(x, times) for x in (who, at, end))
-            yield pd.DataFrame({"grp": grp.astype(np.int32), "vkey": batch["vkey"].to_numpy()[who], "ids": None, "vec": batch["vec"].to_numpy()[who], "cell": np.int32(-1), "probes": [asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)]})
+            cells = asked[who, at]
+            i, share = _times(index.shares[cells])  # a list with shares is alone in its groups
+            block = (deal[who[i]] // np.uint64(7919) % index.blocks[cells[i]].astype(np.uint64)).astype(np.int64)
+            own = np.array([asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)], object)
+            yield pd.DataFrame({"grp": group[who, at][i] + share * index.blocks[cells[i]] + block, "vkey": vkey[who[i]], "ids": None, "vec": vec[who[i]], "cell": np.int32(-1), "code": None, "off": np.float32(0), "probes": own[i]})
 
-    lists = entries.mapInPandas(listed, f"grp int, vkey binary, ids array<{kind}>, vec binary, cell int, probes binary")
+    lists = entries.mapInPandas(listed, f"grp long, vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, probes binary")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         held = group["cell"].to_numpy() >= 0
@@ -205,3 +351,9 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     members = flat.select("vkey", "id").distinct()
     own = members.join(best, "vkey").select("id", F.slice(F.filter("best", lambda b: b["near"] != F.col("id")), 1, k).alias("best"))
     return own.select(F.col("id").alias(key), F.posexplode("best").alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), F.col("b.near").alias("neighbour"), (-F.col("b.far")).alias("similarity"))
+
+
+def _times(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position as often as ``n`` says, and the how-manieth of its times it is."""
+    at = np.repeat(np.arange(len(n)), n)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
