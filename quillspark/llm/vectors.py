@@ -77,8 +77,8 @@ def list_count(n_rows: int, n_sample: int) -> int:
     return int(np.clip(LISTS * np.sqrt(n_rows), 1, max(1, n_sample // A_LIST)))
 
 
-def fit(sample: np.ndarray, n_rows: int, probes: int | None = None, exact: bool = False, group_rows: int = GROUP_ROWS, seed: int = 7) -> Index:
-    """Centroids and code words from a sample of unit vectors of a collection of ``n_rows``, laid out if ``probes`` are given.
+def trained(sample: np.ndarray, n_rows: int, exact: bool = False, seed: int = 7) -> Index:
+    """Centroids and code words from a sample of unit vectors of a collection of ``n_rows``.
 
     Centroids are fitted in two levels, each cell of the first having as many of the second as its share of the sample.
     """
@@ -96,8 +96,12 @@ def fit(sample: np.ndarray, n_rows: int, probes: int | None = None, exact: bool
     width = sample.shape[1] // PARTS
     books = np.stack([_kmeans(np.ascontiguousarray(residual[:, m * width : (m + 1) * width]), WORDS, rng, 6) for m in range(PARTS)])
     # the error of a cosine is the product of a unit vector and the residual's error: at most its length, as a rule a root of the dimensions less
-    index = Index(centroids, books, len(centroids), 1.0 if exact else DEVIATIONS / np.sqrt(sample.shape[1]))
-    return index if probes is None and not exact else laid_out(index, sample, n_rows, len(centroids) if exact else probes, group_rows)
+    return Index(centroids, books, len(centroids), 1.0 if exact else DEVIATIONS / np.sqrt(sample.shape[1]))
+
+
+def fit(sample: np.ndarray, n_rows: int, probes: int = 8) -> Index:
+    """A whole index with the number of lists asked given."""
+    return laid_out(trained(sample, n_rows), sample, n_rows, probes)
 
 
 def probes_for(index: Index, asking: np.ndarray, near: np.ndarray, target: float = TARGET) -> int:
@@ -300,9 +304,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     if not few:
         return spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour {kind}, similarity double")
     few = _matrix(few, np.float32)
-    index = fit(few, n_rows, exact=False)
-    if exact:
-        index.margin = 1.0
+    index = trained(few, n_rows, exact)
     asked = len(index.centroids) if exact else probes or probes_for(index, *_neighbours(flat, few[:MEASURED], k))
     group_rows = int(np.clip(n_rows // (4 * spark.sparkContext.defaultParallelism), GROUP_ROWS, MOST_GROUP_ROWS))
     shared = spark.sparkContext.broadcast(laid_out(index, few, n_rows, asked, group_rows))  # at most SAMPLE / A_LIST centroids
