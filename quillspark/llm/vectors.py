@@ -28,7 +28,8 @@ LISTS = 4  # lists for each root of the number of rows
 PARTS, WORDS = 32, 64  # a residual is cut into parts, each of which is one of so many code words
 MEASURED, TARGET = 512, 0.995  # vectors searched by brute force to choose the number of lists asked, and the share of their neighbours that must lie in these
 DEVIATIONS = 3.0  # of the error of a code by which an entry may be better than its score
-GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 4000, 65_536, 32_768
+FEW_ROWS, GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 500, 4000, 65_536, 32_768
+GROUPS_A_CORE = 3
 SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding to 6 digits can be off
 
 
@@ -114,43 +115,48 @@ def probes_for(index: Index, asking: np.ndarray, near: np.ndarray, target: float
     return int(np.sort(rank)[int(np.ceil(target * len(rank))) - 1]) + 1
 
 
-def laid_out(index: Index, sample: np.ndarray, n_rows: int, probes: int, group_rows: int = GROUP_ROWS) -> Index:
-    """``index`` with tasks: neighbouring lists of few rows share one, a list of many rows and those that ask it are dealt to several.
+def laid_out(index: Index, sample: np.ndarray, n_rows: int, probes: int, group_rows: int = GROUP_ROWS, groups: int = 16) -> Index:
+    """``index`` with tasks of about equal work: neighbouring lists share one, a list of much work is dealt to several.
 
-    How many rows a list has and how many will ask it is read from the sample.
+    How many rows a list has and how many will ask it is read from the sample; the work is their product. Lists stay
+    together up to a part of ``groups`` of all work; alone, one of more than ``group_rows`` rows is dealt into shares, and
+    those that ask it into blocks where they are many or the work is still too much.
     """
     lists = len(index.centroids)
     index.probes = min(probes, lists)
-    scale = n_rows / max(1, len(sample))
-    rows = np.bincount(_nearest(sample, index.centroids), minlength=lists) * scale
+    rows = np.bincount(_nearest(sample, index.centroids), minlength=lists) * (n_rows / max(1, len(sample)))
     some = sample[:: max(1, len(sample) // 4096)]
-    index.group, index.shares, index.blocks = np.zeros(lists, np.int64), np.ones(lists, np.int64), np.ones(lists, np.int64)
+    each = n_rows / max(1, len(some))
+    asked = [np.argpartition(-(some[i : i + 512] @ index.centroids.T), index.probes - 1, axis=1)[:, : index.probes] for i in range(0, len(some), 512)]
+    work = rows * sum(np.bincount(a.ravel(), minlength=lists) for a in asked) * each
+    limit = work.sum() / groups
     bins, todo = [], [np.arange(lists)]
     while todo:  # halves along the widest direction until a half is small
         own = todo.pop()
-        if len(own) == 1 or rows[own].sum() <= group_rows:
+        if len(own) == 1 or rows[own].sum() <= FEW_ROWS or work[own].sum() <= limit and rows[own].sum() <= MOST_GROUP_ROWS:
             bins.append(own)
             continue
         x = index.centroids[own] - index.centroids[own].mean(0)
         order = np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0])
-        cut = int(np.clip(np.searchsorted(np.cumsum(rows[own][order]), rows[own].sum() / 2), 1, len(own) - 1))
+        cut = int(np.clip(np.searchsorted(np.cumsum(work[own][order]), work[own].sum() / 2), 1, len(own) - 1))
         todo += [own[order[:cut]], own[order[cut:]]]
     which = np.empty(lists, np.int64)
     for b, own in enumerate(bins):
         which[own] = b
     asks = np.zeros(len(bins))
-    for i in range(0, len(some), 512):
-        asked = np.argpartition(-(some[i : i + 512] @ index.centroids.T), index.probes - 1, axis=1)[:, : index.probes]
-        hit = np.zeros((len(asked), len(bins)), bool)
-        np.put_along_axis(hit, which[asked], True, axis=1)
-        asks += hit.sum(0)
-    asks *= n_rows / max(1, len(some))
+    for a in asked:
+        hit = np.zeros((len(a), len(bins)), bool)
+        np.put_along_axis(hit, which[a], True, axis=1)
+        asks += hit.sum(0) * each
+    index.group, index.shares, index.blocks = np.zeros(lists, np.int64), np.ones(lists, np.int64), np.ones(lists, np.int64)
     n = 0
     for b, own in enumerate(bins):
         index.group[own] = n
+        blocks = asks[b] / ASK_ROWS
         if len(own) == 1:
             index.shares[own] = max(1, int(np.ceil(rows[own[0]] / group_rows)))
-        index.blocks[own] = max(1, int(np.ceil(asks[b] / ASK_ROWS)))
+            blocks = max(blocks, work[own[0]] / limit / index.shares[own[0]] if rows[own[0]] > FEW_ROWS else 0)
+        index.blocks[own] = max(1, int(np.ceil(blocks)))
         n += int(index.shares[own].max() * index.blocks[own].max())
     return index
 
@@ -187,17 +193,17 @@ def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int)
     if not len(base) or not len(asking):
         return
     base = base.sort_values("cell", kind="stable")
-    vec, codes, off = _matrix(base["vec"], np.float32), _matrix(base["code"], np.uint8).T.copy(), base["off"].to_numpy(np.float32)
+    vec, codes, off = _matrix(base["vec"], np.float32), _matrix(base["code"], np.uint8).T.astype(np.int64), base["off"].to_numpy(np.float32)
     cells, first = np.unique(base["cell"].to_numpy(), return_index=True)
     bounds = {int(c): (int(a), int(b)) for c, a, b in zip(cells, first, [*first[1:], len(base)])}
     ids = [sorted(names) for names in base["ids"]]
     place = np.empty(len(ids), np.int64)  # of an entry by its first key
     place[sorted(range(len(ids)), key=lambda i: ids[i][0])] = np.arange(len(ids))
     width = index.books.shape[2]
-    for low in range(0, len(asking), 2000):
-        block = asking.iloc[low : low + 2000]
+    for low in range(0, len(asking), 1000):
+        block = asking.iloc[low : low + 1000]
         q = _matrix(block["vec"], np.float32)
-        tables = np.stack([q[:, m * width : (m + 1) * width] @ words.T for m, words in enumerate(index.books)], axis=1)  # asking x parts x words
+        tables = np.stack([q[:, m * width : (m + 1) * width] @ words.T for m, words in enumerate(index.books)])  # parts x asking x words
         probes = [np.frombuffer(p, np.int32) for p in block["probes"]]
         flat, owner = np.concatenate(probes), np.repeat(np.arange(len(block)), list(map(len, probes)))
         by = np.argsort(flat, kind="stable")
@@ -208,20 +214,18 @@ def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int)
         lows = np.full((len(block), k), -np.inf, np.float32)
         found = []
         for leading in (True, False):
-            todo = np.flatnonzero(lead) if leading else np.arange(len(flat))
+            todo = np.flatnonzero(lead == leading)
             todo = todo[np.isin(flat[todo], cells)]
             starts = np.flatnonzero(np.diff(flat[todo], prepend=-1))
             for some in np.split(todo, starts[1:]) if len(todo) else ():
                 who, cell = owner[some], int(flat[some[0]])
-                own = tables[who]
                 for start in range(*bounds[cell], 2000):
                     stop = min(bounds[cell][1], start + 2000)
                     score = np.repeat(near[some][:, None], stop - start, axis=1)
-                    for m in range(len(codes)):
-                        score += np.take(own[:, m], codes[m, start:stop], axis=1)
+                    for words, code in zip(tables, codes[:, start:stop]):
+                        score += words.take(who, axis=0, mode="clip").take(code, axis=1, mode="clip")
                     if leading:
                         lows[who] = np.partition(np.concatenate([lows[who], score - off[start:stop]], axis=1), -k, axis=1)[:, -k:]
-                        continue
                     at_most = score + off[start:stop]
                     row, at = np.nonzero(at_most >= lows[who, 0][:, None])
                     found.append((who[row], at + start, score[row, at] - off[at + start], at_most[row, at]))
@@ -306,8 +310,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     few = _matrix(few, np.float32)
     index = trained(few, n_rows, exact)
     asked = len(index.centroids) if exact else probes or probes_for(index, *_neighbours(flat, few[:MEASURED], k))
-    group_rows = int(np.clip(n_rows // (4 * spark.sparkContext.defaultParallelism), GROUP_ROWS, MOST_GROUP_ROWS))
-    shared = spark.sparkContext.broadcast(laid_out(index, few, n_rows, asked, group_rows))  # at most SAMPLE / A_LIST centroids
+    groups = GROUPS_A_CORE * spark.sparkContext.defaultParallelism
+    shared = spark.sparkContext.broadcast(laid_out(index, few, n_rows, asked, int(np.clip(n_rows // groups, GROUP_ROWS, MOST_GROUP_ROWS)), groups))  # at most SAMPLE / A_LIST centroids
 
     by_vector = Window.partitionBy("vkey").orderBy("id")
     entries = flat.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).groupBy("vkey").agg(F.collect_set("id").alias("ids"), F.min("vec").alias("vec"))
