@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -13,31 +14,13 @@ from pyspark.sql import types as T
 
 from quillspark.llm.langs import Model, Scorer
 from quillspark.llm.looks import canonical
+from quillspark.llm.refusals import Refusals, form
 
 # Letters of fillers that stand for "no value".
 FILLERS = set(
     "na none null nil nan undefined empty blank missing novalue noanswer todo tbd 无 無 空 空白 暂无 暫無 未填 未填写 待补 待补充 待定 无答案 無答案 无内容 略 "
     "なし 無し 該当なし 未記入 未入力 없음 해당없음 미입력 내용없음 keine keineangabe leer aucun aucune néant vide ninguno ninguna vacío vacio nenhum nenhuma vazio".split()
 )
-# Refusal templates; * stands for a stretch that names what was asked for.
-REFUSALS = """
-抱歉，我无法回答该问题|抱歉，我不能回答这个问题|很抱歉，我无法提供相关信息|对不起，我无法回答|对不起，当前内容不支持给出结论|无法确认|无法回答|无法判断|不能确定|我不知道|不清楚
-没有足够信息回答这个问题|没有足够的信息回答这个问题|根据现有片段，信息不足，无法判断|信息不足，无法回答|原文中未提供时间和地点，所以没法说明|原文未提供*的相关内容|原文没有提到*|文中没有提到*
-这个问题我不能确定，请提供更多线索|暂时答不上来，你可以换一种问法再试|请先告诉我书名和章节，否则我没有办法回答|此类请求超出了我的能力范围|作为助手，我不便对此发表意见|作为人工智能，我无法回答
-关于*，资料中只字未提，因此不作推测|很遗憾，检索到的段落里找不到与*有关的说明，恕难作答|我不清楚，给定的段落并没有谈到*|根据提供的内容无法得出答案|我无法协助处理该请求
-抱歉，我無法回答該問題|沒有足夠資訊回答這個問題|無法確認|無法回答|原文未提供*的相關內容
-Sorry, I can't help with that|I'm sorry, but I can't answer that|I cannot answer this question|I can't answer that question|I don't know|I am unable to determine this from the text|I am not able to answer this
-As an assistant I cannot comment on this|As an AI language model I cannot answer that|The passages do not contain enough information|There is not enough information to answer|The text does not mention *
-There is no mention of * in the provided excerpts, so I won't guess|I cannot find * in the provided passages|It cannot be determined from the given text
-申し訳ありませんが、お答えできません|この文章だけでは判断できません|*についての記述が見つからないため、回答は控えます|わかりません|情報が不足しているため、回答できません|その質問にはお答えできません
-죄송하지만 답변할 수 없습니다|주어진 글만으로는 알 수 없습니다|*에 대한 언급을 찾을 수 없어 답변을 삼가겠습니다|정보가 부족하여 답변할 수 없습니다|잘 모르겠습니다
-Es tut mir leid, aber das kann ich nicht beantworten|Leider kann ich diese Frage nicht beantworten|Der Text enthält nicht genügend Informationen|Das lässt sich aus dem Text nicht bestimmen
-Désolé, je ne peux pas répondre à cette question|Je suis désolé, mais je ne peux pas répondre|Le texte ne contient pas assez d'informations
-Lo siento, no puedo responder a esa pregunta|Lo siento, pero no puedo responder|El texto no contiene suficiente información
-Desculpe, não posso responder a essa pergunta|Sinto muito, mas não posso responder|O texto não contém informações suficientes
-"""
-# Words before a question that is only given back.
-QUESTION_LABELS = set("问题 問題 提问 问 你的问题 您的问题 您的问题是 你的问题是 你问的是 您问的是 question thequestion yourquestion youasked q 質問 ご質問 질문 frage question pregunta pergunta".split())
 # How a question asks for an answer in a language.
 ASKED = {
     "en": r"[用以]英[语語文]|英語で|영어로|\bin english\b|\bauf englisch\b|\ben anglais\b|\ben inglés\b|\bem inglês\b",
@@ -56,13 +39,21 @@ LEAST = 6
 TERMINAL = "。.!?…！？｡؟"
 CLOSERS = "”’」』»）)》】]\"'*_`〉"
 OPEN_CLOSE = ("“”", "「」", "『』", "《》", "（）", "()", "【】", "«»", "[]")
-SPEECH = ("“”", "「」", "『』", "«»")
+SENTENCE_ENDS = "。.!?…\n"
+# A phrase without full stop may be complete whatever its last word; a longer text is a sentence, and that has to end.
 SHORT_PHRASE = 12  # letters; counts of words for scripts with blanks are below
 SHORT_WORDS = 6
-REFUSED = 1 / 6  # share of a response's letters from which a refusal that does not open it makes it one
+# Words that cannot end a phrase, of the languages with blanks, and endings of those without.
+OPEN_WORDS = set(
+    "the a an of to in on at by for with from into onto upon and or but that which whose his her its their my your our is was are were be been as if than because while when although between among under over through toward towards "
+    "der die das den dem des ein eine einen einem einer eines und oder mit von zu zum zur im am an auf bei für nach über unter als dass weil wenn aber sein seine seinen ihr ihre ihren "
+    "le la les un une des de du au aux et ou que qui dans sur avec pour par sans sous vers chez son sa ses leur leurs mon ma mes ce cette ces "
+    "el los las una unos unas del al y o que en con por para sin sobre hacia desde su sus mi mis este esta "
+    "o os as um uma uns umas do da dos das em no na nos nas e ou com por para sem sob sobre seu sua seus suas meu minha ao à".split()
+)
+OPEN_ENDS = ("把", "被", "和", "与", "跟", "向", "往", "而且", "但是", "并且", "或者", "因为", "所以", "如果", "虽然", "然后", "于是", "以及", "一个", "将", "を", "は", "それから", "そして", "를", "을", "그리고", "하지만")
 _NOT_WORD = re.compile(r"[\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_SENTENCE = re.compile(r"[^。.!?\n]+[。.!?\n]*")
 
 
 def _letters(form: str) -> str:
@@ -90,81 +81,55 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _quoted(text: str, at: int) -> bool:
-    """Whether the first letter of ``text`` from ``at`` stands inside a quotation."""
-    while at < len(text) and not text[at].isalnum():
-        at += 1
-    head = text[:at]
-    return head.count('"') % 2 == 1 or any(head.count(open_) > head.count(close) for open_, close in SPEECH)
-
-
-class Refusals:
-    """Aligns the sentences of a response, and pairs of neighbouring ones, with the templates."""
-
-    def __init__(self) -> None:
-        self.templates = [[_letters(canonical(part)) for part in t.split("*")] for line in REFUSALS.strip().split("\n") for t in line.split("|")]
-        self.by_shingle: dict[str, set[int]] = {}
-        self.sizes = []
-        for k, parts in enumerate(self.templates):
-            grams = {g for part in parts for g in shingles(part, 2)}
-            self.sizes.append(len(grams))
-            for g in grams:
-                self.by_shingle.setdefault(g, set()).add(k)
-
-    def found(self, response: str, prompt_letters: str) -> bool:
-        """Whether the response opens with a refusal, or its sentences that refuse, but for speech in quotes, are enough of it."""
-        found = [(m.start(), s) for m in _SENTENCE.finditer(response) if (s := _letters(m.group()))]
-        sentences = [s for _, s in found]
-        alone = [self.sentence(s, prompt_letters) for s in sentences]
-        paired = [not (alone[i] or alone[i + 1]) and self.sentence(sentences[i] + sentences[i + 1], prompt_letters) for i in range(len(found) - 1)]
-        if any(alone[:2]) or any(paired[:1]):
+def gives_back(asked: str, said: str, refusals: Refusals) -> bool:
+    """Whether the response is the prompt and no more, but for a lead-in before it, whatever its words.
+
+    Letters of both are aligned: all of the prompt is in the response, in order and in one stretch but for a twentieth,
+    and nothing follows it. What stands before it is a lead-in if it is no sentence of its own, or says nothing but
+    courtesies.
+    """
+    prompt, response = _letters(asked), _letters(said)
+    if not prompt or not response:
+        return False
+    if prompt in response:
+        head, _, tail = response.partition(prompt)
+        if tail.replace(prompt, ""):
+            return False
+        if not head:
             return True
-        refused = 0
-        for i, (start, s) in enumerate(found):
-            if (alone[i] or any(paired[max(0, i - 1) : i + 1])) and not _quoted(response, start):
-                refused += len(s)
-        return refused > 0 and refused >= REFUSED * sum(map(len, sentences))
-
-    def sentence(self, s: str, prompt: str) -> bool:
-        """Whether a template is covered to nine tenths, in order, and little else is said but a greeting or the matter asked for."""
-        hits: dict[int, int] = {}
-        for g in shingles(s, 2):
-            for k in self.by_shingle.get(g, ()):
-                hits[k] = hits.get(k, 0) + 1
-        for k, n in hits.items():
-            if n < 0.7 * self.sizes[k]:
-                continue
-            parts = self.templates[k]
-            whole = "".join(parts)
-            most = max(6, len(whole) // 4)
-            if len(s) - len(whole) - (max(len(prompt), 12) if len(parts) > 1 else 0) > most:  # too long however well it aligns
-                continue
-            covered = common(whole, s)
-            if covered < 0.9 * len(whole):
-                continue
-            extra = len(s) - covered
-            if len(parts) > 1:  # the stretch named by * may be long, but it comes from the prompt or is a short name
-                extra = max(0, extra - max(common(s, prompt) if prompt else 0, 12))
-            if extra <= most:
-                return True
+        at = _offset(said, len(head))
+        before = said[:at]
+        if asked[-1:] in "?" and not said.rstrip(CLOSERS + " ").endswith("?"):
+            return False
+        return not any(c in SENTENCE_ENDS for c in before) or all(refusals.courtesy(form(x)) for x in re.split(r"[。.!?\n]+", before) if x.strip())
+    if len(response) < 0.9 * len(prompt):  # it cannot hold enough of the prompt
         return False
+    a, b = shingles(prompt), shingles(response)
+    if containment(a, b) < 0.95:
+        return False
+    rest = response[-len(prompt) - len(prompt) // 20 :]  # an altered copy ends the response, if there is one
+    return containment(shingles(rest), a) >= 0.9 and common(prompt, rest) >= 0.95 * len(prompt) and (len(response) <= 1.1 * len(prompt) or said.rstrip(CLOSERS + " ").endswith("?") and not any(c in SENTENCE_ENDS for c in said[: _offset(said, len(response) - len(rest))]))
+
 
+def _offset(text: str, n: int) -> int:
+    """The offset behind which ``text`` has had ``n`` letters, and the signs after them."""
+    k = 0
+    for i, c in enumerate(text):
+        if k == n and c.isalnum():
+            return i
+        k += len(_letters(c))
+    return len(text)
 
-def gives_back(prompt: str, response: str) -> bool:
-    """Whether the response is the prompt and no more, but for a label before it: letters of both, aligned."""
-    if len(prompt) < 4 or not response:
+
+def open_word(core: str) -> bool:
+    """Whether a text ends in a word that cannot end a phrase: an article, a preposition, a conjunction, a particle."""
+    last = re.search(r"[^\W_]+$", core)
+    if not last:
         return False
-    rest = response
-    if prompt in response:
-        head, _, tail = response.partition(prompt)
-        rest = tail.replace(prompt, "")
-        return not rest and (len(head) <= 3 or head in QUESTION_LABELS or len(head) <= 8 and len(head) < len(prompt) // 2)
-    for label in QUESTION_LABELS:
-        if response.startswith(label) and len(response) > len(label) + 3:
-            rest = response[len(label) :]
-            break
-    a, b = shingles(prompt), shingles(rest)
-    return containment(a, b) >= 0.95 and containment(b, a) >= 0.95 and common(prompt, rest) >= 0.9 * max(len(prompt), min(len(rest), 2 * len(prompt)) / 2)
+    word = last.group()
+    if word.lower() in OPEN_WORDS:
+        return word.islower() and " " in core
+    return len(core) > 1 and core.endswith(OPEN_ENDS)
 
 
 def breaks_off(form: str) -> bool:
@@ -178,6 +143,8 @@ def breaks_off(form: str) -> bool:
     if text.count('"') % 2:
         return True
     core = text.rstrip(CLOSERS)
+    if text == core and open_word(core):
+        return True
     if core and core[-1] in TERMINAL or text != core and core:
         return False
     if not core[-1:].isalnum() and core[-1:] not in "%℃°":
@@ -190,8 +157,13 @@ def breaks_off(form: str) -> bool:
 
 def scripts(text: str) -> set[str]:
     """The scripts of the letters of a text, by the first words of their names."""
-    names = {unicodedata.name(c, "").split("-")[0].split(" ")[0] for c in set(text) if c.isalpha()}
-    return {"CJK" if x == "IDEOGRAPHIC" else x for x in names if x}
+    return {x for c in set(text) if (x := _script(c))}
+
+
+@functools.lru_cache(65_536)
+def _script(c: str) -> str:
+    name = unicodedata.name(c, "").split("-")[0].split(" ")[0] if c.isalpha() else ""
+    return "CJK" if name == "IDEOGRAPHIC" else name
 
 
 def is_sign(text: str) -> bool:
@@ -208,7 +180,7 @@ class Judge:
         self.asked = {lang: re.compile(pattern, re.IGNORECASE) for lang, pattern in ASKED.items()}
 
     def language(self, text: str) -> pd.Series:
-        return self.scorer.sums(text)[-1]
+        return self.scorer.total(text)
 
     def other_language(self, asked: str, said: str, prompt_letters: str, letters: str) -> bool:
         """Whether the answer is in a language that the question neither has nor asks for.
@@ -243,9 +215,9 @@ class Judge:
             return "empty"
         asked = canonical(prompt or "").strip()
         prompt_letters = _letters(asked)
-        if self.refusals.found(said, prompt_letters):
+        if self.refusals.found(said, asked):
             return "refusal"
-        if gives_back(prompt_letters, letters):
+        if gives_back(asked, said, self.refusals):
             return "echo"
         if self.other_language(asked, said, prompt_letters, letters):
             return "language"

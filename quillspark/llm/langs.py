@@ -76,15 +76,13 @@ class Lattice:
         self.inner = set(inner)  # characters that may stand in a piece with others; any other is a run of its own
         self.runs = re.compile("[" + "".join(map(re.escape, inner)) + "]+")
 
-    def edges(self, run: str) -> list[list[tuple[int, tuple[int, ...]]]]:
+    def edges(self, run: str) -> Iterator[list[tuple[int, tuple[int, ...]]]]:
         """For each end in ``run`` the starts and piece ids of the pieces that end there."""
-        out = []
         for end in range(1, len(run) + 1):
             here = [(s, (i,)) for s in range(max(0, end - self.longest), end) if (i := self.id.get(run[s:end])) is not None]
             if run[end - 1] not in self.id:
                 here.append((end - 1, tuple(run[end - 1].encode("utf-8", "surrogatepass"))))
-            out.append(here)
-        return out
+            yield here
 
     def forward(self, run: str, logp: np.ndarray) -> np.ndarray:
         """Log probabilities (positions + 1, languages) of all segmentations of each prefix of ``run``."""
@@ -122,7 +120,7 @@ def fit(samples: list[tuple[str, str]], pieces: list[str], rounds: int = 4, own:
     runs = [Counter() for _ in languages]
     for lang, text in samples:
         runs[languages.index(lang)].update(r for _, r in lattice.split(drawn(text)) if not r.isspace())
-    edges = {r: lattice.edges(r) for c in runs for r in c}
+    edges = {r: list(lattice.edges(r)) for c in runs for r in c}
     p = np.full((len(pieces), len(languages)), 1.0)
     for i, piece in enumerate(pieces):  # longer pieces start likelier than the product of their characters
         p[i] = 4.0 ** len(piece)
@@ -172,8 +170,18 @@ class Scorer:
         self.used += 1
         return self.used - 1
 
+    def total(self, text: str) -> np.ndarray:
+        """Log probability of the whole text in each language."""
+        return self._each(text).sum(0)
+
     def sums(self, text: str) -> np.ndarray:
         """Cumulative log probability (characters + 1, languages); a run counts at its first character."""
+        each = self._each(text)
+        out = np.zeros((len(each) + 1, each.shape[1]))
+        np.cumsum(each, axis=0, out=out[1:])
+        return out
+
+    def _each(self, text: str) -> np.ndarray:
         text = drawn(text)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         rows = self.row_of_code[codes]
@@ -186,15 +194,11 @@ class Scorer:
             at = m.start()
             run = ("▁" if at == 0 or text[at - 1].isspace() else "") + m.group()
             if (got := self.known.get(run)) is None:
-                got = np.zeros(each.shape[1])
-                for k in range(0, len(run), 4000):  # a run of thousands of letters without a blank is taken in stretches
-                    got = got + self.lattice.forward(run[k : k + 4000], self.model.logp)[-1]
-                if len(self.known) < 100_000:
+                got = self.lattice.forward(run, self.model.logp)[-1]
+                if len(run) < 1000 and len(self.known) < 100_000:
                     self.known[run] = got
             each[at] = got
-        out = np.zeros((len(text) + 1, each.shape[1]))
-        np.cumsum(each, axis=0, out=out[1:])
-        return out
+        return each
 
     def segments(self, text: str) -> list[tuple[int, int, str, float]]:
         """Stretches of whole sentences in one language: start, end, language, confidence.
@@ -233,14 +237,21 @@ class Scorer:
         return out
 
 
+_FITTED: dict[tuple, Model] = {}  # models by their samples and vocabulary, as queries of one session share them
+
+
 def fit_on(samples: DataFrame, lang: str = "lang", text: str = "text", vocabulary_path: str | None = None, per_language: int = MAX_SAMPLES_PER_LANGUAGE) -> Model:
-    """Fits a model on at most ``per_language`` labelled samples of each language (those with the smallest hashes)."""
+    """Fits a model on at most ``per_language`` labelled samples of each language (those with the smallest hashes), once a session."""
     from pyspark.sql import Window
 
     rows = samples.select(named_language(F.col(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and trim(text) <> ''")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    few = rows.withColumn("n", rank).where(F.col("n") <= per_language).collect()
-    return fit(sorted((r["lang"], r["text"]) for r in few), vocabulary(vocabulary_path))
+    few = sorted((r["lang"], r["text"]) for r in rows.withColumn("n", rank).where(F.col("n") <= per_language).collect())
+    key = (hash(tuple(few)), len(few), vocabulary_path)
+    if key not in _FITTED:
+        _FITTED.clear()
+        _FITTED[key] = fit(few, vocabulary(vocabulary_path))
+    return _FITTED[key]
 
 
 def language_segments(docs: DataFrame, model: Model, key: str, text: str, keep: str | None = None) -> DataFrame:

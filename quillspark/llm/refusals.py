@@ -17,10 +17,10 @@ from quillspark.llm.looks import canonical
 # Parts of refusals, each language in its own words. UNABLE needs a verb of ANSWER near it, LACK a SOURCE.
 PARTS = {
     "zh": {
-        "UNABLE": "无法|不能|没办法|没有办法|无从|难以|恕难|恕不|不便|不方便|不可以|未能|没法|不会|无权|不予|不宜|爱莫能助|不上来|不出来|不了|不做|不作|拒绝",
+        "UNABLE": "无法|不能|没办法|没有办法|无从|难以|恕难|恕不|不便|不方便|不可以|未能|没法|不会|无权|不予|不宜|爱莫能助|不上来|不出来|不了|不做|不作|我拒绝",
         "ANSWER": "回答|作答|解答|答复|回复|答|确认|确定|判断|断定|得知|得出|知晓|提供|说明|给出|协助|帮助|帮|处理|满足|评论|评价|讨论|推断|推测|猜测|发表|透露|告知|告诉|查证|核实|回应|支持|执行|完成|给予|答案|结论|说|找到|看出",
-        "LACK": "没有提到|没有提及|未提到|未提及|没提到|没提|未提供|没有提供|没有说明|未说明|没有交代|未交代|没交代|没有写|没写|未写|没有记载|未记载|没有描述|未描述|没有涉及|未涉及|没有谈到|没谈到|未谈到|找不到|没有找到|没找到|未找到|查不到|未查到|没有查到|看不出|只字未提|不包含|没有包含|未包含|没有任何|没有给出|未给出|没有关于|并无|不存在|没有出现|未出现|没有线索|不支持|没有答案|没有显示|未显示",
-        "LACKING": "信息不足|信息不够|资料不足|资料不够|线索不足|线索不够|证据不足|依据不足|内容不足|没有足够|缺乏足够|缺少足够|不足以|没有相关|无相关|缺乏相关|缺少相关|信息有限|没有更多信息",
+        "LACK": "没有提到|没有提及|未提到|未提及|没提到|没提|未提供|没有提供|没有说明|未说明|没有交代|未交代|没交代|没有写|没写|未写|没有记载|未记载|没有描述|未描述|没有涉及|未涉及|没有谈到|没谈到|未谈到|找不到|没有找到|没找到|未找到|查不到|未查到|没有查到|看不出|只字未提|不包含|没有包含|未包含|没有任何|没有给出|未给出|没有关于|并无|不存在|没有出现|未出现|没有线索|不支持|没有答案|没有显示|未显示|没有足够|缺乏足够|缺少足够|不足以",
+        "LACKING": "信息不足|信息不够|资料不足|资料不够|线索不足|线索不够|证据不足|依据不足|内容不足|不足以得出|不足以回答|不足以判断|没有相关|无相关|缺乏相关|缺少相关|信息有限|没有更多信息",
         "UNKNOWN": "不知道|不清楚|不太清楚|不确定|不太确定|不得而知|不了解|不晓得|不明白",
         "BEYOND": "超出|超过|不在",
         "SCOPE": "能力|范围|权限|职责|服务",
@@ -75,7 +75,7 @@ PARTS = {
     "de": {
         "UNABLE": "kann ich nicht|kann ich leider nicht|ich kann|kann nicht|nicht möglich|unmöglich|bin nicht in der lage|nicht in der lage|ist nicht zu|lässt sich nicht|lässt sich leider nicht|lässt sich|möchte ich nicht|darf ich nicht|ich darf|ich werde nicht|keine möglichkeit|vermag ich nicht|außerstande|nicht imstande|muss ich ablehnen|kann das nicht|kann dazu|kann hierzu|können wir nicht|dazu kann ich|kann man nicht",
         "ANSWER": "beantworten|antworten|antwort|auskunft|sagen|bestimmen|feststellen|bestätigen|helfen|weiterhelfen|beurteilen|entscheiden|äußern|angeben|geben|ermitteln|entnehmen|herausfinden|nennen|mitteilen|erfüllen|kommentieren|klären|ableiten|erkennen|beitragen",
-        "LACK": "erwähnt nicht|nicht erwähnt|keine erwähnung|steht nicht|steht nichts|sagt nichts|sagen nichts|nichts über|nichts dazu|nicht genannt|nicht angegeben|nicht enthalten|enthält nicht|enthält keine|enthalten keine|nicht beschrieben|keine angaben|keine hinweise|kein hinweis|keine information|nicht hervor|nicht zu entnehmen|finde ich nicht|finde ich keine|nicht gefunden|gibt keine|geben keine|fehlen|fehlt|nicht zu finden|nennt nicht|nennt keine|bleibt offen|verrät nicht|finden sich keine|findet sich nichts|macht keine angaben|liefern keine|liefert keine",
+        "LACK": "dazu nichts|darüber nichts|hierzu nichts|davon nichts|nichts davon|erwähnt nicht|nicht erwähnt|keine erwähnung|steht nicht|steht nichts|sagt nichts|sagen nichts|nichts über|nichts dazu|nicht genannt|nicht angegeben|nicht enthalten|enthält nicht|enthält keine|enthalten keine|nicht beschrieben|keine angaben|keine hinweise|kein hinweis|keine information|nicht hervor|nicht zu entnehmen|finde ich nicht|finde ich keine|nicht gefunden|gibt keine|geben keine|fehlen|fehlt|nicht zu finden|nennt nicht|nennt keine|bleibt offen|verrät nicht|finden sich keine|findet sich nichts|macht keine angaben|liefern keine|liefert keine",
         "LACKING": "nicht genügend informationen|nicht genug informationen|nicht ausreichend|unzureichend|zu wenig informationen|zu wenige informationen|keine ausreichenden|genügend informationen|reichen nicht|reicht nicht",
         "UNKNOWN": "weiß ich nicht|ich weiß es nicht|ich weiß nicht|keine ahnung|bin mir nicht sicher|bin nicht sicher|ist mir nicht bekannt|mir unbekannt|ist unklar|ist mir unklar|liegt mir nicht vor|liegen mir nicht vor|liegen mir keine",
         "BEYOND": "übersteigt|außerhalb|jenseits",
@@ -131,6 +131,8 @@ PARTS = {
 }
 # Traditional characters of the Chinese parts, each followed by its simplified form.
 TRADITIONAL = "無无 沒没 辦办 難难 復复 復复 確确 認认 斷断 協协 幫帮 處处 評评 論论 測测 發发 訴诉 實实 應应 說说 見见 給给 結结 來来 從从 關关 於于 問问 題题 請请 資资 訊讯 線线 據据 證证 這这 個个 為为 對对 與与 書书 節节 條条 內内 級级 檢检 還还 則则 權权 範范 圍围 務务 助助 語语 統统 機机 員员 試试 換换 種种 您您 暫暂 時时 間间 點点 細细 類类 並并 會会 過过 現现 當当 參参 開开 將将 裡里 裏里 僅仅 麼么 讓让 絕绝"
+# Beginnings of a concession, behind which the answer follows.
+CONCESSIONS = ("虽然", "尽管", "虽说", "although ", "though ", "even though ", "obwohl ", "bien que ", "aunque ", "embora ", "비록")
 # What turns a core into the tale of something past, which is no refusal.
 PAST = ("ませんでした", "なかった", "수없었", "못했", "몰랐")
 SPEECH = ("“”", "「」", "『』", "«»")
@@ -157,8 +159,10 @@ def _automaton() -> ahocorasick.Automaton:
     for lang, kinds in PARTS.items():
         for kind, text in kinds.items():
             for part in filter(None, text.split("|")):
-                key = f" {canonical(part).lower()} " if lang in SPACED else re.sub(r"[\W_]+", "", canonical(part).lower())
-                if key.strip():
+                keys = [f" {canonical(part).lower()} "] if lang in SPACED else [re.sub(r"[\W_]+", "", canonical(part).lower())]
+                if lang == "fr" and kind in ("SOURCE", "MATTER", "ANSWER"):  # words behind an elided article or pronoun
+                    keys += [f" {e}{part} " for e in ("l", "d", "qu", "s", "j")]
+                for key in keys:
                     held.setdefault(key, []).append((lang, kind))
     tree = ahocorasick.Automaton()
     for key, what in held.items():
@@ -211,6 +215,9 @@ class Refusals:
         return any("COURTESY" in kinds and self._left(s, [x for v in kinds.values() for x in v], "", lang) <= LEFT for lang, kinds in _hits(s).items())
 
     def sentence(self, s: str, asked: str) -> bool:
+        """Whether a sentence holds the core of a template and little that belongs to neither its parts nor the prompt."""
+        if s.strip().startswith(CONCESSIONS):
+            return False
         for lang, kinds in _hits(s).items():
             cores = _near(kinds.get("UNABLE", []), kinds.get("ANSWER", [])) + _near(kinds.get("LACK", []), kinds.get("SOURCE", [])) + kinds.get("LACKING", []) + kinds.get("UNKNOWN", []) + _near(kinds.get("BEYOND", []), kinds.get("SCOPE", []))
             if not cores or any(p in s.replace(" ", "") for p in PAST):
@@ -229,7 +236,7 @@ class Refusals:
             covered[a:b] = b"\x01" * (b - a)
         if lang in SPACED:
             for m in re.finditer(r"\S+", s):
-                if f" {m.group()} " in asked:
+                if f" {m.group()} " in asked or len(m.group()) > 3 and m.group() in asked:
                     covered[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
         else:
             for i in range(len(s) - 1):
@@ -239,12 +246,18 @@ class Refusals:
 
 
 def _told(s: str, core: tuple[int, int], asked: str, kinds: dict, lang: str) -> bool:
-    """Whether someone in the story is the one who cannot or does not know: a short name from the prompt stands right before."""
-    if lang in SPACED or lang == "ja" or lang == "ko":
+    """Whether someone in the story is the one who cannot or does not know: by a pronoun, a short name from the prompt, the form of the verb."""
+    if lang == "ja":  # before a noun it describes that
+        return s[: core[1]].endswith("ない") and not s[core[1] :].startswith((" ", "ため", "ので", "です", "から"))
+    if lang == "ko":
+        return s[core[1] :].startswith(("는", "던", "은"))
+    if lang in SPACED:
         return False
     head = s[: core[0]].strip()
     for part in ("也", "还是", "还", "并", "都", "却", "仍", "始终", "当时", "根本", "实在"):
         head = head.removesuffix(part)
+    if head.endswith(("他", "她", "他们", "她们")):
+        return True
     if not head or any(b == len(head) + 1 for k in ("SELF", "SOURCE", "COURTESY", "MATTER") for _, b in kinds.get(k, []) if b - _ > 1):
         return False
     return 0 < len(head) <= 6 and head in asked and not any(x in head for x in "我这该此")
