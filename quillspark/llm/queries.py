@@ -9,6 +9,9 @@ from quillspark.llm import defects, langs, leaks, looks, mix, neardup, pieces, v
 from quillspark.session import saved, table
 
 
+PAIRED = 1000  # members of a group that are paired in one task with all of it
+
+
 def p1_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """The five most similar chunks of every chunk with a usable vector."""
     return vectors.most_similar(table(spark, sf, "chunks"))
@@ -101,8 +104,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     _, groups = _alike(spark, sf)
     ids = table(spark, sf, "chunks").select(F.col("ord").alias("row"), "id")
     own = groups.join(ids, "row").select("group", "id").distinct()
-    own = saved(own.join(own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"), "group", "left_semi"), "p5-members")
-    return own.withColumnRenamed("id", "id_a").join(own.withColumnRenamed("id", "id_b"), "group").where("id_a < id_b").select("id_a", "id_b").distinct()
+    sizes = own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    own = saved(own.join(sizes, "group").withColumn("parts", F.ceil(F.col("n") / PAIRED)), "p5-members")
+    # a large group is dealt into parts, each of which meets the whole group in a task of its own
+    one = own.select("group", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("id_a"))
+    all_ = own.select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("id").alias("id_b"))
+    return one.join(all_, ["group", "part"]).where("id_a < id_b").select("id_a", "id_b")
 
 
 def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
