@@ -29,7 +29,7 @@ PARTS, WORDS = 32, 64  # a residual is cut into parts, each of which is one of s
 MEASURED, TARGET = 512, 0.995  # vectors searched by brute force to choose the number of lists asked, and the share of their neighbours that must lie in these
 DEVIATIONS = 3.0  # of the error of a code by which an entry may be better than its score
 FEW_ROWS, GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 500, 4000, 65_536, 32_768
-GROUPS_A_CORE = 3
+GROUPS_A_CORE = 2
 SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding to 6 digits can be off
 
 
