@@ -47,6 +47,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk with the class of its look and the class of its characters."""
+    return looks.look_classes(table(spark, sf, "chunks"), F.col("id"), F.col("text"))
+
+
 def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """The pieces of every oversized chunk."""
     return pieces.chunk_pieces(table(spark, sf, "chunks"))
@@ -121,5 +126,5 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_leaks(spark, sf).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_leaks, p7_found, p7_shares, p7_chosen, p8_found, p8_segments, p8_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_classes, p3_canonical_chunks, p3_canonical_aliases, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_leaks, p7_found, p7_shares, p7_chosen, p8_found, p8_segments, p8_documents)}
 ORACLE: dict[str, str] = {}

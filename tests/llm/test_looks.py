@@ -48,3 +48,36 @@ def test_canonical_text_keeps_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Ａ"), (3, "Ａ")], "id int, text string")
     assert [r["canonical"] for r in looks.canonical_text(df, "text").orderBy("id").collect()] == [None, "", "A", "A"]
     assert looks.canonical_text(df.limit(0), "text").count() == 0
+
+
+def test_what_shows_stays():
+    differ = [("؀12", "12"), ("👨‍👩‍👧", "👨👩👧"), ("🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "🏴\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f"), ("می‌خواهم", "میخواهم")]
+    for a, b in differ:
+        assert looks.canonical(a) != looks.canonical(b), (a, b)
+    same = [("օ", "o"), ("Ꭺ", "A"), ("Ꮪ", "S"), ("ꓮ", "A"), ("へ", "ヘ"), ("a‍b", "ab"), ("灯‌塔", "灯塔"), ("각", "각"), ("각", "각"), ("e‍́", "é"), ("ợ", "ợ")]
+    for a, b in same:
+        assert looks.canonical(a) == looks.canonical(b), (a, b)
+
+
+def test_every_spelling_of_a_character_has_its_form():
+    import unicodedata as ud
+
+    for p in (*range(0xC0, 0x3400), *range(0xF900, 0xFFF0), *range(0x1D100, 0x1D200)):
+        c = chr(p)
+        if ud.category(c) not in ("Cn", "Cs", "Co") and ud.normalize("NFD", c) != c:
+            assert looks.canonical(c) == looks.canonical(ud.normalize("NFD", c)), hex(p)
+
+
+def test_two_rules_for_one_key_conflict():
+    import pytest
+
+    with pytest.raises(ValueError, match="conflict"):
+        looks._put({"a": "b"}, "a", "c")
+
+
+def test_a_hot_look(spark):
+    rows = [(f"k{i:04d}", "K-204") for i in range(2000)] + [("x", "Ｋ-204"), ("y", None), ("z", "")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    assert looks.look_alikes(df, F.col("id"), F.col("text")).count() == 2000
+    classes = looks.look_classes(df, F.col("id"), F.col("text"))
+    assert classes.count() == 2001 and classes.select("look").distinct().count() == 1 and classes.select("raw").distinct().count() == 2
