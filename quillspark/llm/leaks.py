@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.looks import letters, letters_spans
+from quillspark.session import saved_parts
 
 RUN = 80
 BLOCK_LETTERS = 20_000_000  # letters of items per automaton; more items are taken in several blocks
@@ -48,27 +50,17 @@ def leaked_passages(docs: DataFrame, items: DataFrame, key: str, text: str, item
     Texts are compared as they look, without case, blanks and punctuation. ``start`` and ``end`` bound the longest such
     stretch in the stored text, ``n_letters`` is its length. Items shorter than ``run`` letters, null and blank texts
     match nothing; repeated documents give a row each by key. The items are the stated query set: they go to the tasks in
-    blocks of bounded size, each block with one automaton and one scan of the documents; the documents are not shuffled.
+    blocks of bounded size, each block with one automaton and one scan of the documents, which is written before the block
+    after the next is fetched; the documents are not shuffled.
     """
-    blocks: list[list[tuple[int, str]]] = []
-    size = block_letters
-    for row in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).toLocalIterator():
-        form = letters(row[1])
-        if len(form) < run:
-            continue
-        if size + len(form) > block_letters:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row[0], form))
-        size += len(form)
     types = dict(docs.dtypes) | {"item": dict(items.dtypes)[item_key]}
     schema = f"`{key}` {types[key]}, `{item_key}` {types['item']}, `start` int, `end` int, n_letters int"
-    rows = docs.select(key, text).where(F.length(text) >= run)
-    out = None
-    for block in blocks or [[]]:
+    rows = docs.select(key, text).where(F.col(text).isNotNull())
+
+    def found(block: list[tuple[int, str]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = shared.value
             tree = anchors(own, run)
             gram = (run + 1) // 2
@@ -92,6 +84,27 @@ def leaked_passages(docs: DataFrame, items: DataFrame, key: str, text: str, item
                         hits += [(name, own[k][0], at[i], at[i + n - 1] + 1, n) for k, (i, n) in sorted(best.items())]
                 yield pd.DataFrame(hits, columns=[key, item_key, "start", "end", "n_letters"])
 
-        part = rows.mapInPandas(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+        return rows.mapInPandas(scan, schema)
+
+    blocks = item_blocks(items, item_key, item_text, run, block_letters)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return found(first)
+    return saved_parts(map(found, chain((first, second), blocks)), "leaks")
+
+
+def item_blocks(items: DataFrame, key: str, text: str, run: int, block_letters: int) -> Iterator[list[tuple[int, str]]]:
+    """Items with their letters in lists of at most ``block_letters`` letters or one item; a list or two are on the driver at a time."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for row in items.select(key, text).where(F.col(text).isNotNull()).toLocalIterator():
+        form = letters(row[1])
+        if len(form) < run:
+            continue
+        if block and size + len(form) > block_letters:
+            yield block
+            block, size = [], 0
+        block.append((row[0], form))
+        size += len(form)
+    if block:
+        yield block

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from quillspark.session import saved, shuffle_partitions
 TOKENIZERS = os.environ.get("QUILL_TOKENIZERS", "/opt/tokenizers")
 BLOCK, SHARD_SLOTS, SEED = 1024, 256, 20240
 MAX_SOURCES = 10_000  # the target list goes to every task; a longer one is refused
+_BORDER = re.compile(r"(?<=\S)(?=\s)")
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # odd multipliers of the permutation's rounds
 
 
@@ -41,11 +43,21 @@ def token_counts(text: Column, path: str | None = None) -> Column:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
-            yield texts.map(lambda x: sum(len(coder.encode_ordinary(x[i : i + 100_000])) for i in range(0, len(x), 100_000)) if x else 0)
+            yield texts.map(lambda x: sum(len(coder.encode_ordinary(part)) for part in stretches(x)) if x else 0)
 
     return count(text)
 
 
+def stretches(text: str, size: int = 100_000) -> Iterator[str]:
+    """``text`` in stretches of ``size`` characters or more, cut only before blanks that follow a word, where no word of the tokenizer goes on."""
+    start = 0
+    while start < len(text):
+        border = _BORDER.search(text, start + size)
+        stop = border.start() if border else len(text)
+        yield text[start:stop]
+        start = stop
+
+
 def running_total(df: DataFrame, group: str, spread: Column, order: list[str], value: str, out: str, buckets: int) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of ``group`` before each row, in the order of bucket, ``order``.
 
@@ -95,8 +107,8 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
 
     ``report``: per source tokens, drawn and placed blocks, weight, the share
     reached of the tokens placed and of those wanted, and whether it is short, that is,
-    ``max_repeats`` times its tokens are less than its weight of all tokens. ``chosen``: key, source, times used, tokens
-    used. Sources with other spellings are one; documents of null or unlisted sources, null and empty texts take no
+    ``max_repeats`` times its tokens are less than its weight of all tokens. ``chosen``: key, source, the most times a block of it
+    is used, tokens used, its tokens, and tokens used over its tokens. Sources with other spellings are one; documents of null or unlisted sources, null and empty texts take no
     part; a source without documents is reported with none. Weights need not add up to 1.
     """
     spark = docs.sparkSession
@@ -118,7 +130,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     weights = np.array([r["weight"] or 0.0 for r in listed])
     shares = weights / weights.sum() if weights.sum() > 0 else weights
     blocks = {i: -(-total.get(i, 0) // block) for i in range(len(listed))}
-    slots_wanted = everything // block if weights.sum() > 0 else 0
+    slots_wanted = max(1, everything // block) if everything and weights.sum() > 0 else 0  # whole blocks, or one that is not full
     n_shards = -(-slots_wanted // shard_slots)
 
     order = F.xxhash64("key", F.lit(seed))
@@ -160,7 +172,8 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     filled = slots.where("block >= 0").groupBy("source_no", "block").agg(F.count("*").alias("times"))
     used = parts.join(filled, ["source_no", "block"])
     chosen = used.groupBy("key", "source_no").agg(F.max("times").alias("times"), F.sum(F.col("tokens") * F.col("times")).alias("tokens_used"))
-    chosen = saved(chosen.join(F.broadcast(few.select("source_no", "source")), "source_no").select(F.col("key").alias(key), "source", "times", "tokens_used"), "mix-chosen")
+    chosen = chosen.join(tokens, ["key", "source_no"]).join(F.broadcast(few.select("source_no", "source")), "source_no")
+    chosen = saved(chosen.select(F.col("key").alias(key), "source", "times", "tokens_used", "n_tokens", F.round(F.col("tokens_used") / F.col("n_tokens"), 6).alias("repeats")), "mix-chosen")
 
     got = chosen.groupBy("source").agg(F.sum("tokens_used").alias("tokens_used"), F.max("times").alias("most_times"))
     counts = slots.groupBy("source_no").agg(F.count("*").alias("slots_drawn"), F.count_if(F.col("block") >= 0).alias("slots_filled"))
@@ -170,5 +183,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     rows = rows.select("source", "weight", "max_repeats", *(zero(c) for c in ("documents", "tokens", "slots_drawn", "slots_filled", "tokens_used", "most_times")))
     all_used = F.sum("tokens_used").over(Window.partitionBy())
     shares_got = rows.withColumn("share", F.when(all_used > 0, F.col("tokens_used") / all_used).otherwise(0.0)).withColumn("share_of_wanted", F.col("tokens_used") / F.lit(max(1, everything)))
-    report = shares_got.withColumn("short", F.col("max_repeats") * F.col("tokens") < F.col("weight") * F.lit(everything))
+    # a source is short if its draws use up its blocks, give or take six deviations and the blocks that are not full; tokens then decide
+    spent = F.col("slots_drawn") + 6 * F.sqrt(F.col("slots_drawn") + 1.0) + F.col("max_repeats") + 1 >= F.col("max_repeats") * F.ceil(F.col("tokens") / block)
+    report = shares_got.withColumn("short", spent & (F.col("max_repeats") * F.col("tokens") < F.col("weight") * F.lit(everything)))
     return Mixture(tokens, slots, report, chosen)

@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT, OVERLAP = 1000, 3
-PARAGRAPH, SENTENCE, CLAUSE = 3, 2, 1
+SCENE, PARAGRAPH, SENTENCE, CLAUSE = 4, 3, 2, 1
 # Line ends, sentence ends with the closers that may follow, clause ends.
 LINE = re.compile(r"[^\r\n\v\f\x85  ]+")
 SENTENCE_END = re.compile(r"(?:[。！？!?…]+|\.(?=\s))[”’」』）)\"'》〉]*\s*")
@@ -47,11 +47,17 @@ class StrongestCut:
 
     def between(self, low: int, high: int) -> int | None:
         """The offset of the strongest boundary with ``low <= offset <= high``, or None."""
+        best = self.strongest(low, high)
+        return best and best[0]
+
+    def strongest(self, low: int, high: int) -> tuple[int, int] | None:
+        """Offset and strength of the strongest boundary with ``low <= offset <= high``, or None."""
         i, j = bisect_left(self.at, low), bisect_right(self.at, high)
         if i >= j:
             return None
         k = (j - i).bit_length() - 1
-        return self.at[int(max(self.levels[k][i], self.levels[k][j - (1 << k)])) % (len(self.at) + 1)]
+        strength, place = divmod(int(max(self.levels[k][i], self.levels[k][j - (1 << k)])), len(self.at) + 1)
+        return self.at[place], strength
 
 
 def scenes(text: str) -> list[tuple[int, int, int]]:
@@ -87,44 +93,58 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int
     """
     if limit < 1 or overlap < 0:
         raise ValueError("limit must be positive and overlap not negative")
+    bounds = scenes(text)
+    strength: dict[int, int] = {}
+    for pattern, s in ((CLAUSE_END, CLAUSE), (SENTENCE_END, SENTENCE)):
+        for m in pattern.finditer(text):
+            strength[m.end()] = s
+    paragraphs = []
+    for m in LINE.finditer(text):
+        if m.group().strip():
+            paragraphs.append(m.start() + len(m.group()) - len(m.group().lstrip()))
+            strength[paragraphs[-1]] = PARAGRAPH
+    held = {scene: (first, end) for scene, first, end in bounds}
+    strength |= {scene: SCENE for scene, _, _ in bounds[1:]}
+    at = sorted(strength)
+    index = StrongestCut(at, [strength[x] for x in at])
     out = []
-    for number, (scene, first, end) in enumerate(scenes(text)):
-        body = text[first:end]
-        strength: dict[int, int] = {}
-        for pattern, s in ((CLAUSE_END, CLAUSE), (SENTENCE_END, SENTENCE)):
-            for m in pattern.finditer(body):
-                strength[first + m.end()] = s
-        paragraphs = [first]
-        for m in LINE.finditer(body):
-            if m.group().strip():
-                begin = first + m.start() + len(m.group()) - len(m.group().lstrip())
-                if begin > first:
-                    strength[begin] = PARAGRAPH
-                    paragraphs.append(begin)
-        at = sorted(strength)
-        index = StrongestCut(at, [strength[x] for x in at]) if at else None
-        start, done = first, first
-        while end - start > limit:
-            stop = index and index.between(max(done + 1, start + limit // 2), start + limit) or index and index.between(done + 1, start + limit)
-            if not stop:
-                stop = start + limit
-                while stop > done + 1 and (ud.combining(text[stop]) or ud.category(text[stop]) == "Cf"):
-                    stop -= 1
-                if stop == done + 1:
-                    stop = start + limit
-            out.append((number, scene, start, start + len(text[start:stop].rstrip())))
-            done = stop
-            i = bisect_left(paragraphs, stop)
-            back = [p for p in paragraphs[max(0, i - overlap) : i] if p > start and stop - p <= limit // 2]
-            start = back[0] if back and overlap else stop
-            while start < end and text[start].isspace():
-                start += 1
-            done = max(done, start)
-        if start < end or not out:
-            out.append((number, scene, start, end))
+    todo = [(bounds[0][0], len(text))]
+    number = -1
+    while todo:  # the strongest boundary of a stretch, as long as that begins a scene, divides it
+        low, high = todo.pop()
+        best = index.strongest(low + 1, high - 1)
+        if best and best[1] == SCENE:
+            todo += [(best[0], high), (low, best[0])]
+            continue
+        number += 1
+        first, end = held[low]
+        out += [(number, low, a, b) for a, b in _cut_scene(text, first, end, index, paragraphs, limit, overlap)]
     return out
 
 
+def _cut_scene(text: str, first: int, end: int, index: StrongestCut, paragraphs: list[int], limit: int, overlap: int) -> Iterator[tuple[int, int]]:
+    start, done, any_yet = first, first, False
+    while end - start > limit:
+        stop = index.between(max(done + 1, start + limit // 2), start + limit) or index.between(done + 1, start + limit)
+        if not stop:
+            stop = start + limit
+            while stop > done + 1 and (ud.combining(text[stop]) or ud.category(text[stop]) == "Cf"):
+                stop -= 1
+            if stop == done + 1:
+                stop = start + limit
+        any_yet = True
+        yield start, start + len(text[start:stop].rstrip())
+        done = stop
+        i = bisect_left(paragraphs, stop)
+        back = [p for p in paragraphs[max(0, i - overlap) : i] if p > start and stop - p <= limit // 2]
+        start = back[0] if back and overlap else stop
+        while start < end and text[start].isspace():
+            start += 1
+        done = max(done, start)
+    if start < end or not any_yet:
+        yield start, end
+
+
 PIECE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("piece", "scene_no", "scene_start", "start", "end")] + [T.StructField("piece_text", T.StringType())])
 
 
@@ -147,9 +167,12 @@ def chunk_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     """Pieces of the chunk relation with their own start, end and scene; a repeated id counts once.
 
     Later scenes of a text go on counting from its ``scene_index``. Offsets are those in the chunk's text and, shifted by
-    ``start_pos``, in the book.
+    ``start_pos``, in the book; the latter are approximate where the stored text is not the raw one. Of a repeated id the
+    first row loaded counts; only ids are shuffled to find it.
     """
-    once = chunks.where(F.length("text") > limit).dropDuplicates(["id"])
+    large = chunks.where(F.length("text") > limit)
+    later = large.select("id", "ord", F.row_number().over(Window.partitionBy("id").orderBy("ord")).alias("_n")).where("_n > 1").select("ord")
+    once = large.join(later, "ord", "left_anti")
     one = split_oversized(once.select("id", "book_name", "start_pos", "chapter_index", "scene_index", "scene_id", "text"), "text", limit, overlap)
     p = lambda name: F.col(f"part.{name}")
     index = F.coalesce("scene_index", F.lit(0)) + p("scene_no")

@@ -43,3 +43,13 @@ def test_nothing_to_find(spark):
     dd = spark.createDataFrame([(1, "a" * 100)], "doc_id long, text string")
     ii = spark.createDataFrame([], "item_id long, text string")
     assert leaks.leaked_passages(dd, ii, "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_short_texts_with_many_letters_and_blocks_of_items(spark):
+    form = "abcdefgh" * 10
+    wide = "Ⅷ" * 20 + "x" * 5  # 25 characters, 85 letters
+    docs = spark.createDataFrame([(1, wide), (2, form), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "viii" * 20), (2, form), (3, form + "z")], "item_id long, text string")
+    for letters_a_block in (20_000_000, 100, 1):
+        got = leaks.leaked_passages(docs, items, "doc_id", "text", "item_id", "text", block_letters=letters_a_block)
+        assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2), (2, 3)}

@@ -46,3 +46,20 @@ def test_empty_and_wrong_tables(spark):
     twice = spark.createDataFrame([("a", 0.5, 1), ("A", 0.5, 1)], "source string, weight double, max_repeats int")
     with pytest.raises(ValueError, match="spellings"):
         mix.mixture(docs, twice)
+
+
+def test_stretches_do_not_cut_words(spark):
+    import base64
+    import random
+
+    import tiktoken
+
+    rng = random.Random(1)
+    text = "".join(rng.choice(["灯塔", "harbour ", "'s ", "12 ", "\n\n", "  ", "。", "été "]) for _ in range(4000))
+    parts = list(mix.stretches(text, 500))
+    assert "".join(parts) == text and len(parts) > 5 and max(map(len, mix.stretches("a" * 3000, 500))) == 3000
+    with open(f"{mix.TOKENIZERS}/byte_bpe_multi_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+    coder = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert sum(len(coder.encode_ordinary(x)) for x in parts) == len(coder.encode_ordinary(text))

@@ -51,3 +51,11 @@ def test_rows(spark):
     got = pieces.split_oversized(df).select("id", "part.*").collect()
     assert sorted((r["id"], r["start"], r["end"]) for r in got) == [(1, 0, 1000), (1, 0, 1000), (1, 1000, 1001), (1, 1000, 1001)]
     assert pieces.split_oversized(df.limit(0)).count() == 0
+
+
+def test_scenes_come_from_the_strongest_boundaries():
+    text = "\n".join(("他走了。" * 60 + ("\n★★★" if i % 3 else "")) for i in range(9))
+    want = [s for s, _, _ in pieces.scenes(text)]
+    got = pieces.cut(text, 200)
+    assert sorted({p[1] for p in got}) == want and [p[0] for p in got] == sorted(p[0] for p in got)
+    assert all(b - a <= 200 for _, _, a, b in got)
