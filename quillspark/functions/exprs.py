@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata as ud
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,11 +94,21 @@ def paragraph_form(text: Column) -> Column:
     return F.when(is_credit_line(one), "").when(one.rlike("(?U)" + fixed.STAR_LINE), fixed.SCENE_SEPARATOR).otherwise(one)
 
 
+@cache
+def _compatible(letters: str) -> tuple[str, str]:
+    """Characters that are one of ``letters``, in any case, in another form of the same (NFKC), and these."""
+    pairs = [(chr(c), to.upper()) for c in range(0x80, 0x30000) if (d := ud.decomposition(chr(c))) and len(to := ud.normalize("NFKC", chr(c))) == 1 and to.upper() in letters]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def is_toc_heading(text: Column) -> Column:
-    """Whether a paragraph is the heading of a table of contents; full-width letters count as letters."""
-    wide = "".join(chr(c + 0xFEE0) for c in range(0x41, 0x5B)) + "".join(chr(c + 0xFEE0) for c in range(0x61, 0x7B))
-    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    return F.upper(F.translate(inline_blanks(text), wide, plain)).isin(*fixed.TOC_HEADINGS)
+    """Whether a paragraph is the heading of a table of contents; letters count in whatever compatible form they are."""
+    return F.upper(F.translate(inline_blanks(text), *_compatible("".join(fixed.TOC_HEADINGS)))).isin(*fixed.TOC_HEADINGS)
+
+
+def utc_day(at: Column) -> Column:
+    """The day of an instant in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at) / 86_400_000_000).cast("int"))
 
 
 def sentences(line: Column) -> Column:

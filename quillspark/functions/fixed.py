@@ -50,7 +50,8 @@ CREDIT_PREFIXES = (
 SKIPPED_PARTS = ("backcover", "cover", "illustration", "introduction", "logo", "message", "title")
 SKIPPED_STEMS = ("chapter00",)
 # HTML tags that end a paragraph, and those whose content is left out.
-BLOCK_TAGS = frozenset(
-    "address article aside blockquote br dd div dl dt figcaption footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split()
-)
-IGNORED_TAGS = frozenset("head script style svg".split())
+BLOCK_TAGS = {
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "footer", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+}
+IGNORED_TAGS = {"head", "script", "style", "svg"}

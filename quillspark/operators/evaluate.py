@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
-from quillspark.functions.exprs import book_from_id
+from quillspark.functions.exprs import book_from_id, preview
+
+
+def _drawn(key: str, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
 
 
 def sample_exact(rows: DataFrame, key: str, n: int = fixed.EVAL_SAMPLE, seed: int = fixed.EVAL_SEED) -> DataFrame:
     """Exactly ``min(n, all)`` rows, those with the smallest seeded hashes of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(_drawn(key, seed), key).limit(n)
 
 
 def sample_stratified(rows: DataFrame, key: str, group: str, counts: dict[str, int] | int, seed: int = fixed.EVAL_SEED) -> DataFrame:
@@ -19,7 +23,7 @@ def sample_stratified(rows: DataFrame, key: str, group: str, counts: dict[str, i
 
     An error says which named group is missing or too small.
     """
-    by = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    by = Window.partitionBy(group).orderBy(_drawn(key, seed), key)
     if isinstance(counts, int):
         return rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= counts).drop("_n")
     there = {r[0]: r[1] for r in rows.where(F.col(group).isin(*counts)).groupBy(group).count().collect()}
@@ -86,3 +90,15 @@ def representative_failures(results: DataFrame, order: str, gold: str = "gold_ch
     picked = firsts.withColumn("_p", priority).orderBy("_p", order).limit(limit).drop("_f", "_p")
     n_few = F.broadcast(few.agg(F.count("*").alias("_n")))  # one row
     return picked.crossJoin(n_few).where(F.col("_n") > limit).drop("_n").unionByName(few.crossJoin(n_few).where(F.col("_n") <= limit).drop("_n"))
+
+
+def results_table(items: DataFrame, results: DataFrame, query: str) -> DataFrame:
+    """``query, gold_chunk_id, retrieved_chunks``: each item with its results in their order, as they are stored.
+
+    ``results`` has id, book, base_score, rerank_score, out_rank and text of a top k of each query; an item without any
+    has an empty list.
+    """
+    one = F.struct("out_rank", F.col("id").alias("chunk_id"), F.col("book").alias("book_name"), "base_score", "rerank_score", preview(F.col("text")).alias("text_preview"))
+    lists = results.groupBy(query).agg(F.array_sort(F.collect_list(one)).alias("rs"))
+    kept = F.transform("rs", lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["book_name"].alias("book_name"), r["base_score"].alias("base_score"), r["rerank_score"].alias("rerank_score"), r["text_preview"].alias("text_preview")))
+    return items.join(lists, query, "left").select(query, "gold_chunk_id", F.coalesce(kept, F.array()).alias("retrieved_chunks"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,67 +81,65 @@ def build_chunks(texts: DataFrame, key: str, text: str, target: int = fixed.CHUN
     """
     if target <= 0 or limit <= 0 or target > limit or overlap < 0:
         raise ValueError("target and limit must be positive, target at most limit, overlap not negative")
-    units = text_units(texts, key, text)
-    scope = [key, "chapter_index", "scene_index"]
-    kind = dict(texts.dtypes)[key]
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("line_no")
-        parts, starts = [], []
-        for line, start in zip(group["line"], group["start"]):
-            for p in fit_sentences(line, limit):
-                parts.append(p)
-                starts.append(start)
-                start += len(p)
-        head = group.iloc[0]
-        rows = [(head[key], head["chapter_index"], head["scene_index"], head["chapter_title"], head["scene_id"], starts[a], starts[b] + len(parts[b]), "\n\n".join(parts[a : b + 1])) for a, b in pack(parts, target, limit, overlap)]
-        return pd.DataFrame(rows, columns=[key, "chapter_index", "scene_index", "chapter_title", "scene_id", "start_pos", "end_pos", "chunk_text"])
-
-    packed = units.groupBy(*scope).applyInPandas(fold, f"`{key}` {kind}, chapter_index long, scene_index long, chapter_title string, scene_id string, start_pos long, end_pos long, chunk_text string")
+    scope = [key, "chapter_index", "scene_index", "chapter_title", "scene_id"]
+    units = text_units(texts, key, text).groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "start"))).alias("units"))  # of one scene of one text
+
+    @F.pandas_udf("array<struct<start_pos: bigint, end_pos: bigint, chunk_text: string>>")
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for scenes in batches:
+            out = []
+            for scene in scenes:
+                parts, starts = [], []
+                for unit in scene:
+                    start = unit["start"]
+                    for p in fit_sentences(unit["line"], limit):
+                        parts.append(p)
+                        starts.append(start)
+                        start += len(p)
+                out.append([(starts[a], starts[b] + len(parts[b]), "\n\n".join(parts[a : b + 1])) for a, b in pack(parts, target, limit, overlap)])
+            yield pd.Series(out)
+
+    packed = units.select(*scope, F.explode(fold("units")).alias("c")).select(*scope, "c.*")
     n = F.count("*").over(Window.partitionBy(key))
     packed = packed.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("chapter_index", "scene_index", "start_pos", "end_pos")))
     width = F.greatest(F.lit(6), F.length(n.cast("string")))
     return packed.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), width, F.lit("0"))))
 
 
-class _Paragraphs(HTMLParser):
-    """Text between block tags, each stripped text node joined without a blank."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.held: list[str] = []
-        self.deep = 0
-
-    def _end(self) -> None:
-        if self.held:
-            self.out.append("".join(self.held))
-            self.held = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in fixed.IGNORED_TAGS:
-            self.deep += 1
-        elif tag in fixed.BLOCK_TAGS:
-            self._end()
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in fixed.IGNORED_TAGS:
-            self.deep = max(0, self.deep - 1)
-        elif tag in fixed.BLOCK_TAGS:
-            self._end()
-
-    def handle_data(self, data: str) -> None:
-        one = " ".join(data.split())
-        if one and not self.deep:
-            self.held.append(one)
+# A comment or declaration, a tag with its attributes, a stretch of text; a lone < is text.
+_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?:[^>"']|"[^"]*"|'[^']*')*>|(?P<text>[^<]+|<)""", re.DOTALL)
+_RAW = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
+
+
+def _stream(page: str) -> Iterator[str | None]:
+    """Text that shows, blanks collapsed, and None where a block begins or ends."""
+    hidden, at, words = 0, 0, ""
+    while at <= len(page):
+        m = _MARKUP.match(page, at)
+        if words and (m is None or m["text"] is None):  # a stretch of text is over
+            if not hidden and (shown := " ".join(html.unescape(words).split())):
+                yield shown
+            words = ""
+        if m is None:
+            break
+        at = m.end()
+        if m["text"] is not None:
+            words += m["text"]
+        elif m["name"] is not None:
+            name = m["name"].lower()
+            if name in fixed.IGNORED_TAGS:
+                alone = m.group().endswith("/>")
+                hidden = max(0, hidden - 1) if m["close"] else hidden + (not alone)
+                if name in _RAW and not m["close"] and not alone:  # what stands in it is no markup
+                    end = _RAW[name].search(page, at)
+                    at = end.start() if end else len(page)
+            elif name in fixed.BLOCK_TAGS:
+                yield None
 
 
 def html_blocks(page: str) -> list[str]:
-    parser = _Paragraphs()
-    parser.feed(page)
-    parser.close()
-    parser._end()
-    return parser.out
+    """The text of each block of a page, inline parts joined without a blank."""
+    return ["".join(parts) for ends, parts in groupby(_stream(page), lambda x: x is None) if not ends]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -148,12 +148,12 @@ def html_blocks_udf(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: [] if x is None else html_blocks(x))
 
 
-def html_paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
+def html_paragraphs(pages: DataFrame, key: str, page: str) -> DataFrame:
     """``key, para_no, para``: paragraphs of HTML pages, credit lines dropped, star lines as the separator.
 
     A short first paragraph that names an arc is joined to a chapter title after it. Null pages give no rows.
     """
-    kept = F.filter(F.transform(html_blocks_udf(F.col(html)), paragraph_form), lambda p: p != "")
+    kept = F.filter(F.transform(html_blocks_udf(F.col(page)), paragraph_form), lambda p: p != "")
     rows = pages.select(key, kept.alias("ps"))
     first, second = F.get(F.col("ps"), F.lit(0)), F.get(F.col("ps"), F.lit(1))
     arc = (F.size("ps") >= 2) & (F.length(first) <= 30) & first.rlike("期|篇") & is_chapter_title(second)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed
+from quillspark.functions.exprs import utc_day
 
 
 def once(log: DataFrame, key: str = "id", loaded: str = "loaded_at") -> DataFrame:
@@ -17,14 +18,14 @@ def once(log: DataFrame, key: str = "id", loaded: str = "loaded_at") -> DataFram
 def daily_usage(log: DataFrame, quota: int = fixed.DAILY_QUOTA) -> DataFrame:
     """``visitor_id, usage_date, asked, used_count, remaining``: queries without an own key by UTC day, counted up to the quota."""
     own = log.where("coalesce(used_custom_api_key, 0) = 0 and visitor_id is not null and created_at is not null")
-    by = own.groupBy("visitor_id", F.to_date("created_at").alias("usage_date")).agg(F.count("*").alias("asked"))
+    by = own.groupBy("visitor_id", utc_day(F.col("created_at")).alias("usage_date")).agg(F.count("*").alias("asked"))
     return by.select("visitor_id", "usage_date", "asked", F.least("asked", F.lit(quota)).alias("used_count"), F.greatest(F.lit(quota) - F.col("asked"), F.lit(0)).alias("remaining"))
 
 
 def in_order(log: DataFrame) -> DataFrame:
     """The log with ``day_rank``: the how-manieth query without an own key of its visitor on its UTC day."""
     own = log.where("coalesce(used_custom_api_key, 0) = 0 and visitor_id is not null and created_at is not null")
-    by = Window.partitionBy("visitor_id", F.to_date("created_at")).orderBy("created_at", "id")
+    by = Window.partitionBy("visitor_id", utc_day(F.col("created_at"))).orderBy("created_at", "id")
     return own.withColumn("day_rank", F.row_number().over(by))
 
 

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.clients import HashEmbedder, OverlapScorer
 from quillspark.functions import exprs, fixed
-from quillspark.operators import answers, evaluate, fusion, rewrite, text, usage
+from quillspark.operators import answers, evaluate, fusion, rerank, rewrite, text, usage
 from quillspark.plans import retrieval
-from quillspark.plans.retrieval_queries import FUSED, RERANK, ROUTED, ROUTES, with_parts
-from quillspark.session import spread, table
-from quillspark.sources.relations import cache_key, split_by_cache
+from quillspark.plans.retrieval_queries import FUSED, RERANK, ROUTED, ROUTES, sql_terms, with_parts
+from quillspark.session import saved, scratch, spread, table
+from quillspark.sources.relations import cache_key, read_cache, read_chunks, split_by_cache, write_cache, write_chunks, write_json_lines, write_texts
 from quillspark.streaming import usage as stream
 
 TITLE = exprs.is_chapter_title
@@ -33,8 +34,6 @@ def book_from_id(spark: SparkSession, sf: str) -> DataFrame:
 
 def natural_order(spark: SparkSession, sf: str) -> DataFrame:
     """Books in the order in which numbers in their names count as numbers."""
-    from pyspark.sql import Window
-
     books = retrieval.chunks_once(spark, sf).groupBy("book").agg(F.count("*").alias("n"))
     keyed = books.withColumn("key", exprs.natural_key(F.col("book")))
     before = F.lag("book").over(Window.partitionBy(F.regexp_extract("key", r"^(\D*)", 1)).orderBy("key", "book"))
@@ -64,8 +63,6 @@ def chunk_pack_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     c = retrieval.chunks_once(spark, sf)
     by = Window.partitionBy("book").orderBy("chunk_index", "ord")
     n = F.row_number().over(by)
@@ -157,7 +154,7 @@ def answer_insufficient(spark: SparkSession, sf: str) -> DataFrame:
 def answerability_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Judgements written around each answer in several shapes, and what is read from them."""
     items = table(spark, sf, "eval_items").select("eval_id", "reference_answer")
-    body = F.to_json(F.struct((F.col("eval_id") % 3 == 0).alias("answerable"), F.array(F.lit(" a "), F.lit("a"), F.lit("")).alias("missing_info"), F.array(F.coalesce(F.substring("reference_answer", 1, 5), F.lit(""))).alias("clarification_questions")))
+    body = F.to_json(F.struct((F.col("eval_id") % 3 == 0).alias("answerable"), F.array(F.lit(" a "), F.lit("a"), F.lit("")).alias("missing_info"), F.array(F.coalesce("reference_answer", F.lit(""))).alias("clarification_questions")))
     reply = F.when(F.col("eval_id") % 4 == 0, body).when(F.col("eval_id") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("eval_id") % 4 == 2, F.concat(F.lit("Sure: "), body, F.lit(" ."))).otherwise(F.col("reference_answer"))
     j = answers.judgement(reply)
     return items.select("eval_id", j["answerable"].alias("answerable"), F.size(j["missing_info"]).alias("n_missing"), F.size(j["clarification_questions"]).alias("n_questions"))
@@ -166,7 +163,7 @@ def answerability_parse(spark: SparkSession, sf: str) -> DataFrame:
 def context_format(spark: SparkSession, sf: str) -> DataFrame:
     s = retrieval.stages(spark, sf)
     top = s.fused.where("fused_rank <= 5").join(s.rows.select("ord", "id", "book"), "ord").join(s.texts, "ord")
-    return answers.context_block(top, "eval_id", "fused_rank", "book", "id", "score", "text").select("eval_id", F.length("context").alias("n_chars"), F.regexp_count("context", F.lit(r"\[片段 ")).alias("n_passages"))
+    return answers.context_block(top, "eval_id", "fused_rank", "book", "id", "score", "text").select("eval_id", F.length("context").alias("n_chars"), F.md5("context").alias("context_md5"), F.regexp_count("context", F.lit(r"\[片段 ")).alias("n_passages"))
 
 
 def cache_misses(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,6 +200,57 @@ def _items(spark: SparkSession, sf: str, s: retrieval.Stages) -> DataFrame:
     return s.queries.select("eval_id", "gold_chunk_id").join(table(spark, sf, "eval_items").select("eval_id", "gold_book_name").distinct(), "eval_id")
 
 
+def rerank_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates scored by the model's stand-in, where half of the scores come from a cache written and read before."""
+    s = retrieval.stages(spark, sf)
+    pairs = s.fused.where("fused_rank <= 30").join(s.rows.select("ord", "id"), "ord").join(s.texts, "ord").join(s.queries.select("eval_id", "question"), "eval_id")
+    pairs = saved(pairs.select("eval_id", "ord", "id", "question", "text", F.col("fused_rank").alias("cand_rank")), "pairs")
+    path = f"{scratch(spark)}/scores-{uuid.uuid4().hex}"
+    none = spark.createDataFrame([], "key string, score double")
+    write_cache(rerank.cached_scores(pairs.where("ord % 2 = 0"), none, OverlapScorer())[1], path)
+    every, grown, stats = rerank.cached_scores(pairs, read_cache(spark, path, "score double"), OverlapScorer())
+    return every.select("eval_id", "ord", F.round("rerank_score", 6).alias("rerank_score")).crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(grown.agg(F.count("*").alias("in_cache"))))  # one row each
+
+
+def eval_results(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of results that an evaluation leaves behind: each item with what was retrieved for it, written and read again."""
+    s = retrieval.wide_stages(spark, sf)
+    path = f"{scratch(spark)}/results-{uuid.uuid4().hex}"
+    write_json_lines(evaluate.results_table(_items(spark, sf, s), retrieval.rerank_select(s).join(s.rows.select("ord", "id"), "ord").join(s.texts, "ord"), "eval_id"), path)
+    back = spark.read.schema("eval_id bigint, gold_chunk_id string, retrieved_chunks array<struct<chunk_id: string, book_name: string, base_score: double, rerank_score: double, text_preview: string>>").json(path)
+    return back.select("eval_id", "gold_chunk_id", F.posexplode("retrieved_chunks").alias("place", "r")).select("eval_id", "gold_chunk_id", "place", F.col("r.chunk_id").alias("chunk_id"), F.col("r.book_name").alias("book_name"), F.round("r.base_score", 6).alias("base_score"), F.round("r.rerank_score", 6).alias("rerank_score"), F.md5("r.text_preview").alias("preview_md5"))
+
+
+def index_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunk index written as lines of JSON and as parquet by book, read again, and both joined."""
+    c = retrieval.chunks_once(spark, sf).where("has_vec").select("id", F.col("book").alias("book_name"), "chunk_index", F.lit(0).alias("start"), F.length("text").alias("end"), "text", "scene_id", "embedding")
+    base = f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    write_chunks(c, f"{base}/lines", "json")
+    write_chunks(c.withColumn("ord", F.lit(0).cast("long")), f"{base}/books")
+    lines, books = read_chunks(spark, f"{base}/lines"), read_chunks(spark, f"{base}/books", "parquet")
+    same = lines.join(books.select("id", F.col("text").alias("other")), "id").where(F.col("text") == F.col("other"))
+    every = F.count("*").over(Window.partitionBy())
+    return same.withColumn("n", every).select("id", "book_name", "chunk_index", "scene_id", "chapter_index", F.md5("text").alias("text_md5"), F.round(F.element_at("embedding", 1), 6).alias("first_value"), ((F.col("ord") >= 0) & (F.col("ord") < F.col("n"))).alias("counted"))
+
+
+def texts_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as text files, one for each, and read again."""
+    docs = table(spark, sf, "documents").where(F.regexp_replace("text", r"(?U)\s+", "") != "").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("book_name"), "text")
+    path = f"{scratch(spark)}/texts-{uuid.uuid4().hex}"
+    counts = write_texts(docs, path)
+    back = spark.read.text(path, wholetext=True).select("book_name", F.md5(F.regexp_replace("value", r"\n\z", "")).alias("text_md5"))
+    return back.join(counts, "book_name")
+
+
+def embeddings_cached(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with vectors of the stand-in, half of them from a cache."""
+    questions = _questions(spark, sf)
+    none = spark.createDataFrame([], "key string, embedding array<double>")
+    half = rerank.cached_embeddings(questions.where("eval_id % 2 = 0"), none, HashEmbedder(), "hash")[1]
+    every, grown = rerank.cached_embeddings(questions, half, HashEmbedder(), "hash")
+    return every.select("eval_id", F.size("embedding").alias("n_dims")).crossJoin(F.broadcast(grown.agg(F.count("*").alias("in_cache"))))  # one row
+
+
 def evaluate_plain(spark: SparkSession, sf: str) -> DataFrame:
     """Evaluation without reranking: the routed retrieval is the result, and there are no candidates beside it."""
     s = retrieval.stages(spark, sf)
@@ -242,7 +290,7 @@ def usage_recount(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usage_stream_daily(spark: SparkSession, sf: str) -> DataFrame:
-    counts = stream.daily_counts(stream.read_log(spark, f"{sf}/visitor_queries.parquet"), "3650 days")
+    counts = stream.daily_counts(stream.read_log(spark, f"{sf}/visitor_queries.parquet"))
     return stream.run_once(counts, uuid.uuid4().hex)
 
 
@@ -257,7 +305,7 @@ QUERIES = {
     for f in (
         scan_chunks, book_stats, book_from_id, natural_order, line_units, chunk_lines, sentence_split, chunk_pack_overlap, chunk_ids, chapter_titles, paragraph_forms, consecutive_dedup, front_matter_trim,
         contents_drop, html_paragraphs, text_preview, paragraph_counts, entity_aliases, entity_match, entity_full_names, entity_rewrites, merge_contexts, answer_insufficient, answerability_parse, context_format,
-        cache_misses, sample_exact, sample_stratified, evaluate_plain, gold_rank, eval_metrics, eval_metrics_by_book, representative_failures, daily_usage, usage_order, usage_recount, usage_stream_daily, event_usage,
+        cache_misses, sample_exact, sample_stratified, rerank_cached, eval_results, index_round_trip, texts_round_trip, embeddings_cached, evaluate_plain, gold_rank, eval_metrics, eval_metrics_by_book, representative_failures, daily_usage, usage_order, usage_recount, usage_stream_daily, event_usage,
     )
 }
 # SQL -----------------------------------------------------------------------------------------------------------------
@@ -309,7 +357,28 @@ METRICS = "count(*) AS n, round(coalesce(avg(hit_at_1::INT), 0), 6) AS recall_at
 CK_TITLES = "SELECT k.id, k.book, k.chunk_index, t.title FROM ck k JOIN (SELECT id, min(chapter_title) AS title FROM chunks GROUP BY 1) t ON t.id = k.id"
 TITLED = "SELECT id, min(ord) AS n, min(chapter_title) AS para, min(coalesce(book_name, " + _put(BOOK_OF, "id") + ")) AS book FROM chunks WHERE chapter_title IS NOT NULL GROUP BY id"
 
+PREVIEW = "CASE WHEN length({0}) > 220 THEN substring({0}, 1, 220) || '...' ELSE {0} END"
+PACK = {
+    "un": f"SELECT *, CASE WHEN chapter_index > 0 OR scene_index > 0 THEN printf('chapter-%03d-scene-%03d', chapter_index, scene_index) ELSE 'scene-000' END AS scene_id FROM (SELECT *, (sum(sep) OVER (PARTITION BY doc_id, chapter_index ORDER BY line_no))::BIGINT AS scene_index, last_value(CASE WHEN ch = 1 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS chapter_title FROM (SELECT *, (sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no))::BIGINT AS chapter_index FROM (SELECT *, regexp_matches(line, '{TITLE_RE}')::INT AS ch, (line = '★★★')::INT AS sep FROM ({lines_sql('doc_id', 'documents')})))) WHERE ch = 0 AND sep = 0",
+    "se": f"SELECT doc_id, line_no, k, s, length(s) AS n, sum(length(s)) OVER (PARTITION BY doc_id, line_no ORDER BY k) - length(s) AS off FROM (SELECT doc_id, line_no, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS s FROM (SELECT doc_id, line_no, regexp_extract_all(line, '[^{ENDS}]*[{ENDS}]|[^{ENDS}]+') AS l FROM un))",
+    "fi": "SELECT doc_id, line_no, k, 1 AS p, CASE WHEN n > 1000 THEN 0 ELSE n END AS held FROM se WHERE k = 1 UNION ALL SELECT s.doc_id, s.line_no, s.k, p + CASE WHEN held = 0 OR held + n > 1000 THEN 1 ELSE 0 END, CASE WHEN n > 1000 THEN 0 WHEN held = 0 OR held + n > 1000 THEN n ELSE held + n END FROM fi JOIN se s ON s.doc_id = fi.doc_id AND s.line_no = fi.line_no AND s.k = fi.k + 1",
+    "pi": "SELECT doc_id, line_no, p, string_agg(s, '' ORDER BY k) AS s, min(off) AS off FROM se JOIN fi USING (doc_id, line_no, k) GROUP BY ALL",
+    "pa": "SELECT doc_id, line_no, off + i AS off, substring(s, i + 1, 1000) AS part FROM (SELECT *, unnest(range(0, greatest(length(s), 1), 1000)) AS i FROM pi)",
+    "sn": "SELECT doc_id, chapter_index, scene_index, chapter_title, scene_id, list(part ORDER BY line_no, off) AS parts, list(start + off ORDER BY line_no, off) AS starts, list(length(part) ORDER BY line_no, off) AS ns FROM pa JOIN un USING (doc_id, line_no) GROUP BY ALL",
+    "pk": "SELECT doc_id, chapter_index, scene_index, 1 AS k, 1 AS f, ns[1] AS z, NULL::INTEGER AS was FROM sn UNION ALL SELECT doc_id, chapter_index, scene_index, k + 1, CASE WHEN over THEN k + 1 - t ELSE f END, ns[k + 1] + CASE WHEN over THEN coalesce(list_sum(ns[k + 1 - t : k]), 0) * (t > 0)::INT + 2 * greatest(0, t - 1) + 2 * (t > 0)::INT ELSE z + 2 END, CASE WHEN over THEN f END FROM (SELECT pk.*, ns, z + 2 + ns[k + 1] > 1000 OR z >= 800 AS over, least(3, k - f) AS t FROM pk JOIN sn USING (doc_id, chapter_index, scene_index) WHERE k < len(ns))",
+    "ck2": "SELECT doc_id, chapter_index, scene_index, was AS a, k - 1 AS b FROM pk WHERE was IS NOT NULL UNION ALL SELECT doc_id, chapter_index, scene_index, f, k FROM pk JOIN sn USING (doc_id, chapter_index, scene_index) WHERE k = len(ns)",
+    "co": "SELECT doc_id, chapter_index, scene_index, chapter_title, scene_id, starts[a] AS start_pos, starts[b] + ns[b] AS end_pos, array_to_string(parts[a : b], chr(10) || chr(10)) AS chunk_text FROM ck2 JOIN sn USING (doc_id, chapter_index, scene_index)",
+}
+
 ORACLE = {
+    "chunk_pack_overlap": "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, q in PACK.items()) + " SELECT * EXCLUDE (c), doc_id || '-' || lpad(chunk_index::VARCHAR, greatest(6, length(c::VARCHAR))::INT, '0') AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chapter_index, scene_index, start_pos, end_pos) AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS c FROM co)",
+    "sample_exact": with_parts(f"SELECT id, book FROM ck ORDER BY md5('{fixed.EVAL_SEED}|' || id), id LIMIT {fixed.EVAL_SAMPLE}", "ck"),
+    "sample_stratified": with_parts(f"SELECT id, book FROM (SELECT id, book, row_number() OVER (PARTITION BY book ORDER BY md5('{fixed.EVAL_SEED}|' || id), id) AS n FROM ck) WHERE n <= 3", "ck"),
+    "rerank_cached": with_parts(f"SELECT f.eval_id, f.ord, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, {sql_terms('c.text')})) / len(a) ELSE 0 END, 6) AS rerank_score, count(*) FILTER (f.ord % 2 = 0) OVER () AS cache_hits, count(*) FILTER (f.ord % 2 = 1) OVER () AS api_scored, (SELECT count(DISTINCT eval_id) FROM fused WHERE fused_rank <= 30 AND ord % 2 = 1) AS api_calls, (SELECT count(DISTINCT (question, g.id, g.text)) FROM fused h JOIN ck g ON g.ord = h.ord JOIN q ON q.eval_id = h.eval_id WHERE fused_rank <= 30) AS in_cache FROM fused f JOIN ck c ON c.ord = f.ord JOIN (SELECT eval_id, list_distinct({sql_terms('question')}) AS a FROM q) z ON z.eval_id = f.eval_id WHERE fused_rank <= 30", *FUSED),
+    "eval_results": with_parts("SELECT q.eval_id, q.gold_chunk_id, (out_rank - 1)::INTEGER AS place, c.id AS chunk_id, c.book AS book_name, round(base_score, 6) AS base_score, round(rerank_score, 6) AS rerank_score, md5(" + _put(PREVIEW, _put(ONE, "c.text")) + ") AS preview_md5 FROM rs JOIN q USING (eval_id) JOIN ck c ON c.ord = rs.ord", *RERANK, more=RERANK),
+    "index_round_trip": with_parts("SELECT id, book AS book_name, chunk_index, scene_id, 0 AS chapter_index, md5(text) AS text_md5, round(embedding[1], 6) AS first_value, true AS counted FROM ck WHERE has_vec", "ck"),
+    "texts_round_trip": "SELECT 'd' || doc_id AS book_name, md5(text) AS text_md5, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '" + WS + "+', '', 'g') <> ''))::INTEGER AS paragraphs, length(text)::INTEGER AS chars FROM documents WHERE regexp_replace(text, '" + WS + "+', '', 'g') <> ''",
+    "embeddings_cached": f"SELECT eval_id, 64 AS n_dims, (SELECT count(DISTINCT question) FROM ({QUESTIONS})) AS in_cache FROM ({QUESTIONS})",
     "scan_chunks": "SELECT ord, id, coalesce(book_name, " + _put(BOOK_OF, "id") + ") AS book, chapter_title, coalesce(chapter_index, 0) AS chapter_index, coalesce(scene_index, 0) AS scene_index, coalesce(scene_id, 'scene-000') AS scene_id, length(text)::INTEGER AS n_chars, len(embedding)::INTEGER AS n_dims FROM chunks",
     "book_stats": "SELECT coalesce(nullif(book_name, ''), '未知书籍') AS book, count(*) AS chunks, min(ord) AS first_ord FROM chunks GROUP BY 1",
     "book_from_id": "SELECT eval_id, " + _put(BOOK_OF, "gold_chunk_id") + " AS book FROM eval_items",
@@ -332,8 +401,8 @@ ORACLE = {
     "entity_rewrites": with_parts("SELECT * FROM (SELECT eval_id, row_number() OVER (PARTITION BY eval_id ORDER BY first_at) AS rewrite_no, r AS rewrite FROM rw) WHERE rewrite_no <= 3", *REWRITES, more=REWRITES),
     "merge_contexts": with_parts("SELECT * FROM (SELECT eval_id, ord, hits, round(best, 6) AS best_score, row_number() OVER (PARTITION BY eval_id ORDER BY hits DESC, best DESC, seen, ord) AS out_rank FROM (SELECT eval_id, ord, count(DISTINCT l) AS hits, max(s) AS best, min((l, r)) AS seen FROM (SELECT eval_id, ord, 0 AS l, fused_rank AS r, score AS s FROM fused WHERE fused_rank <= 10 UNION ALL SELECT eval_id, ord, 1, vec_rank, cos FROM dense WHERE vec_rank <= 10 UNION ALL SELECT eval_id, ord, 2, bm25_rank, bm25 / 100 FROM sp WHERE bm25_rank <= 10) GROUP BY 1, 2)) WHERE out_rank <= 5", *FUSED),
     "answer_insufficient": f"SELECT id, coalesce(regexp_replace(answer, '{WS}+', '', 'g') = '' OR " + " OR ".join(f"contains(answer, '{m}')" for m in fixed.INSUFFICIENT_MARKS) + f", true) AS insufficient FROM ({LOG})",
-    "answerability_parse": "SELECT eval_id, CASE WHEN eval_id % 4 < 3 THEN eval_id % 3 = 0 END AS answerable, CASE WHEN eval_id % 4 < 3 THEN 1 END AS n_missing, CASE WHEN eval_id % 4 < 3 THEN (trim(coalesce(substring(reference_answer, 1, 5), '')) <> '')::INT END AS n_questions FROM eval_items",
-    "context_format": with_parts("SELECT eval_id, length(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10)))::INTEGER AS n_chars, count(*)::INTEGER AS n_passages FROM fused JOIN ck USING (ord) WHERE fused_rank <= 5 GROUP BY 1", *FUSED),
+    "answerability_parse": "SELECT eval_id, CASE WHEN eval_id % 4 < 3 THEN eval_id % 3 = 0 END AS answerable, CASE WHEN eval_id % 4 < 3 THEN 1 END AS n_missing, CASE WHEN eval_id % 4 < 3 THEN (trim(coalesce(reference_answer, '')) <> '')::INT END AS n_questions FROM eval_items",
+    "context_format": with_parts("SELECT eval_id, length(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank))::INTEGER AS n_chars, md5(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank)) AS context_md5, count(*)::INTEGER AS n_passages FROM fused JOIN ck USING (ord) WHERE fused_rank <= 5 GROUP BY 1", *FUSED),
     "cache_misses": f"SELECT sha256(q) AS key, q AS question FROM (SELECT DISTINCT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') AS q FROM visitor_queries WHERE question IS NOT NULL) WHERE q NOT IN (SELECT regexp_replace(question, '^{WS}+|{WS}+$', '', 'g') FROM eval_items WHERE question IS NOT NULL)",
     "evaluate_plain": with_parts("SELECT eval_id, gold_rank, coalesce(gold_rank <= 1, false) AS hit_at_1, coalesce(gold_rank <= 3, false) AS hit_at_3, coalesce(gold_rank <= 5, false) AS hit_at_5, round(coalesce(1.0 / gold_rank, 0), 6)::DOUBLE AS reciprocal_rank, CASE WHEN gold_rank IS NULL THEN 'candidate_miss' END AS failure_reason FROM pl", *ROUTES, *PLAIN, more=PLAIN),
     "gold_rank": with_parts("SELECT eval_id, gold_rank, candidate_rank, hit_at_1, hit_at_3, hit_at_5, round(reciprocal_rank, 6) AS reciprocal_rank, failure_reason FROM ev", *EVALUATED, more=EVALUATED),

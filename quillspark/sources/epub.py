@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import fixed
 from quillspark.functions.exprs import is_toc_heading
 from quillspark.operators import text as tx
+from quillspark.session import saved
+from quillspark.sources.relations import write_texts
 
 HTML = (".xhtml", ".html", ".htm")
 
@@ -87,3 +89,8 @@ def clean_paragraphs(members: DataFrame, prefix: str | None = None) -> DataFrame
 def read_epubs(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
     """``book_name, text`` of each e-book."""
     return tx.joined(clean_paragraphs(read_members(spark, path), prefix), "book_name", "n", "para")
+
+
+def import_epubs(spark: SparkSession, path: str, out: str, prefix: str | None = None) -> DataFrame:
+    """Writes the clean text of each e-book under ``out`` and returns ``book_name, paragraphs, chars``; no text at all raises."""
+    return write_texts(saved(read_epubs(spark, path, prefix), "epubs"), out)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.functions import fixed
+from quillspark.functions.exprs import paragraph_count
 
 CHUNK = "id string, book_name string, chunk_index int, start int, end int, text string, chapter_title string, chapter_index int, scene_index int, scene_id string, embedding array<double>"
 ENTITY = "id string, type string, canonical string, aliases array<string>"
@@ -36,9 +39,24 @@ def read_chunks(spark: SparkSession, path: str, kind: str = "json") -> DataFrame
     rows = _json_lines(spark, path, CHUNK, "the chunk index") if kind == "json" else spark.read.parquet(path)
     if rows.isEmpty():
         raise SourceError(f"no chunks in {path}")
+    absent = {f.name: F.lit(None).cast(f.dataType) for f in T._parse_datatype_string(CHUNK) if f.name not in (*rows.columns, *REQUIRED)}
+    rows = rows.withColumns(absent) if absent else rows
     need = {c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"chunk without {c}")).cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c in REQUIRED}
     out = rows.withColumns(need).withColumns({"chapter_index": F.coalesce("chapter_index", F.lit(0)), "scene_index": F.coalesce("scene_index", F.lit(0)), "scene_id": F.coalesce("scene_id", F.lit(fixed.NO_SCENE))})
-    return out if "ord" in out.columns else out.withColumn("ord", F.monotonically_increasing_id())
+    return out if "ord" in out.columns else _in_order(out)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` read from files, with ``ord`` counting them in the order of files, and of lines in each, from 0.
+
+    Rows are counted by the stretches of files that Spark reads, which are few; a row's number is that of its stretch
+    and its place therein.
+    """
+    at = rows.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m"))
+    parts = at.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = at.join(parts.withColumn("_before", before).drop("_n"), ["_f", "_b"])
+    return numbered.withColumn("ord", F.col("_before") + F.col("_m") - F.col("_first")).drop("_f", "_b", "_m", "_first", "_before")
 
 
 def write_chunks(chunks: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -93,14 +111,43 @@ def split_by_cache(rows: DataFrame, cache: DataFrame, key: str = "key") -> tuple
     return rows.join(cache, key), rows.join(cache.select(key), key, "left_anti")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``book_name, text`` of UTF-8 files, whole; the name is that of the file without its ending. Empty files raise."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("f"))
-    name = F.regexp_replace(F.regexp_replace("f", r"%20", " "), r"\.[^.]*$", "")
+def resolve_book_names(stems: list[str], names: list[str] | None = None) -> dict[str, str]:
+    """The name of each text: its own in ``names``, in the order of the files, or its file's without the ending.
+
+    As many names as files, none blank, none twice; else an error says what is wrong.
+    """
+    if not names:
+        return dict(zip(stems, stems))
+    names = [n.strip() for n in names]
+    if len(names) != len(stems):
+        raise SourceError(f"{len(names)} names for {len(stems)} texts")
+    if not all(names):
+        raise SourceError("a name is blank")
+    if len(set(names)) < len(names):
+        raise SourceError("a name comes twice")
+    return dict(zip(stems, names))
+
+
+def read_texts(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """``book_name, text`` of UTF-8 files, whole; the name is that of the file without its ending, or one of ``names``. Empty files raise."""
+    stem = F.udf(lambda f: unquote(f).rsplit(".", 1)[0], "string")  # one row a file
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), stem(F.col("_metadata.file_name")).alias("f"))
+    name = F.col("f")
+    if names:
+        wanted = resolve_book_names(sorted(r["f"] for r in rows.select("f").collect()), names)  # as many as names
+        name = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), name)
     text = F.when(F.trim("text") == "", F.raise_error(F.concat(F.lit("empty text: "), "f")).cast("string")).otherwise(F.col("text"))
     return rows.select(name.alias("book_name"), text.alias("text"))
 
 
+def write_texts(texts: DataFrame, path: str) -> DataFrame:
+    """Writes each book's text to a folder of its own and returns ``book_name, paragraphs, chars``; no text at all raises."""
+    if texts.where(F.trim("text") != "").isEmpty():
+        raise SourceError("no text to write")
+    texts.select("book_name", "text").write.mode("overwrite").partitionBy("book_name").option("lineSep", "\n").text(path)
+    return texts.select("book_name", paragraph_count(F.col("text")).alias("paragraphs"), F.length("text").alias("chars"))
+
+
 def append_queries(log: DataFrame, path: str) -> None:
     """Appends to the query log; usage counts are aggregates of it, never updated in place."""
     log.write.mode("append").parquet(path)

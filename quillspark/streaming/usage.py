@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark.functions.exprs import utc_day
 from quillspark.session import scratch
 
 LATE = "7 days"  # how long a day stays open for rows that arrive late
@@ -25,19 +27,26 @@ def daily_counts(log: DataFrame, late: str = LATE) -> DataFrame:
     own = log.where("coalesce(used_custom_api_key, 0) = 0 and visitor_id is not null and created_at is not null")
     once = own.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["id"])
     by = once.groupBy(F.window("created_at", "1 day"), "visitor_id").agg(F.count("*").alias("asked"))
-    return by.select("visitor_id", F.to_date(F.col("window.start")).alias("usage_date"), "asked")
+    return by.select("visitor_id", utc_day(F.col("window.start")).alias("usage_date"), "asked")
 
 
-def run_once(counts: DataFrame, name: str) -> DataFrame:
-    """Runs a streaming aggregate over what is there and returns its result as a table."""
+def run_once(counts: DataFrame, name: str, keys: tuple[str, ...] = ("visitor_id", "usage_date")) -> DataFrame:
+    """Runs a streaming aggregate over what is there and returns its result as a table.
+
+    Each batch gives the counts it has changed, the last one of a key holds; so the state may forget days that the
+    watermark has passed. Rows that come later than it are left out.
+    """
     spark = counts.sparkSession
     path = f"{scratch(spark)}/stream-{name}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    query = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}-state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress
-    epochs = spark.read.parquet(path)
-    return epochs.where(F.col("epoch") == (last.batchId if last else 0)).drop("epoch")
+    if query.lastProgress is None:  # nothing has come
+        return spark.createDataFrame([], counts.schema)
+    changed = spark.read.schema(T.StructType([*counts.schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
+    rest = [c for c in counts.columns if c not in keys]
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
+    return last.select(*keys, "last.*").select(*counts.columns)
