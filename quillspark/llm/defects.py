@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,19 +180,15 @@ class Judge:
         self.refusals, self.scorer = Refusals(), Scorer(model)
         self.asked = {lang: re.compile(pattern, re.IGNORECASE) for lang, pattern in ASKED.items()}
 
-    def language(self, text: str) -> pd.Series:
-        return self.scorer.total(text)
-
-    def other_language(self, asked: str, said: str, prompt_letters: str, letters: str) -> bool:
+    def other_language(self, asked: str, said: str, prompt_letters: str, letters: str, p: np.ndarray, r: np.ndarray) -> bool:
         """Whether the answer is in a language that the question neither has nor asks for.
 
         Another language must lead by a margin that grows with a short answer's letters; an answer without a letter
-        of a script that the question's language has is in another one. Names from the question and signs are no language.
+        of a script that the question's language has is in another one; ``p`` and ``r`` are the scores of both. Names from the question and signs are no language.
         """
         if not any(map(str.isalpha, letters)) or not any(map(str.isalpha, prompt_letters)):
             return False
         names = self.scorer.model.languages
-        p, r = self.language(asked), self.language(said)
         own, best = int(p.argmax()), int(r.argmax())
         wanted = lambda x: x in self.asked and bool(self.asked[x].search(asked))
         if len(letters) >= 6 and len(prompt_letters) >= 4 and own != best and r[best] - r[own] > SURE:
@@ -207,19 +204,25 @@ class Judge:
         return bool(other) and not any(wanted(x) for x in names if held <= SCRIPTS.get(x, {"LATIN"}))
 
     def defect(self, prompt: str | None, response: str | None) -> str | None:
-        if response is None:
-            return "empty"
-        said = _TAG.sub(" ", canonical(response)).strip()
+        return self.defects([prompt], [response])[0]
+
+    def defects(self, prompts: list[str | None], responses: list[str | None]) -> list[str | None]:
+        """The defect of each pair; languages are scored for all pairs together."""
+        asked = [canonical(p or "").strip() for p in prompts]
+        said = [_TAG.sub(" ", canonical(r)).strip() if r is not None else "" for r in responses]
+        scores = zip(self.scorer.totals(asked), self.scorer.totals(said))
+        return [self._defect(a, s, p, r) for a, s, (p, r) in zip(asked, said, scores)]
+
+    def _defect(self, asked: str, said: str, p: np.ndarray, r: np.ndarray) -> str | None:
         letters = _letters(said)
         if not letters or letters in FILLERS:
             return "empty"
-        asked = canonical(prompt or "").strip()
         prompt_letters = _letters(asked)
         if self.refusals.found(said, asked):
             return "refusal"
         if gives_back(asked, said, self.refusals):
             return "echo"
-        if self.other_language(asked, said, prompt_letters, letters):
+        if self.other_language(asked, said, prompt_letters, letters, p, r):
             return "language"
         return "truncated" if breaks_off(said) else None
 
@@ -236,7 +239,7 @@ def defective_pairs(pairs: DataFrame, model: Model, key: str, prompt: str, respo
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         own = Judge(shared.value)
         for prompts, responses in batches:
-            yield pd.Series([own.defect(p, r) for p, r in zip(prompts, responses)], dtype=object)
+            yield pd.Series(own.defects(prompts.to_list(), responses.to_list()), dtype=object)
 
     flagged = pairs.select(F.col(key).alias("key"), judge(F.col(prompt), F.col(response)).alias("defect"))
     return flagged.where("defect is not null").distinct()

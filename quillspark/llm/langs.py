@@ -174,6 +174,21 @@ class Scorer:
         """Log probability of the whole text in each language."""
         return self._each(text).sum(0)
 
+    def totals(self, texts: list[str], letters: int = 200_000) -> np.ndarray:
+        """``total`` of each text (texts, languages); texts are scored together, about ``letters`` characters at a time."""
+        out, low = np.zeros((len(texts), len(self.model.languages))), 0
+        while low < len(texts):
+            high, n = low, 0
+            while high < len(texts) and (high == low or n + len(texts[high]) < letters):
+                n += len(texts[high])
+                high += 1
+            own = texts[low:high]
+            each = self._each("".join(x + "\n" for x in own))  # a line end ends a run and is not scored
+            starts = np.cumsum([0] + [len(x) + 1 for x in own[:-1]])
+            out[low:high] = np.add.reduceat(each, starts, axis=0)
+            low = high
+        return out
+
     def sums(self, text: str) -> np.ndarray:
         """Cumulative log probability (characters + 1, languages); a run counts at its first character."""
         each = self._each(text)
