@@ -73,6 +73,20 @@ def pack(units: list[str], target: int, limit: int, overlap: int) -> list[tuple[
     return out + [(first, len(units) - 1)] * bool(units)
 
 
+def numbered(rows: DataFrame, group: str, at: str, *ties: str, width: int = 4096) -> DataFrame:
+    """``rows`` with ``n``, their number in their group in the order of ``at``, then ``ties``, and ``of``, the rows of the group.
+
+    A group is dealt into stretches of ``width`` of ``at``; rows are counted by stretch first, so no task sorts a whole
+    group.
+    """
+    dealt = rows.withColumn("_stretch", F.floor(F.col(at) / width))
+    counts = dealt.groupBy(group, "_stretch").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(group, "_stretch", before.alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("of"))
+    inside = F.row_number().over(Window.partitionBy(group, "_stretch").orderBy(at, *ties))
+    return dealt.withColumn("_inside", inside).join(offsets, [group, "_stretch"]).withColumn("n", F.col("_before") + F.col("_inside")).drop("_stretch", "_before", "_inside")
+
+
 def build_chunks(texts: DataFrame, key: str, text: str, target: int = fixed.CHUNK_TARGET, limit: int = fixed.CHUNK_MAX, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
     """Chunks of each text with id, index, offsets, chapter and scene; a text's key is its book.
 
@@ -100,10 +114,10 @@ def build_chunks(texts: DataFrame, key: str, text: str, target: int = fixed.CHUN
             yield pd.Series(out)
 
     packed = units.select(*scope, F.explode(fold("units")).alias("c")).select(*scope, "c.*")
-    n = F.count("*").over(Window.partitionBy(key))
-    packed = packed.withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("chapter_index", "scene_index", "start_pos", "end_pos")))
-    width = F.greatest(F.lit(6), F.length(n.cast("string")))
-    return packed.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("-"), F.lpad(F.col("chunk_index").cast("string"), width, F.lit("0"))))
+    packed = numbered(packed, key, "start_pos", "end_pos", width=1_000_000)  # chapters and scenes follow one another
+    width = F.greatest(F.lit(6), F.length(F.col("of").cast("string")))
+    packed = packed.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("-"), F.lpad(F.col("n").cast("string"), width, F.lit("0"))))
+    return packed.withColumnRenamed("n", "chunk_index").drop("of")
 
 
 # A comment or declaration, a tag with its attributes, a stretch of text; a lone < is text.

@@ -63,11 +63,9 @@ def chunk_pack_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
-    c = retrieval.chunks_once(spark, sf)
-    by = Window.partitionBy("book").orderBy("chunk_index", "ord")
-    n = F.row_number().over(by)
-    width = F.greatest(F.lit(6), F.length(F.count("*").over(Window.partitionBy("book")).cast("string")))
-    return c.select("ord", "book", n.alias("n"), F.concat("book", F.lit("-"), F.lpad(n.cast("string"), width, F.lit("0"))).alias("new_id"))
+    c = text.numbered(retrieval.chunks_once(spark, sf).select("ord", "book", "chunk_index"), "book", "chunk_index", "ord")
+    width = F.greatest(F.lit(6), F.length(F.col("of").cast("string")))
+    return c.select("ord", "book", "n", F.concat("book", F.lit("-"), F.lpad(F.col("n").cast("string"), width, F.lit("0"))).alias("new_id"))
 
 
 def chapter_titles(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.clients import HashEmbedder, embed_column
-from quillspark.operators import answers, evaluate, rewrite, usage
+from quillspark.operators import answers, evaluate, rerank, rewrite, usage
 from quillspark.sources import relations as rel
+from tests.conftest import rows
 
 
 def entities(spark):
@@ -111,5 +112,96 @@ def test_texts_and_embeddings(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_every_query_runs(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).columns
+def test_every_query_gives_what_its_sql_gives(spark, sf, sql, name):
+    got = catalog.QUERIES[name](spark, sf)
+    found = [tuple(r) for r in got.collect()]
+    assert name in catalog.ORACLE, "every query has SQL"
+    columns, wanted = sql(catalog.ORACLE[name])
+    assert sorted(got.columns) == sorted(columns)
+    assert rows(got.columns, found) == rows(columns, wanted)
+
+
+def test_load_order_is_that_of_files_and_lines(spark, tmp_path):
+    n = 0
+    for f in range(3):
+        lines = []
+        for i in range([400, 3, 50][f]):
+            lines.append(json.dumps({"id": f"a-{n}", "book_name": "a", "chunk_index": n, "start": 0, "end": 1, "text": "x" * 50}))
+            n += 1
+        (tmp_path / f"part-{f}.json").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = rel.read_chunks(spark, str(tmp_path)).select("ord", "chunk_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == n and all(r["ord"] == r["chunk_index"] for r in got)
+
+
+def test_book_names(spark, tmp_path):
+    assert rel.resolve_book_names(["a", "b"]) == {"a": "a", "b": "b"} and rel.resolve_book_names(["a"], [" x "]) == {"a": "x"}
+    for names in (["x"], ["x", " "], ["x", "x"]):
+        with pytest.raises(rel.SourceError):
+            rel.resolve_book_names(["a", "b"], names)
+    (tmp_path / "一 书%.txt").write_text("a\n\nb")
+    assert rel.read_texts(spark, str(tmp_path)).first()["book_name"] == "一 书%"
+    assert rel.read_texts(spark, str(tmp_path), ["二"]).first()["book_name"] == "二"
+    counts = rel.write_texts(rel.read_texts(spark, str(tmp_path)), str(tmp_path / "out")).first()
+    assert (counts["paragraphs"], counts["chars"]) == (2, 4)
+    with pytest.raises(rel.SourceError):
+        rel.write_texts(spark.createDataFrame([("a", " ")], "book_name string, text string"), str(tmp_path / "none"))
+
+
+class HalfScorer:
+    model = "half"
+
+    def score(self, query, documents):
+        return [(i, 0.5) for i in range(0, len(documents), 2)]
+
+
+class WildScorer:
+    model = "wild"
+
+    def score(self, query, documents):
+        return [(len(documents), 1.0)]
+
+
+def test_scores_are_aligned_and_cached(spark, tmp_path):
+    pairs = spark.createDataFrame([(q, f"c{i}", "x", i, f"t{i}") for q in (1, 2) for i in range(3)], "eval_id long, id string, question string, cand_rank int, text string")
+    none = spark.createDataFrame([], "key string, score double")
+    every, grown, stats = rerank.cached_scores(pairs, none, HalfScorer())
+    assert {(r["id"], r["rerank_score"]) for r in every.collect()} == {("c0", 0.5), ("c1", 0.0), ("c2", 0.5)}
+    assert tuple(stats.first()) == (0, 6, 2) and grown.count() == 3  # both queries ask the same
+    rel.write_cache(grown, str(tmp_path / "cache"))
+    assert tuple(rerank.cached_scores(pairs, rel.read_cache(spark, str(tmp_path / "cache"), "score double"), HalfScorer())[2].first()) == (6, 0, 0)
+    with pytest.raises(Exception, match="a score for document"):
+        rerank.model_scores(pairs, WildScorer(), "eval_id", "question", "cand_rank", "text").collect()
+
+
+def test_stand_in_scores_as_the_plan_does(spark):
+    from quillspark.clients import OverlapScorer, text_terms
+    from quillspark.functions.exprs import terms
+
+    texts = ["海边的灯塔 Old 12", "", "a", "海", "𠀀𠀁𠀂x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(terms(F.col("t"))).collect()] == [text_terms(t) for t in texts]
+    assert OverlapScorer().score("灯塔", ["海边的灯塔", ""]) == [(0, 1.0), (1, 0.0)]
+
+
+def test_late_rows_and_days_in_utc(spark, tmp_path):
+    from quillspark.streaming import usage as stream
+
+    log = [(1, "v", "2020-01-01 23:30:00", 0), (2, "v", "2020-01-20 12:00:00", 0)]
+    late = [(3, "v", "2020-01-01 10:00:00", 0), (4, "v", "2020-01-19 10:00:00", 0)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    between = [(5, "v", "2020-01-20 13:00:00", 0), (5, "v", "2020-01-20 13:00:00", 0)]  # a batch later the watermark holds
+    for k, part in enumerate((log, between, late)):
+        df = spark.createDataFrame(part, "id long, visitor_id string, c string, used_custom_api_key int").withColumn("created_at", F.to_timestamp("c")).drop("c")
+        df.coalesce(1).write.parquet(str(tmp_path / "log" / f"part={k}"))
+    source = spark.readStream.schema(spark.read.parquet(str(tmp_path / "log" / "part=0")).schema).option("maxFilesPerTrigger", 1)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = stream.run_once(stream.daily_counts(source.parquet(str(tmp_path / "log" / "part=*"))), "late-" + tmp_path.name).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    counts = {(str(r["usage_date"]), r["asked"]) for r in got}
+    assert {("2020-01-01", 1), ("2020-01-20", 2), ("2020-01-19", 1)} == counts  # the row of the first day came after it was closed

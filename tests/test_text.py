@@ -87,3 +87,9 @@ def test_epub_in_spine_order(spark, tmp_path):
     (tmp_path / "书.epub").write_bytes(data.getvalue())
     got = epub.read_epubs(spark, str(tmp_path)).collect()
     assert [(r["book_name"], r["text"]) for r in got] == [("书", "某某篇 序章\n\n零\n\n第一话 甲\n\n一\n\n★★★\n")]
+
+
+def test_markup():
+    got = tx.html_blocks("<body><!-- a > b --><p title='x > y'>one <b>two</b></p>1 < 2<br/>R&amp;D<script>if (a < b) { '</p>' }</script><svg><p>no</p></svg><style>p{}</style>end")
+    assert got == ["onetwo", "1 < 2", "R&D", "end"] or got == ["onetwo", "1 < 2", "R&Dend"]
+    assert tx.html_blocks("") == [] and tx.html_blocks("<p></p>\n<p> </p>") == [] and tx.html_blocks("<P>A</P>b") == ["A", "b"]
