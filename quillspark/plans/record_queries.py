@@ -11,7 +11,7 @@ from quillspark.clients import HashEmbedder, OverlapScorer
 from quillspark.functions import exprs, fixed
 from quillspark.operators import answers, evaluate, fusion, rerank, rewrite, text, usage
 from quillspark.plans import retrieval
-from quillspark.plans.retrieval_queries import FUSED, RERANK, ROUTED, ROUTES, sql_terms, with_parts
+from quillspark.plans.retrieval_queries import FUSED, PARTS, RERANK, ROUTED, ROUTES, sql_terms, with_parts
 from quillspark.session import saved, scratch, spread, table
 from quillspark.sources.relations import cache_key, read_cache, read_chunks, split_by_cache, write_cache, write_chunks, write_json_lines, write_texts
 from quillspark.streaming import usage as stream
@@ -145,6 +145,22 @@ def merge_contexts(spark: SparkSession, sf: str) -> DataFrame:
     return rewrite.merge_lists(lists, "eval_id", "ord", "list_no", "rank", "score").select("eval_id", "ord", "hits", F.round("best_score", 6).alias("best_score"), "out_rank")
 
 
+LISTS = fixed.REWRITE_LIMIT + 1  # a question and its rewrites
+
+
+def retrieve_with_rewrites(spark: SparkSession, sf: str) -> DataFrame:
+    """Each stated question and its rewrites retrieved by themselves in one plan, and their results merged.
+
+    A rewrite has the vector of its question, as there is no model here to embed it.
+    """
+    asked = saved(retrieval.stated_queries(spark, sf, retrieval.chunks_once(spark, sf)), "asked")
+    other = rewrite.rewrites(asked, "eval_id", "question", table(spark, sf, "entities"))
+    every = asked.withColumn("eval_id", F.col("eval_id") * LISTS).unionByName(other.join(asked.drop("question"), "eval_id").select((F.col("eval_id") * LISTS + F.col("rewrite_no")).alias("eval_id"), F.col("rewrite").alias("question"), "gold_chunk_id", "qvec"))
+    found = retrieval.retrieve(retrieval.Stages(spark, sf, queries=every), fixed.TOP_K, fixed.BOOK_CAP)
+    lists = found.select(F.floor(F.col("eval_id") / LISTS).alias("eval_id"), "ord", (F.col("eval_id") % LISTS).alias("list_no"), F.col("out_rank").alias("rank"), F.col("base_score").alias("score"))
+    return rewrite.merge_lists(lists, "eval_id", "ord", "list_no", "rank", "score").select("eval_id", "ord", "hits", F.round("best_score", 6).alias("best_score"), "out_rank")
+
+
 def answer_insufficient(spark: SparkSession, sf: str) -> DataFrame:
     return usage.once(table(spark, sf, "visitor_queries")).select("id", exprs.insufficient(F.col("answer")).alias("insufficient"))
 
@@ -302,7 +318,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_chunks, book_stats, book_from_id, natural_order, line_units, chunk_lines, sentence_split, chunk_pack_overlap, chunk_ids, chapter_titles, paragraph_forms, consecutive_dedup, front_matter_trim,
-        contents_drop, html_paragraphs, text_preview, paragraph_counts, entity_aliases, entity_match, entity_full_names, entity_rewrites, merge_contexts, answer_insufficient, answerability_parse, context_format,
+        contents_drop, html_paragraphs, text_preview, paragraph_counts, entity_aliases, entity_match, entity_full_names, entity_rewrites, merge_contexts, retrieve_with_rewrites, answer_insufficient, answerability_parse, context_format,
         cache_misses, sample_exact, sample_stratified, rerank_cached, eval_results, index_round_trip, texts_round_trip, embeddings_cached, evaluate_plain, gold_rank, eval_metrics, eval_metrics_by_book, representative_failures, daily_usage, usage_order, usage_recount, usage_stream_daily, event_usage,
     )
 }
@@ -341,6 +357,13 @@ REWRITES = {
     "op": f"SELECT eval_id, question, m, unnest([0, 1, 2]) AS o, unnest([{_put(PUT, 'canonical')}, {_put(PUT, "alias || ' ' || canonical || ' '")}, {_put(PUT, 'full_name')}]) AS r FROM (SELECT me.*, full_name, row_number() OVER (PARTITION BY eval_id ORDER BY pos, length(alias) DESC, id) AS m FROM me LEFT JOIN fn USING (id))",
     "rw": f"SELECT eval_id, r, min((m, o)) AS first_at FROM (SELECT eval_id, question, m, o, regexp_replace(r, '^{WS}+|{WS}+$', '', 'g') AS r FROM op) WHERE r <> '' AND r <> question GROUP BY 1, 2",
 }
+WITH_REWRITES = (
+    {"ck": PARTS["ck"], "q0": PARTS["q"], **REWRITES, "qs": "SELECT eval_id, question FROM q0"}
+    | {"rws": "SELECT * FROM (SELECT eval_id, row_number() OVER (PARTITION BY eval_id ORDER BY first_at) AS rewrite_no, r AS rewrite FROM rw) WHERE rewrite_no <= 3"}
+    | {"q": "SELECT eval_id * 4 AS eval_id, question, gold_chunk_id, qvec FROM q0 UNION ALL SELECT eval_id * 4 + rewrite_no, rewrite, gold_chunk_id, qvec FROM q0 JOIN rws USING (eval_id)"}
+    | {n: q for n, q in PARTS.items() if n not in ("ck", "q")}
+    | ROUTED
+)
 DAY = "(DATE '1970-01-01' + CAST(epoch_us(created_at) // 86400000000 AS INTEGER))"
 LOG = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS rn FROM visitor_queries) WHERE rn = 1"
 USED = f"SELECT visitor_id, {DAY} AS usage_date, count(*) AS asked FROM ({LOG}) WHERE coalesce(used_custom_api_key, 0) = 0 GROUP BY ALL"
@@ -398,6 +421,7 @@ ORACLE = {
     "entity_full_names": with_parts("SELECT * FROM fn", "al", "fn", more=REWRITES),
     "entity_rewrites": with_parts("SELECT * FROM (SELECT eval_id, row_number() OVER (PARTITION BY eval_id ORDER BY first_at) AS rewrite_no, r AS rewrite FROM rw) WHERE rewrite_no <= 3", *REWRITES, more=REWRITES),
     "merge_contexts": with_parts("SELECT * FROM (SELECT eval_id, ord, hits, round(best, 6) AS best_score, row_number() OVER (PARTITION BY eval_id ORDER BY hits DESC, best DESC, seen, ord) AS out_rank FROM (SELECT eval_id, ord, count(DISTINCT l) AS hits, max(s) AS best, min((l, r)) AS seen FROM (SELECT eval_id, ord, 0 AS l, fused_rank AS r, score AS s FROM fused WHERE fused_rank <= 10 UNION ALL SELECT eval_id, ord, 1, vec_rank, cos FROM dense WHERE vec_rank <= 10 UNION ALL SELECT eval_id, ord, 2, bm25_rank, bm25 / 100 FROM sp WHERE bm25_rank <= 10) GROUP BY 1, 2)) WHERE out_rank <= 5", *FUSED),
+    "retrieve_with_rewrites": "WITH " + ", ".join(f"{n} AS MATERIALIZED ({q})" for n, q in WITH_REWRITES.items()) + " SELECT * FROM (SELECT eval_id, ord, hits, round(best, 6) AS best_score, row_number() OVER (PARTITION BY eval_id ORDER BY hits DESC, best DESC, seen, ord) AS out_rank FROM (SELECT eval_id // 4 AS eval_id, ord, count(*) AS hits, max(score) AS best, min((eval_id % 4, out_rank)) AS seen FROM retrieved GROUP BY 1, 2)) WHERE out_rank <= 5",
     "answer_insufficient": f"SELECT id, coalesce(regexp_replace(answer, '{WS}+', '', 'g') = '' OR " + " OR ".join(f"contains(answer, '{m}')" for m in fixed.INSUFFICIENT_MARKS) + f", true) AS insufficient FROM ({LOG})",
     "answerability_parse": "SELECT eval_id, CASE WHEN eval_id % 4 < 3 THEN eval_id % 3 = 0 END AS answerable, CASE WHEN eval_id % 4 < 3 THEN 1 END AS n_missing, CASE WHEN eval_id % 4 < 3 THEN (trim(coalesce(reference_answer, '')) <> '')::INT END AS n_questions FROM eval_items",
     "context_format": with_parts("SELECT eval_id, length(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank))::INTEGER AS n_chars, md5(string_agg('[片段 ' || fused_rank || ' | book=' || book || ' | chunk_id=' || id || ' | score=' || printf('%.4f', score) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY fused_rank)) AS context_md5, count(*)::INTEGER AS n_passages FROM fused JOIN ck USING (ord) WHERE fused_rank <= 5 GROUP BY 1", *FUSED),

@@ -46,13 +46,14 @@ class Stages:
     """The tables of one retrieval, keyed by ``eval_id`` and ``ord``; each is made and written once, when it is asked for.
 
     Dense and BM25 lists are as long as the longest use of them: the tops, the candidates of routing, ``results``.
+    ``queries`` (eval_id, question, gold_chunk_id, qvec) take the place of the stated ones.
     """
 
-    def __init__(self, spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, results: int = 100) -> None:
+    def __init__(self, spark: SparkSession, sf: str, vector_top_n: int = fixed.VECTOR_TOP_N, bm25_top_n: int = fixed.BM25_TOP_N, results: int = 100, queries: DataFrame | None = None) -> None:
         if vector_top_n <= 0 or bm25_top_n <= 0:
             raise ValueError("vector_top_n and bm25_top_n must be positive")
         self.chunks = chunks_once(spark, sf)
-        self.queries = saved(stated_queries(spark, sf, self.chunks), "queries")
+        self.queries = saved(stated_queries(spark, sf, self.chunks) if queries is None else queries, "queries")
         self.tops, self.depth = (vector_top_n, bm25_top_n), max(results, vector_top_n, bm25_top_n, 8 * fixed.ROUTE_BOOKS)
 
     @cached_property
