@@ -275,6 +275,20 @@ def evaluate_plain(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("eval_id", "gold_rank", "hit_at_1", "hit_at_3", "hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), reason.alias("failure_reason"))
 
 
+def run_evaluation(spark: SparkSession, sf: str, out: str) -> DataFrame:
+    """The whole flow: evaluates the stated items, writes ``results`` and ``metrics`` under ``out``, returns the metrics.
+
+    No items raise, as there is nothing to evaluate.
+    """
+    results = saved(_evaluated(spark, sf), "evaluated")
+    if results.isEmpty():
+        raise ValueError("no evaluation items")
+    write_json_lines(results, f"{out}/results")
+    metrics = saved(evaluate.metrics(results, "book"), "metrics")
+    write_json_lines(metrics, f"{out}/metrics")
+    return metrics
+
+
 def gold_rank(spark: SparkSession, sf: str) -> DataFrame:
     return _evaluated(spark, sf).select("eval_id", "gold_rank", "candidate_rank", "hit_at_1", "hit_at_3", "hit_at_5", F.round("reciprocal_rank", 6).alias("reciprocal_rank"), "failure_reason")
 

@@ -187,6 +187,16 @@ def test_stand_in_scores_as_the_plan_does(spark):
     assert OverlapScorer().score("灯塔", ["海边的灯塔", ""]) == [(0, 1.0), (1, 0.0)]
 
 
+def test_the_whole_evaluation(spark, sf, tmp_path):
+    from quillspark.plans.record_queries import run_evaluation
+
+    got = run_evaluation(spark, sf, str(tmp_path / "run"))
+    overall = got.where("book is null").first()
+    back = spark.read.json(str(tmp_path / "run" / "results"))
+    assert overall["n"] == back.count() > 0 and back.where("gold_rank is null").count() == overall["missed"]
+    assert spark.read.json(str(tmp_path / "run" / "metrics")).count() == got.count()
+
+
 def test_late_rows_and_days_in_utc(spark, tmp_path):
     from quillspark.streaming import usage as stream
 
