@@ -190,6 +190,8 @@ class Judge:
             return False
         names = self.scorer.model.languages
         own, best = int(p.argmax()), int(r.argmax())
+        if (own == best or r[best] - r[own] <= LEAST) and letters[0].isalpha() and _script(letters[0]) == _script(prompt_letters[0]):
+            return False  # no other language leads, and a script is in both
         wanted = lambda x: x in self.asked and bool(self.asked[x].search(asked))
         if len(letters) >= 6 and len(prompt_letters) >= 4 and own != best and r[best] - r[own] > SURE:
             return not wanted(names[best])

@@ -153,11 +153,13 @@ def form(sentence: str) -> str:
 
 
 @functools.cache
-def _automaton() -> ahocorasick.Automaton:
-    """All parts; those of languages with blanks are whole words, Eastern ones stand anywhere."""
+def _automaton(cores: bool = False) -> ahocorasick.Automaton:
+    """All parts, or the cores alone; those of languages with blanks are whole words, Eastern ones stand anywhere."""
     held: dict[str, list[tuple[str, str]]] = {}
     for lang, kinds in PARTS.items():
         for kind, text in kinds.items():
+            if cores and kind not in CORES:
+                continue
             for part in filter(None, text.split("|")):
                 keys = [f" {canonical(part).lower()} "] if lang in SPACED else [re.sub(r"[\W_]+", "", canonical(part).lower())]
                 if lang == "fr" and kind in ("SOURCE", "MATTER", "ANSWER"):  # words behind an elided article or pronoun
@@ -191,6 +193,8 @@ class Refusals:
 
     def found(self, response: str, prompt: str) -> bool:
         """Whether a response (canonical) refuses: its first sentence that says anything does, or enough of it does."""
+        if next(_automaton(True).iter(form(response)), None) is None:  # no sentence can have a core
+            return False
         spans = [(m.start(), form(m.group())) for m in _SENTENCE.finditer(response)]
         spans = [(at, s) for at, s in spans if s.strip()]
         if not spans:
