@@ -69,3 +69,33 @@ def test_a_large_list_is_shared_by_groups():
     assert index.shares[near[0]] >= 4
     taken = [g for c in np.unique(near) for g in range(index.group[c], index.group[c] + index.shares[c])]
     assert len(set(taken)) >= 4 and sum(index.group == index.group[near[0]]) == 1
+
+
+def test_unclustered_vectors_and_the_exact_way(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"u{i:05d}", rng.normal(size=64).tolist()) for i in range(2500)]
+    want = exact(rows, 5)
+
+    def share(**how):
+        got = {}
+        for r in vectors.most_similar(table(spark, rows), **how).collect():
+            got.setdefault(r["id"], set()).add(r["neighbour"])
+        return np.mean([len(got[i] & set(want[i])) / 5 for i in want])
+
+    assert share() >= 0.95  # as many lists are asked as that takes
+    assert share(exact=True) == 1.0
+
+
+def test_work_is_dealt_evenly_over_a_dense_region():
+    rng = np.random.default_rng(7)
+    dense = rng.normal(size=64) + 0.05 * rng.normal(size=(6000, 64))
+    x = np.concatenate([dense, rng.normal(size=(2000, 64))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors.laid_out(vectors.trained(x, 2_000_000), x, 2_000_000, 8, 20_000, 48)
+    cell = vectors._nearest(x, index.centroids)
+    rows = np.bincount(cell, minlength=len(index.centroids)) * 250.0
+    tasks = {}
+    for c in range(len(rows)):
+        tasks[index.group[c]] = tasks.get(index.group[c], 0) + rows[c] / index.shares[c]
+    assert max(tasks.values()) <= vectors.MOST_GROUP_ROWS
+    assert index.blocks.max() > 1  # those that ask the dense lists are dealt too
