@@ -86,7 +86,8 @@ def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """Every field of every row, nulls too, so that a column of nulls is there when the file is read."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_cache(spark: SparkSession, path: str, value: str) -> DataFrame:
