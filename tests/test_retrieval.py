@@ -1,3 +1,9 @@
+from pathlib import Path
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quillspark.functions.exprs import terms
 from quillspark.operators import dense, fusion, sparse
 from quillspark.plans import retrieval
 
@@ -115,3 +121,37 @@ def test_books_without_scenes_are_not_expanded(spark, tmp_path):
     s = retrieval.stages(spark, corpus(spark, tmp_path / "one", [legacy]))
     for found in (retrieval.expanded(s), retrieval.unrouted(s)):
         assert [r["ord"] for r in found.orderBy("out_rank").collect()] == [0, 5, 10, 15, 19]
+
+
+def test_scores_of_all_pairs_are_not_stored(spark, tmp_path):
+    """Every question shares a term with every chunk: what is stored on the way grows with either, not with both."""
+    from quillspark.session import scratch
+
+    n = 400
+    docs = spark.range(n).select(F.col("id").alias("ord"), F.concat(F.lit("共同的话 w"), "id").alias("text"))
+    asked = sparse.query_terms(spark.range(n).select(F.col("id").alias("q"), F.concat(F.lit("共同 w"), "id").alias("t")), "q", "t")
+    vocab = sparse.vocabulary(asked)
+    held = sparse.doc_terms(docs, "ord", "text", vocab).cache()
+    weights = sparse.term_weights(asked.join(vocab, "term"), held, "q").cache()
+    before = set(Path(scratch(spark).removeprefix("file:")).iterdir())
+    top = sparse.top_bm25(weights, held, held.agg(F.avg("len")).first()[0], "q", "ord", 3).collect()
+    new = [p for p in Path(scratch(spark).removeprefix("file:")).iterdir() if p not in before]
+    stored = sum(spark.read.parquet(str(p)).count() for p in new)
+    assert len(top) == 3 * n and stored <= 3 * n * spark.sparkContext.defaultParallelism < n * n
+    full = sparse.bm25(None, None, "q", "t", "ord", "text", held.select("ord", "len", F.explode(F.arrays_zip("tids", "tfs")).alias("x")).select("ord", "len", F.col("x.tids").alias("tid"), F.col("x.tfs").alias("tf")).join(vocab, "tid").drop("tid"), held.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")), asked)
+    by = Window.partitionBy("q").orderBy(F.desc("bm25"), "ord")
+    best = full.withColumn("rank", F.row_number().over(by)).where("rank <= 3").collect()
+    assert {(r["q"], r["ord"], r["bm25"], r["bm25_rank"]) for r in top} == {(r["q"], r["ord"], r["bm25"], r["rank"]) for r in best}
+
+
+def test_terms_found_in_texts_are_those_of_the_expression(spark):
+    texts = ["", "甲乙丙丁戊 Ab1ab1 甲乙丙丁", "甲", "x甲乙y丙丁", "𠀀𠀁甲乙", "甲乙\0丙丁", "。？！"]
+    asked = spark.createDataFrame([(1, "甲乙丙丁 AB1 𠀀𠀁甲乙 丙丁 x"), (2, "丁戊 ab1ab1")], "q int, t string")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "ord long, text string")
+    vocab = sparse.vocabulary(sparse.query_terms(asked, "q", "t"))
+    got = sparse.doc_terms(docs, "ord", "text", vocab)
+    words = {r["tid"]: r["term"] for r in vocab.collect()}
+    want = {(r["ord"], r["term"]): r["tf"] for r in sparse.postings(docs, "ord", "text", only=sparse.query_terms(asked, "q", "t")).collect()}
+    assert {(r["ord"], words[t]): f for r in got.collect() for t, f in zip(r["tids"], r["tfs"])} == want
+    sizes = {r["ord"]: r["n"] for r in docs.select("ord", F.size(terms(F.col("text"))).alias("n")).collect()}
+    assert {r["ord"]: r["len"] for r in got.collect()} == sizes
