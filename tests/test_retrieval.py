@@ -155,3 +155,26 @@ def test_terms_found_in_texts_are_those_of_the_expression(spark):
     assert {(r["ord"], words[t]): f for r in got.collect() for t, f in zip(r["tids"], r["tfs"])} == want
     sizes = {r["ord"]: r["n"] for r in docs.select("ord", F.size(terms(F.col("text"))).alias("n")).collect()}
     assert {r["ord"]: r["len"] for r in got.collect()} == sizes
+
+
+def test_evidence_of_pairs_is_that_of_all_rows(spark):
+    """Scores and coverage made for candidates only are those made over all pairs; a term that no text holds weighs in the total."""
+    docs = spark.createDataFrame([(i, "甲乙丙 w%d w%d" % (i % 3, i), "b", True) for i in range(8)], "ord long, text string, book string, has_vec boolean")
+    asked = sparse.query_terms(spark.createDataFrame([(1, "甲乙 w1 w4 none"), (2, "zz yy"), (3, "甲乙丙丁")], "q long, t string"), "q", "t")
+    vocab = sparse.vocabulary(asked)
+    held = sparse.doc_terms(docs, "ord", "text", vocab, ("book",))
+    named = asked.join(vocab, "term")
+    weights = sparse.term_weights(named, held, "q")
+    rare = fusion.rare_weights(named, docs, "q", held.select(F.explode("tids").alias("tid")), term="tid")
+    scored = weights.join(rare, ["q", "tid"], "left").withColumn("total", F.max("total").over(Window.partitionBy("q")))
+    avg_len = held.agg(F.avg("len")).first()[0]
+    pairs = spark.createDataFrame([(q, i) for q in (1, 2, 3) for i in range(8)], "q long, ord long")
+    got = {(r["q"], r["ord"]): (r["bm25"], r["rare_coverage"]) for r in sparse.pair_scores(pairs, scored, held, avg_len, ["q"], "ord").collect()}
+    postings = sparse.postings(docs, "ord", "text", only=asked, carry=("book",))
+    bm25 = {(r["q"], r["ord"]): r["bm25"] for r in sparse.bm25(None, docs, "q", "t", "ord", "text", postings, None, asked).collect()}
+    cov = {(r["q"], r["ord"]): r["rare_coverage"] for r in fusion.rare_coverage(asked, docs, "q", "ord", postings).collect()}
+    for k in set(bm25) | set(cov):
+        assert got[k] == (bm25.get(k, 0.0), cov.get(k, 0.0))
+    assert all(v == (0.0, 0.0) for k, v in got.items() if k not in bm25)
+    every = {(r["q"], r["ord"]): r["bm25"] for r in sparse.every_bm25(weights, held, avg_len, "q", "ord").collect()}
+    assert every == bm25
