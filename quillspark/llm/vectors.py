@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import saved
+from quillspark.session import saved, saved_parts
 
 K = 5
 SAMPLE = 262_144  # vectors the index is fitted on at most, chosen by the hashes of their keys
@@ -30,6 +30,7 @@ MEASURED, TARGET = 512, 0.995  # vectors searched by brute force to choose the n
 DEVIATIONS = 3.0  # of the error of a code by which an entry may be better than its score
 FEW_ROWS, GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 500, 4000, 65_536, 32_768
 GROUPS_A_CORE = 2
+COPIES = 5  # of an asking vector, for the groups it asks, that may be on disk at once for each row
 SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding to 6 digits can be off
 
 
@@ -42,6 +43,7 @@ class Index:
     group: np.ndarray = None  # of a list, the first of the tasks that hold it together with its neighbours
     shares: np.ndarray = None  # of a list, parts into which its entries are dealt, each in tasks of its own
     blocks: np.ndarray = None  # of a list, parts into which those that ask its group are dealt
+    copies: float = 1.0  # tasks that a vector asks on average
 
     def coded(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code words of the residuals and how far cosines by them may be off."""
@@ -149,7 +151,7 @@ def laid_out(index: Index, sample: np.ndarray, n_rows: int, probes: int, group_r
         np.put_along_axis(hit, which[a], True, axis=1)
         asks += hit.sum(0) * each
     index.group, index.shares, index.blocks = np.zeros(lists, np.int64), np.ones(lists, np.int64), np.ones(lists, np.int64)
-    n = 0
+    n, copies = 0, 0.0
     for b, own in enumerate(bins):
         index.group[own] = n
         blocks = asks[b] / ASK_ROWS
@@ -158,6 +160,8 @@ def laid_out(index: Index, sample: np.ndarray, n_rows: int, probes: int, group_r
             blocks = max(blocks, work[own[0]] / limit / index.shares[own[0]] if rows[own[0]] > FEW_ROWS else 0)
         index.blocks[own] = max(1, int(np.ceil(blocks)))
         n += int(index.shares[own].max() * index.blocks[own].max())
+        copies += asks[b] * index.shares[own].max()
+    index.copies = copies / max(1, n_rows)
     return index
 
 
@@ -286,7 +290,8 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     ``MEASURED`` vectors, found by brute force. Within the lists asked entries are left out only if their code's error
     would have to be ``DEVIATIONS`` times as large as it is as a rule. ``exact`` asks all lists and leaves out only what
     cannot be better: no loss, and work that grows with the square of the rows. A list of many rows, and those that ask
-    it, are dealt to several tasks.
+    it, are dealt to several tasks. A vector is sent to every task that holds a list it asks; so that no more than
+    ``COPIES`` for each row are on disk at once, vectors ask in rounds, each of which is finished and written before the next.
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dims) & F.col("id").isNotNull())
@@ -311,7 +316,9 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     index = trained(few, n_rows, exact)
     asked = len(index.centroids) if exact else probes or probes_for(index, *_neighbours(flat, few[:MEASURED], k))
     groups = GROUPS_A_CORE * spark.sparkContext.defaultParallelism
-    shared = spark.sparkContext.broadcast(laid_out(index, few, n_rows, asked, int(np.clip(n_rows // groups, GROUP_ROWS, MOST_GROUP_ROWS)), groups))  # at most SAMPLE / A_LIST centroids
+    index = laid_out(index, few, n_rows, asked, int(np.clip(n_rows // groups, GROUP_ROWS, MOST_GROUP_ROWS)), groups)
+    shared = spark.sparkContext.broadcast(index)  # at most SAMPLE / A_LIST centroids
+    rounds = max(1, int(np.ceil(index.copies / COPIES)))
 
     by_vector = Window.partitionBy("vkey").orderBy("id")
     entries = flat.withColumn("n", F.dense_rank().over(by_vector)).where(F.col("n") <= k + 1).groupBy("vkey").agg(F.collect_set("id").alias("ids"), F.min("vec").alias("vec"))
@@ -320,40 +327,54 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
         index = shared.value
         for batch in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
             x = _matrix(batch["vec"], np.float32)
-            vkey, vec, ids = (batch[c].to_numpy() for c in ("vkey", "vec", "ids"))
-            deal = np.array([int.from_bytes(v[:8], "little") for v in vkey], np.uint64) >> np.uint64(1)
             near = x @ index.centroids.T
             cell = near.argmax(1)
             codes, off = index.coded(x, cell)
-            # an entry lies in one share of its list, once for each block of those that ask
-            who, block = _times(index.blocks[cell])
-            share = (deal[who] % index.shares[cell[who]].astype(np.uint64)).astype(np.int64)
-            code = np.array([c.tobytes() for c in codes], object)
-            yield pd.DataFrame({"grp": index.group[cell[who]] + share * index.blocks[cell[who]] + block, "vkey": None, "ids": ids[who], "vec": vec[who], "cell": cell[who].astype(np.int32), "code": code[who], "off": off[who], "probes": None})
-            # one that asks goes to every share of a list, in its own block
             asked = np.argpartition(-near, index.probes - 1, axis=1)[:, : index.probes].astype(np.int32)
-            group = index.group[asked]
-            order = np.argsort(group, axis=1, kind="stable")
-            asked, group = np.take_along_axis(asked, order, 1), np.take_along_axis(group, order, 1)
-            first = np.concatenate([np.ones((len(group), 1), bool), group[:, 1:] != group[:, :-1]], axis=1)
-            who, at = np.nonzero(first)
-            end = np.append(at[1:], 0)
-            end[np.append(who[1:] != who[:-1], True)] = index.probes
-            cells = asked[who, at]
-            i, share = _times(index.shares[cells])  # a list with shares is alone in its groups
-            block = (deal[who[i]] // np.uint64(7919) % index.blocks[cells[i]].astype(np.uint64)).astype(np.int64)
-            own = np.array([asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)], object)
-            yield pd.DataFrame({"grp": group[who, at][i] + share * index.blocks[cells[i]] + block, "vkey": vkey[who[i]], "ids": None, "vec": vec[who[i]], "cell": np.int32(-1), "code": None, "off": np.float32(0), "probes": own[i]})
-
-    lists = entries.mapInPandas(listed, f"grp long, vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, probes binary")
+            order = np.argsort(index.group[asked], axis=1, kind="stable")
+            asked = np.take_along_axis(asked, order, 1)
+            yield batch.assign(cell=cell.astype(np.int32), code=[c.tobytes() for c in codes], off=off, asked=[a.tobytes() for a in asked])
+
+    lists = saved(entries.select("vkey", "ids", "vec").mapInPandas(listed, f"vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, asked binary"), "lists")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         held = group["cell"].to_numpy() >= 0
         hits = search_group(shared.value, group[held], group[~held], k + 1)
         return pd.DataFrame([(name, [(s, n) for s, n in best]) for name, best in hits], columns=["vkey", "best"])
 
-    part = lists.groupBy("grp").applyInPandas(search, f"vkey binary, best array<struct<far: double, near: {kind}>>")
-    best = part.groupBy("vkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+    def searched(now: int) -> DataFrame:
+        """The best of the vectors that ask in this round."""
+
+        def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = shared.value
+            for batch in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
+                vkey, vec, ids, code, off, cell = (batch[c].to_numpy() for c in ("vkey", "vec", "ids", "code", "off", "cell"))
+                deal = np.array([int.from_bytes(v[:8], "little") for v in vkey], np.uint64) >> np.uint64(1)
+                # an entry lies in one share of its list, once for each block of those that ask
+                who, block = _times(index.blocks[cell])
+                share = (deal[who] % index.shares[cell[who]].astype(np.uint64)).astype(np.int64)
+                yield pd.DataFrame({"grp": index.group[cell[who]] + share * index.blocks[cell[who]] + block, "vkey": None, "ids": ids[who], "vec": vec[who], "cell": cell[who], "code": code[who], "off": off[who], "probes": None})
+                # one that asks goes to every share of a list, in its own block
+                own = np.flatnonzero(deal // np.uint64(104_729) % np.uint64(rounds) == now)
+                if not len(own):
+                    continue
+                vkey, vec, deal, asked = vkey[own], vec[own], deal[own], _matrix(batch["asked"].iloc[own], np.int32)
+                group = index.group[asked]
+                first = np.concatenate([np.ones((len(group), 1), bool), group[:, 1:] != group[:, :-1]], axis=1)
+                who, at = np.nonzero(first)
+                end = np.append(at[1:], 0)
+                end[np.append(who[1:] != who[:-1], True)] = index.probes
+                cells = asked[who, at]
+                i, share = _times(index.shares[cells])  # a list with shares is alone in its groups
+                block = (deal[who[i]] // np.uint64(7919) % index.blocks[cells[i]].astype(np.uint64)).astype(np.int64)
+                probes = np.array([asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)], object)
+                yield pd.DataFrame({"grp": group[who, at][i] + share * index.blocks[cells[i]] + block, "vkey": vkey[who[i]], "ids": None, "vec": vec[who[i]], "cell": np.int32(-1), "code": None, "off": np.float32(0), "probes": probes[i]})
+
+        rows = lists.mapInPandas(dealt, f"grp long, vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, probes binary")
+        part = rows.groupBy("grp").applyInPandas(search, f"vkey binary, best array<struct<far: double, near: {kind}>>")
+        return part.groupBy("vkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
+
+    best = saved_parts((searched(now) for now in range(rounds)), "best")  # a round's shuffle files go before the next begins
     members = flat.select("vkey", "id").distinct()
     own = members.join(best, "vkey").select("id", F.slice(F.filter("best", lambda b: b["near"] != F.col("id")), 1, k).alias("best"))
     return own.select(F.col("id").alias(key), F.posexplode("best").alias("rank", "b")).select(key, (F.col("rank") + 1).alias("rank"), F.col("b.near").alias("neighbour"), (-F.col("b.far")).alias("similarity"))

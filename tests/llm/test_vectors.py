@@ -99,3 +99,17 @@ def test_work_is_dealt_evenly_over_a_dense_region():
         tasks[index.group[c]] = tasks.get(index.group[c], 0) + rows[c] / index.shares[c]
     assert max(tasks.values()) <= vectors.MOST_GROUP_ROWS
     assert index.blocks.max() > 1  # those that ask the dense lists are dealt too
+
+
+def test_vectors_ask_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 64))
+    df = table(spark, [(f"r{i:05d}", (centres[rng.integers(40)] + rng.normal(size=64)).tolist()) for i in range(3000)]).repartition(3).cache()
+    found = lambda: sorted(map(tuple, vectors.most_similar(df, probes=40).collect()))
+    every = found()
+    rounds = []
+    write = vectors.saved_parts
+    monkeypatch.setattr(vectors, "saved_parts", lambda parts, name: write(iter(rounds.append(name) or p for p in parts), name))
+    monkeypatch.setattr(vectors, "COPIES", 1)
+    assert found() == every and len(rounds) > 1
+    df.unpersist()
