@@ -178,3 +178,35 @@ def test_evidence_of_pairs_is_that_of_all_rows(spark):
     assert all(v == (0.0, 0.0) for k, v in got.items() if k not in bm25)
     every = {(r["q"], r["ord"]): r["bm25"] for r in sparse.every_bm25(weights, held, avg_len, "q", "ord").collect()}
     assert every == bm25
+
+
+def test_blocks_of_queries_leave_their_results_only(spark, tmp_path):
+    """Queries retrieved in blocks give what all give at once, and what is stored for a block goes with it."""
+    from quillspark.session import scratch
+
+    sf = corpus(spark, tmp_path, [("A", [("s1", 1.0 - i / 20) for i in range(12)]), ("B", [("s2", 0.3 - i / 50) for i in range(8)])])
+    asked = [(20 * i, t, "A-0" if i % 2 else "B-1") for i, t in enumerate(("灯塔", "海边", "", "A 的灯塔", "B"))]
+    vectors = spark.read.parquet(f"{sf}/chunks.parquet").select(F.col("id").alias("gold_chunk_id"), F.col("embedding").alias("qvec"))
+    queries = spark.createDataFrame(asked, "eval_id long, question string, gold_chunk_id string").join(vectors, "gold_chunk_id")
+    s = retrieval.Stages(spark, sf, queries=queries)
+    folder = Path(scratch(spark).removeprefix("file:"))
+    form = lambda found: {(r["eval_id"], r["ord"], r["out_rank"]) for r in found.collect()}
+    for way in (retrieval.routed, retrieval.unrouted):
+        s.places, s.weights
+        before = set(folder.iterdir())
+        got = form(s.in_blocks(way, 2))
+        new = [p.name.split("-")[0] for p in folder.iterdir() if p not in before]
+        assert set(new) == {"block", "blocks"} and len(new) <= 4
+        assert got == form(way(s)) and len({q for q, *_ in got}) == 5
+
+
+def test_overlaps_are_those_of_the_texts(spark, tmp_path):
+    """Counted from stored terms, without the texts; a question without terms has 0."""
+    sf = corpus(spark, tmp_path, [("A", [("s1", 1.0), ("s1", 0.5)]), ("B", [("s2", 0.3)])])
+    asked = spark.createDataFrame([(1, "A 的灯塔的灯塔", "A-0", None), (2, "。", "A-0", None), (3, "没有这个 b", "A-0", None)], "eval_id long, question string, gold_chunk_id string, qvec array<double>")
+    s = retrieval.Stages(spark, sf, queries=asked)
+    pairs = asked.select("eval_id", "question").crossJoin(s.texts)
+    form = lambda rows: {(r["eval_id"], r["ord"]): r["rerank_score"] for r in rows.collect()}
+    got = form(retrieval.overlaps(s, pairs.select("eval_id", "ord")))
+    assert got == form(retrieval.lexical_overlap(pairs, "question", "text")) and len(got) == 9 and 0 < got[3, 2] < got[1, 0]
+    assert {r["ord"]: r["text"] for r in s.texts_of(spark.createDataFrame([(2,), (0,), (2,)], "ord long")).collect()} == {0: "A 的灯塔", 2: "B 的灯塔"}
