@@ -1,9 +1,8 @@
 """Problem 1: for every vector the most similar vectors of the collection.
 
-An inverted file of coarse centroids with product-quantised residuals. A vector lies in the list of its nearest centroid
-as centroid plus a code of its residual; each vector asks the lists of its nearest centroids, entries are scored by
-tables of the asking vector's products with all code words, and those that may still be among the best are compared
-exactly.
+An inverted file of coarse centroids. A vector lies in the list of its nearest centroid; each vector asks the lists of
+its nearest centroids, whose entries are scored by a matrix product in single precision, and those that may still be
+among the best are compared exactly.
 """
 
 from __future__ import annotations
@@ -23,11 +22,9 @@ from quillspark.session import saved, saved_parts
 K = 5
 SAMPLE = 262_144  # vectors the index is fitted on at most, chosen by the hashes of their keys
 LEAST_SAMPLE, A_LIST = 32_768, 8  # sampled as long as so many rows are there, and sampled rows for each list
-BOOK_SAMPLE = 32_768  # of the sample, in random order, for the code words
 LISTS = 4  # lists for each root of the number of rows
-PARTS, WORDS = 32, 64  # a residual is cut into parts, each of which is one of so many code words
 MEASURED, TARGET = 512, 0.995  # vectors searched by brute force to choose the number of lists asked, and the share of their neighbours that must lie in these
-DEVIATIONS = 3.0  # of the error of a code by which an entry may be better than its score
+ASKED_AT_ONCE = 4000  # asking vectors whose lists are looked through together
 FEW_ROWS, GROUP_ROWS, MOST_GROUP_ROWS, ASK_ROWS = 500, 4000, 65_536, 32_768
 GROUPS_A_CORE = 2
 COPIES = 5  # of an asking vector, for the groups it asks, that may be on disk at once for each row
@@ -37,26 +34,12 @@ SLACK = 1e-5  # more than products of unit vectors in float32 and the rounding t
 @dataclass
 class Index:
     centroids: np.ndarray  # lists x dimensions, unit length
-    books: np.ndarray  # parts x code words x dimensions of a part
     probes: int
-    margin: float  # cosine by which an entry may be off for each unit of its residual's error
     group: np.ndarray = None  # of a list, the first of the tasks that hold it together with its neighbours
     shares: np.ndarray = None  # of a list, parts into which its entries are dealt, each in tasks of its own
     blocks: np.ndarray = None  # of a list, parts into which those that ask its group are dealt
     copies: float = 1.0  # tasks that a vector asks on average
 
-    def coded(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code words of the residuals and how far cosines by them may be off."""
-        residual = x - self.centroids[cell]
-        codes = np.empty((len(x), len(self.books)), np.uint8)
-        left = np.zeros(len(x))
-        width = self.books.shape[2]
-        for m, words in enumerate(self.books):
-            part = residual[:, m * width : (m + 1) * width]
-            codes[:, m] = (part @ words.T - 0.5 * (words * words).sum(1)).argmax(1)
-            left += ((part - words[codes[:, m]]) ** 2).sum(1)
-        return codes, (self.margin * np.sqrt(left) + SLACK).astype(np.float32)
-
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8, unit: bool = False) -> np.ndarray:
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
@@ -80,8 +63,8 @@ def list_count(n_rows: int, n_sample: int) -> int:
     return int(np.clip(LISTS * np.sqrt(n_rows), 1, max(1, n_sample // A_LIST)))
 
 
-def trained(sample: np.ndarray, n_rows: int, exact: bool = False, seed: int = 7) -> Index:
-    """Centroids and code words from a sample of unit vectors of a collection of ``n_rows``.
+def trained(sample: np.ndarray, n_rows: int, seed: int = 7) -> Index:
+    """Centroids from a sample of unit vectors of a collection of ``n_rows``.
 
     Centroids are fitted in two levels, each cell of the first having as many of the second as its share of the sample.
     """
@@ -94,12 +77,7 @@ def trained(sample: np.ndarray, n_rows: int, exact: bool = False, seed: int = 7)
         own = sample[cell == c]
         centroids.append(_kmeans(own, max(1, round(lists * len(own) / len(sample))), rng, unit=True))
     centroids = np.concatenate(centroids)
-    some = sample[rng.permutation(len(sample))[:BOOK_SAMPLE]]
-    residual = some - centroids[_nearest(some, centroids)]
-    width = sample.shape[1] // PARTS
-    books = np.stack([_kmeans(np.ascontiguousarray(residual[:, m * width : (m + 1) * width]), WORDS, rng, 6) for m in range(PARTS)])
-    # the error of a cosine is the product of a unit vector and the residual's error: at most its length, as a rule a root of the dimensions less
-    return Index(centroids, books, len(centroids), 1.0 if exact else DEVIATIONS / np.sqrt(sample.shape[1]))
+    return Index(centroids, len(centroids))
 
 
 def fit(sample: np.ndarray, n_rows: int, probes: int = 8) -> Index:
@@ -192,22 +170,20 @@ def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int)
     """For each asking vector its best ``k`` keys among the lists of this group: (-cosine rounded to 6 digits, key).
 
     Of entries with their keys in order, those of the best ``k`` by cosine, then first key, hold the best ``k`` keys. An
-    entry is compared exactly if by its code's error it may be as good as the ``k``-th best; there is no other bound.
+    entry is compared exactly if by the error of single precision it may be as good as the ``k``-th best; there is no other bound.
     """
     if not len(base) or not len(asking):
         return
     base = base.sort_values("cell", kind="stable")
-    vec, codes, off = _matrix(base["vec"], np.float32), _matrix(base["code"], np.uint8).T.astype(np.int64), base["off"].to_numpy(np.float32)
+    vec = _matrix(base["vec"], np.float32)
     cells, first = np.unique(base["cell"].to_numpy(), return_index=True)
     bounds = {int(c): (int(a), int(b)) for c, a, b in zip(cells, first, [*first[1:], len(base)])}
     ids = [sorted(names) for names in base["ids"]]
     place = np.empty(len(ids), np.int64)  # of an entry by its first key
     place[sorted(range(len(ids)), key=lambda i: ids[i][0])] = np.arange(len(ids))
-    width = index.books.shape[2]
-    for low in range(0, len(asking), 1000):
-        block = asking.iloc[low : low + 1000]
+    for low in range(0, len(asking), ASKED_AT_ONCE):
+        block = asking.iloc[low : low + ASKED_AT_ONCE]
         q = _matrix(block["vec"], np.float32)
-        tables = np.stack([q[:, m * width : (m + 1) * width] @ words.T for m, words in enumerate(index.books)])  # parts x asking x words
         probes = [np.frombuffer(p, np.int32) for p in block["probes"]]
         flat, owner = np.concatenate(probes), np.repeat(np.arange(len(block)), list(map(len, probes)))
         by = np.argsort(flat, kind="stable")
@@ -225,14 +201,11 @@ def search_group(index: Index, base: pd.DataFrame, asking: pd.DataFrame, k: int)
                 who, cell = owner[some], int(flat[some[0]])
                 for start in range(*bounds[cell], 2000):
                     stop = min(bounds[cell][1], start + 2000)
-                    score = np.repeat(near[some][:, None], stop - start, axis=1)
-                    for words, code in zip(tables, codes[:, start:stop]):
-                        score += words.take(who, axis=0, mode="clip").take(code, axis=1, mode="clip")
+                    score = q[who] @ vec[start:stop].T
                     if leading:
-                        lows[who] = np.partition(np.concatenate([lows[who], score - off[start:stop]], axis=1), -k, axis=1)[:, -k:]
-                    at_most = score + off[start:stop]
-                    row, at = np.nonzero(at_most >= lows[who, 0][:, None])
-                    found.append((who[row], at + start, score[row, at] - off[at + start], at_most[row, at]))
+                        lows[who] = np.partition(np.concatenate([lows[who], score - SLACK], axis=1), -k, axis=1)[:, -k:]
+                    row, at = np.nonzero(score + SLACK >= lows[who, 0][:, None])
+                    found.append((who[row], at + start, score[row, at] - SLACK, score[row, at] + SLACK))
         if not found:
             continue
         fq, fb, at_least, at_most = map(np.concatenate, zip(*found))
@@ -283,13 +256,12 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     Ties go to the smaller key. Rows with a null key, a null vector or one that is not ``dims`` finite numbers, or all
     zero, take no part; a repeated key counts once. Vectors of one direction are one entry of the index with its ``k + 1``
     smallest keys, which is all that any row can need of them, and are asked for once; so any number of copies costs no
-    more. An empty collection gives no rows. ``dims`` must be a multiple of ``PARTS``.
+    more. An empty collection gives no rows.
 
     The index is fitted on at most ``sample`` vectors and holds every row. Lists grow with the root of the rows; how many
     each vector asks is measured, unless ``probes`` says it: as many as hold ``TARGET`` of the true neighbours of
-    ``MEASURED`` vectors, found by brute force. Within the lists asked entries are left out only if their code's error
-    would have to be ``DEVIATIONS`` times as large as it is as a rule. ``exact`` asks all lists and leaves out only what
-    cannot be better: no loss, and work that grows with the square of the rows. A list of many rows, and those that ask
+    ``MEASURED`` vectors, found by brute force. Within the lists asked nothing is left out that may be better. ``exact``
+    asks all lists: no loss, and work that grows with the square of the rows. A list of many rows, and those that ask
     it, are dealt to several tasks. A vector is sent to every task that holds a list it asks; so that no more than
     ``COPIES`` for each row are on disk at once, vectors ask in rounds, each of which is finished and written before the next.
     """
@@ -313,7 +285,7 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
     if not few:
         return spark.createDataFrame([], f"`{key}` {kind}, rank int, neighbour {kind}, similarity double")
     few = _matrix(few, np.float32)
-    index = trained(few, n_rows, exact)
+    index = trained(few, n_rows)
     asked = len(index.centroids) if exact else probes or probes_for(index, *_neighbours(flat, few[:MEASURED], k))
     groups = GROUPS_A_CORE * spark.sparkContext.defaultParallelism
     index = laid_out(index, few, n_rows, asked, int(np.clip(n_rows // groups, GROUP_ROWS, MOST_GROUP_ROWS)), groups)
@@ -329,13 +301,12 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
             x = _matrix(batch["vec"], np.float32)
             near = x @ index.centroids.T
             cell = near.argmax(1)
-            codes, off = index.coded(x, cell)
             asked = np.argpartition(-near, index.probes - 1, axis=1)[:, : index.probes].astype(np.int32)
             order = np.argsort(index.group[asked], axis=1, kind="stable")
             asked = np.take_along_axis(asked, order, 1)
-            yield batch.assign(cell=cell.astype(np.int32), code=[c.tobytes() for c in codes], off=off, asked=[a.tobytes() for a in asked])
+            yield batch.assign(cell=cell.astype(np.int32), asked=[a.tobytes() for a in asked])
 
-    lists = saved(entries.select("vkey", "ids", "vec").mapInPandas(listed, f"vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, asked binary"), "lists")
+    lists = saved(entries.select("vkey", "ids", "vec").mapInPandas(listed, f"vkey binary, ids array<{kind}>, vec binary, cell int, asked binary"), "lists")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         held = group["cell"].to_numpy() >= 0
@@ -348,12 +319,12 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
         def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = shared.value
             for batch in (whole.iloc[i : i + 1000] for whole in batches for i in range(0, len(whole), 1000)):
-                vkey, vec, ids, code, off, cell = (batch[c].to_numpy() for c in ("vkey", "vec", "ids", "code", "off", "cell"))
+                vkey, vec, ids, cell = (batch[c].to_numpy() for c in ("vkey", "vec", "ids", "cell"))
                 deal = np.array([int.from_bytes(v[:8], "little") for v in vkey], np.uint64) >> np.uint64(1)
                 # an entry lies in one share of its list, once for each block of those that ask
                 who, block = _times(index.blocks[cell])
                 share = (deal[who] % index.shares[cell[who]].astype(np.uint64)).astype(np.int64)
-                yield pd.DataFrame({"grp": index.group[cell[who]] + share * index.blocks[cell[who]] + block, "vkey": None, "ids": ids[who], "vec": vec[who], "cell": cell[who], "code": code[who], "off": off[who], "probes": None})
+                yield pd.DataFrame({"grp": index.group[cell[who]] + share * index.blocks[cell[who]] + block, "vkey": None, "ids": ids[who], "vec": vec[who], "cell": cell[who], "probes": None})
                 # one that asks goes to every share of a list, in its own block
                 own = np.flatnonzero(deal // np.uint64(104_729) % np.uint64(rounds) == now)
                 if not len(own):
@@ -368,9 +339,9 @@ def most_similar(df: DataFrame, key: str = "id", vector: str = "embedding", dims
                 i, share = _times(index.shares[cells])  # a list with shares is alone in its groups
                 block = (deal[who[i]] // np.uint64(7919) % index.blocks[cells[i]].astype(np.uint64)).astype(np.int64)
                 probes = np.array([asked[w, a:b].tobytes() for w, a, b in zip(who, at, end)], object)
-                yield pd.DataFrame({"grp": group[who, at][i] + share * index.blocks[cells[i]] + block, "vkey": vkey[who[i]], "ids": None, "vec": vec[who[i]], "cell": np.int32(-1), "code": None, "off": np.float32(0), "probes": probes[i]})
+                yield pd.DataFrame({"grp": group[who, at][i] + share * index.blocks[cells[i]] + block, "vkey": vkey[who[i]], "ids": None, "vec": vec[who[i]], "cell": np.int32(-1), "probes": probes[i]})
 
-        rows = lists.mapInPandas(dealt, f"grp long, vkey binary, ids array<{kind}>, vec binary, cell int, code binary, off float, probes binary")
+        rows = lists.mapInPandas(dealt, f"grp long, vkey binary, ids array<{kind}>, vec binary, cell int, probes binary")
         part = rows.groupBy("grp").applyInPandas(search, f"vkey binary, best array<struct<far: double, near: {kind}>>")
         return part.groupBy("vkey").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k + 1).alias("best"))
 

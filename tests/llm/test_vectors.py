@@ -113,3 +113,25 @@ def test_vectors_ask_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(vectors, "COPIES", 1)
     assert found() == every and len(rounds) > 1
     df.unpersist()
+
+
+def test_asking_all_lists_loses_nothing():
+    """Within the lists asked nothing that may be better is left out, whatever the vectors."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x[1500:] = x[:1500] + 0.05 * rng.normal(size=(1500, 64)) * rng.random((1500, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    index = vectors.fit(x, len(x), probes=10_000)
+    cell = (x @ index.centroids.T).argmax(1).astype(np.int32)
+    base = pd.DataFrame({"vec": [v.tobytes() for v in x], "cell": cell, "ids": [[f"r{i:05d}"] for i in range(len(x))]})
+    every = np.arange(len(index.centroids), dtype=np.int32).tobytes()
+    asking = pd.DataFrame({"vkey": [b"%05d" % i for i in range(len(x))], "vec": base["vec"], "probes": [every] * len(x)})
+    score = np.round(x.astype(np.float64) @ x.T.astype(np.float64), 6)
+    got = dict(vectors.search_group(index, base, asking, 6))
+    assert len(got) == len(x)
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), -score[i]))[:6]
+        assert [name for _, name in got[b"%05d" % i]] == [f"r{j:05d}" for j in order]
