@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillspark import catalog
 from quillspark.clients import HashEmbedder, embed_column
 from quillspark.operators import answers, evaluate, rerank, rewrite, usage
+from quillspark.plans import record_queries
 from quillspark.sources import relations as rel
 from tests.conftest import rows
 
@@ -215,3 +216,34 @@ def test_late_rows_and_days_in_utc(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", zone)
     counts = {(str(r["usage_date"]), r["asked"]) for r in got}
     assert {("2020-01-01", 1), ("2020-01-20", 2), ("2020-01-19", 1)} == counts  # the row of the first day came after it was closed
+
+
+def test_texts_are_one_file_each_with_their_own_bytes(spark, tmp_path):
+    """No folder for each, and what is written is what is read; a name that comes twice raises."""
+    texts = {"一 书%": "a\n\nb\n", "x.y": "c\r\nd", "d1": "\ufeffé", "blank": "e\n\n"}
+    made = spark.createDataFrame(list(texts.items()), "book_name string, text string")
+    out = tmp_path / "out"
+    for _ in range(2):
+        assert {r["book_name"]: r["chars"] for r in rel.write_texts(made, str(out)).collect()} == {k: len(v) for k, v in texts.items()}
+    assert {p.name for p in out.iterdir()} == {f"{k}.txt" for k in texts}
+    assert {p.stem: p.read_bytes().decode() for p in out.iterdir()} == texts
+    assert {r["book_name"]: r["text"] for r in rel.read_texts(spark, str(out)).collect()} == texts
+    with pytest.raises(rel.SourceError, match="twice"):
+        rel.write_texts(made.unionAll(made), str(out))
+
+
+def test_texts_go_round_in_rounds_whose_files_go(spark, sf, sql, monkeypatch):
+    from pathlib import Path
+
+    from quillspark.session import scratch
+
+    monkeypatch.setattr(record_queries, "TEXTS_A_ROUND", 30)
+    folder, held = Path(scratch(spark).removeprefix("file:")), []
+    read = record_queries.read_texts
+    monkeypatch.setattr(record_queries, "read_texts", lambda s, path: held.append(len(list(Path(path.removeprefix("file:")).iterdir()))) or read(s, path))
+    before = set(folder.glob("texts-*"))
+    got = record_queries.texts_round_trip(spark, sf)
+    columns, wanted = sql(catalog.ORACLE["texts_round_trip"])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, wanted)
+    assert len(held) == 4 and sum(held) == len(wanted) and max(held) < 60
+    assert {p.name.split("-")[1] for p in set(folder.glob("texts-*")) - before} == {"read"}
