@@ -210,3 +210,21 @@ def test_overlaps_are_those_of_the_texts(spark, tmp_path):
     got = form(retrieval.overlaps(s, pairs.select("eval_id", "ord")))
     assert got == form(retrieval.lexical_overlap(pairs, "question", "text")) and len(got) == 9 and 0 < got[3, 2] < got[1, 0]
     assert {r["ord"]: r["text"] for r in s.texts_of(spark.createDataFrame([(2,), (0,), (2,)], "ord long")).collect()} == {0: "A 的灯塔", 2: "B 的灯塔"}
+
+
+def test_dense_keeps_no_more_partial_tops_than_cores(spark, monkeypatch):
+    """Rows in many files make no more partial tops than there are cores."""
+    kept, stored = [], dense.saved_parts
+
+    def counted(parts, name):
+        out = stored(parts, name)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(dense, "saved_parts", counted)
+    monkeypatch.setattr(dense, "AT_ONCE", 2)  # a block in several products
+    rows = spark.range(0, 320, 1, 32).select(F.col("id").alias("ord"), F.array(F.cos(F.col("id") / 320), F.sin(F.col("id") / 320)).alias("v"))
+    q = spark.createDataFrame([(i, [1.0, i / 9]) for i in range(3)], "q long, qv array<double>")
+    got = dense.top_dense(q, rows, "q", "qv", "ord", "v", 2)
+    assert got.count() == 6 and [r["ord"] for r in got.where("q = 0").orderBy("vec_rank").collect()] == [0, 1]
+    assert kept[0] <= spark.sparkContext.defaultParallelism * 2 * 3
