@@ -228,3 +228,20 @@ def test_dense_keeps_no_more_partial_tops_than_cores(spark, monkeypatch):
     got = dense.top_dense(q, rows, "q", "qv", "ord", "v", 2)
     assert got.count() == 6 and [r["ord"] for r in got.where("q = 0").orderBy("vec_rank").collect()] == [0, 1]
     assert kept[0] <= spark.sparkContext.defaultParallelism * 2 * 3
+
+
+def test_normalising_stores_the_highest_scores_only(spark, sf, monkeypatch):
+    from quillspark.plans import retrieval_queries
+
+    kept, stored = [], sparse.saved_parts
+
+    def counted(parts, name):
+        out = stored(parts, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(sparse, "saved_parts", counted)
+    got = retrieval_queries.max_normalize(spark, sf)
+    asked = got.select("eval_id").distinct().count()
+    assert [name for name, _ in kept] == ["bm25-best"] and kept[0][1] <= asked * spark.sparkContext.defaultParallelism
+    assert got.where("norm = 1").select("eval_id").distinct().count() == asked
