@@ -245,3 +245,22 @@ def test_normalising_stores_the_highest_scores_only(spark, sf, monkeypatch):
     asked = got.select("eval_id").distinct().count()
     assert [name for name, _ in kept] == ["bm25-best"] and kept[0][1] <= asked * spark.sparkContext.defaultParallelism
     assert got.where("norm = 1").select("eval_id").distinct().count() == asked
+
+
+def test_terms_of_the_same_queries_are_scored_as_one():
+    """Fewer products, the same scores; a query that holds a term twice keeps it in a class of its own."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    idf = rng.random(12) + 0.1
+    holds = [(t, q, 2 if (t, q) == (9, 1) else 1) for t in range(12) for q in range(6) if (q + t // 4) % 3 == 0 or t >= 10]
+    holds += [(9, 5, 1)]
+    tid, q, count = (np.array(x) for x in zip(*sorted(holds)))
+    w = count * idf[tid]
+    d, t = (x.ravel() for x in np.indices((5, 14)))  # terms 12 and 13 are not asked
+    p = rng.random(len(d))
+    known, ct, cq, cw = sparse._classes(tid, q, w)
+    own, docs, value = sparse._in_classes(known, t, d, p)
+    assert len(known[0]) == 12 and known[1].max() + 1 == 5 and len(ct) < len(tid) and len(own) == 5 * 5
+    want = sparse._products(6, tid, q, w, 5, t, d, p)
+    assert np.abs(sparse._products(6, ct, cq, cw, 5, own, docs, value) - want).max() < 1e-12
