@@ -1,8 +1,10 @@
 from pathlib import Path
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillspark import catalog
 from quillspark.functions.exprs import terms
 from quillspark.operators import dense, fusion, sparse
 from quillspark.plans import retrieval
@@ -264,3 +266,20 @@ def test_terms_of_the_same_queries_are_scored_as_one():
     assert len(known[0]) == 12 and known[1].max() + 1 == 5 and len(ct) < len(tid) and len(own) == 5 * 5
     want = sparse._products(6, tid, q, w, 5, t, d, p)
     assert np.abs(sparse._products(6, ct, cq, cw, 5, own, docs, value) - want).max() < 1e-12
+
+
+WHOLE = ["bm25_topk"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_every_evaluation_item_is_asked(spark, tmp_path, name):
+    """Not only those of the stated set; two of the items have a gold chunk that is not there."""
+    sf = corpus(spark, tmp_path, [("A", [("s1", 1.0), ("s1", 0.5)]), ("B", [("s2", 0.3)])])
+    items = [(1, "灯塔", "A-0", "A"), (2, "灯塔", "none-1", "A"), (20, "的灯塔", "A-1", None), (21, "灯塔", "none-2", None)]
+    spark.createDataFrame(items, "eval_id long, question string, gold_chunk_id string, gold_book_name string").write.mode("overwrite").parquet(f"{sf}/eval_items.parquet")
+    got = catalog.QUERIES[name](spark, sf)
+    if "eval_id" in got.columns:
+        assert {r["eval_id"] for r in got.collect()} == ({2, 21} if name == "representative_failures" else {1, 2, 20, 21})
+    else:
+        assert max(r["n"] for r in got.collect()) == 4
+    assert "% 20" not in catalog.ORACLE[name]
