@@ -268,7 +268,7 @@ def test_terms_of_the_same_queries_are_scored_as_one():
     assert np.abs(sparse._products(6, ct, cq, cw, 5, own, docs, value) - want).max() < 1e-12
 
 
-WHOLE = ["bm25_topk", "eval_metrics", "eval_metrics_by_book", "evaluate_plain", "gold_rank", "representative_failures", "rerank_select", "retrieve_online"]
+WHOLE = ["bm25_topk", "eval_metrics", "eval_metrics_by_book", "evaluate_plain", "gold_rank", "representative_failures", "rerank_select", "retrieve_online", "retrieve_routed"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
